@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, packing
+from tideline.llm import bpe, gif, packing, rules
 from tideline.llm.common import documents
 
 #: The tokenizer of the contracts; every operator takes a path.
@@ -18,13 +18,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(documents(spark, sf_dir), WORDS))
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(documents(spark, sf_dir)).select("doc_id", *rules.MEASURES[:5], "base_failed", "kept")
+
+
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.read_texts(gif.store_texts(documents(spark, sf_dir))).drop("histogram")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op9_packing)}
+    return {f.__name__: f for f in (op1_bpe, op4_rules, op6_gif, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_rules": rules.SQL}
