@@ -35,7 +35,7 @@ def test_every_character_alone(tok):
 
 
 def test_encode_decode(docs, tok, monkeypatch):
-    out = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(bpe.encode_decode(docs, PATH)).collect())
+    out = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_decode(docs, PATH, digests=True).collect())
     want = []
     for r in docs.collect():
         ids = tok.encode(r.text or "", add_special_tokens=False).ids
@@ -44,16 +44,20 @@ def test_encode_decode(docs, tok, monkeypatch):
 
 
 def test_small_blocks(spark, docs, monkeypatch):
-    whole = sorted(bpe.digests(bpe.encode_decode(docs, PATH)).collect(), key=str)
+    whole = sorted(bpe.encode_decode(docs, PATH, digests=True).collect(), key=str)
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 10)
-    assert sorted(bpe.digests(bpe.encode_decode(docs.coalesce(1), PATH, lists=3)).collect(), key=str) == whole
+    assert sorted(bpe.encode_decode(docs.coalesce(1), PATH, digests=True, lists=3).collect(), key=str) == whole
     assert bpe.encode_decode(docs.limit(0), PATH).count() == 0
+    full = {r.doc_id: (len(r.ids) // 4, r.decoded) for r in bpe.encode_decode(docs, PATH).collect()}
+    assert full[None][0] > 5 and full[1] == (0, "") and full[9] == (2, "same</w> text</w>")
 
 
 def test_cache_is_bounded(tok):
-    small = Ids(PATH, limit=3)
-    for text in ("a b c", "c d e f", "a"):
+    small = Ids(PATH)
+    small.limit = small.parts.limit = 3
+    for text in ("a b c", "c d e f g h", "a"):
         assert small.text(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(small) <= 3
 
 
 def check_packing(rows, docs, tok):

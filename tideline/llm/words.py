@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 
 import numpy as np
 
@@ -22,6 +23,26 @@ def chunks(text: str) -> list[str]:
     return [x for x in _SPLIT.split(text) if x] if _ODD.search(text) else text.split()
 
 
+def _class(kind: str) -> str:
+    """Characters below U+0180 of a Unicode category, for a regular expression."""
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: Below U+0180 the tokenizer's normal form is lower case alone (but for U+0130), and its pre-tokenizer's pattern is this.
+_LATIN = re.compile("[\x00-\u012f\u0131-\u017f]+").fullmatch
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_class('L')}{_class('N')}]+").findall
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter of each byte in byte-level vocabularies: its own, or one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
 @functools.cache
 def tokenizer(path: str):
     """The tokenizer of a file, without truncation and padding; one for each Python worker."""
@@ -33,28 +54,45 @@ def tokenizer(path: str):
     return tok
 
 
-def encode(path: str, words: list[str]) -> list[bytes]:
-    """The ids of each word as little-endian unsigned 32-bit integers."""
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
-
+class _Bounded(dict):
+    """A cache that a Python worker keeps between tasks; ``limit`` bounds its entries and so its memory."""
 
-class Ids(dict):
-    """Word to id bytes, kept by a Python worker; ``limit`` bounds the entries and so the memory."""
+    limit = 800_000
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str):
         super().__init__()
-        self.path, self.limit = path, limit
+        self.path = path
+
+    def __missing__(self, x: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        self[x] = out = self.make(x)
+        return out
+
+
+class _Parts(_Bounded):
+    """Ids of what the pre-tokenizer splits a chunk into."""
+
+    def make(self, part: str) -> bytes:
+        spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_LETTERS)
+        return np.array([t.id for t in tokenizer(self.path).model.tokenize(spelt)], "<u4").tobytes()
+
+
+class Ids(_Bounded):
+    """Id bytes (little-endian unsigned 32-bit integers) of chunks."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.parts = _Parts(path)
+
+    def make(self, chunk: str) -> bytes:
+        if _LATIN(chunk) and "<|" not in chunk:
+            return b"".join(map(self.parts.__getitem__, _PARTS(chunk.lower())))
+        return np.array(tokenizer(self.path).encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
         """The id bytes of a whole text."""
-        words = chunks(text)
-        if new := [*{w for w in words if w not in self}]:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-                new = [*dict.fromkeys(words)]
-            for at in range(0, len(new), 20_000):
-                self.update(zip(new[at : at + 20_000], encode(self.path, new[at : at + 20_000]), strict=True))
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, chunks(text)))
 
 
 @functools.cache
