@@ -13,20 +13,21 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tideline.llm.common import batch_of, id_and_text, written
-from tideline.llm.words import chunks, encode, tokenizer
+from tideline.llm.words import chunks, ids_of, tokenizer
 
-#: Characters of documents that share a word numbering, and pieces of a block's word list.
-BLOCK_CHARS, LISTS = 8_000_000, 64
-_SPLIT = "block long, bucket int, doc_id long, data binary"
+#: Characters of documents that share a word numbering, documents of one stored row, buckets of distinct words.
+BLOCK_CHARS, TOGETHER, LISTS = 20_000_000, 100, 64
+_SPLIT = "block long, bucket int, doc_ids array<long>, sizes array<int>, data binary"
 _FULL = "doc_id long, ids binary, decoded string"
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class _Numbers(dict):
@@ -38,40 +39,71 @@ class _Numbers(dict):
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
-
-
-def _unpack(x: bytes, kind: str = "<u4") -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+    """Seven bits a byte, the low ones first, and compressed; for numbers below 2^28."""
+    x = x.astype("u4")
+    parts = np.empty((len(x), 4), "u1")
+    for k in range(4):
+        parts[:, k] = x >> 7 * k & 127 | np.where(x >> 7 * k + 7 > 0, 128, 0)
+    keep = np.ones((len(x), 4), bool)
+    for k in range(1, 4):
+        keep[:, k] = x >> 7 * k > 0
+    return zlib.compress(parts[keep].tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(data), "u1")
+    last = np.flatnonzero(flat < 128)
+    starts = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    out = np.zeros(len(last), "u4")
+    for k in range(4):
+        at = starts + k
+        inside = at <= last
+        out[inside] |= (flat[at[inside]] & 127).astype("u4") << 7 * k
+    return out
+
+
+class _Block:
+    """Documents whose words share one numbering, the most frequent word first."""
+
+    def __init__(self, number: int):
+        self.number, self.words, self.size, self.docs, self.codes = number, _Numbers(), 0, [], []
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        self.codes.append(np.array([*map(self.words.__getitem__, chunks(text))], "u4"))
+        self.docs.append(doc_id)
+        self.size += len(text)
+
+    def rows(self, lists: int) -> Iterator[pa.RecordBatch]:
+        """Its documents' word numbers (bucket -1), each number's bucket (-2) and the words of each bucket."""
+        order = np.argsort(-np.bincount(np.concatenate(self.codes), minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), "u4")
+        rank[order] = np.arange(len(order), dtype="u4")
+        for at in range(0, len(self.docs), TOGETHER):
+            codes = self.codes[at : at + TOGETHER]
+            yield batch_of(_SPLIT, [(self.number, -1, self.docs[at : at + TOGETHER], [*map(len, codes)], _pack(rank[np.concatenate(codes)]))])
+        words = [*self.words]
+        words = [words[i] for i in order.tolist()]
+        of = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % lists for w in words]
+        by: list[list[str]] = [[] for _ in range(lists)]
+        for bucket, word in zip(of, words, strict=True):
+            by[bucket].append(word)
+        yield batch_of(_SPLIT, [(self.number, -2, None, None, zlib.compress(bytes(of), 1))])
+        for bucket, some in enumerate(by):
+            if some:
+                yield batch_of(_SPLIT, [(self.number, bucket, None, None, zlib.compress(" ".join(some).encode("utf-8", "surrogatepass"), 6))])
 
 
 def _split(lists: int):
-    """Rows of a block: its documents' word numbers (bucket -1), its words by bucket, each number's bucket (-2)."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, numbers = TaskContext.get().partitionId() << 32, 0, _Numbers()
-
-        def words() -> pa.RecordBatch:
-            of = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % lists for w in numbers]
-            by = [[] for _ in range(lists)]
-            for bucket, word in zip(of, numbers, strict=True):
-                by[bucket].append(word)
-            rows = [(block, b, None, " ".join(x).encode("utf-8", "surrogatepass")) for b, x in enumerate(by) if x]
-            return batch_of(_SPLIT, [*rows, (block, -2, None, _pack(np.array(of, "u1")))])
-
+        block = _Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows.append((block, -1, doc_id, _pack(np.array([*map(numbers.__getitem__, chunks(text))], "<u4"))))
-                size += len(text)
-                if size >= BLOCK_CHARS:
-                    if numbers:
-                        yield words()
-                    block, size, numbers = block + 1, 0, _Numbers()
-            if rows:
-                yield batch_of(_SPLIT, rows)
-        if numbers:
-            yield words()
+                block.add(doc_id, text)
+                if block.size >= BLOCK_CHARS:
+                    yield from block.rows(lists)
+                    block = _Block(block.number + 1)
+        if block.docs:
+            yield from block.rows(lists)
 
     return run
 
@@ -82,59 +114,54 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, bytes] = {}
         for batch in batches:
-            out = []
             for block, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "data")), strict=True):
-                words = data.decode("utf-8", "surrogatepass").split(" ")
+                words = zlib.decompress(data).decode("utf-8", "surrogatepass").split(" ")
                 if new := [w for w in words if w not in table]:
-                    table.update(zip(new, encode(path, new), strict=True))
+                    table.update(zip(new, map(ids_of(path).make, new), strict=True))
                 found = [table[w] for w in words]
-                sizes = np.fromiter(map(len, found), "<u4", len(found)) // 4
-                out.append((block, bucket, None, _pack(np.concatenate([np.array([len(found)], "<u4"), sizes, np.frombuffer(b"".join(found), "<u4")]))))
-            if out:
-                yield batch_of(_SPLIT, out)
+                sizes = np.fromiter(map(len, found), "u4", len(found)) // 4
+                yield batch_of(_SPLIT, [(block, bucket, None, [len(found)], _pack(np.concatenate([sizes, np.frombuffer(b"".join(found), "<u4")])))])
 
     return run
 
 
-def _put_back(path: str):
+def _put_back(path: str, digests: bool):
     """One block: its words' ids in the order of their numbers, then each document's ids by position."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, data, doc_ids = np.asarray(table.column("bucket")), table.column("data").to_pylist(), table.column("doc_id").to_pylist()
-        ids: list[bytes] = []
-        if (own := np.flatnonzero(bucket == -2)).size:
-            of = _unpack(data[own[0]], "u1")
-            order, answers = np.argsort(of, kind="stable").tolist(), []
-            for at in sorted(np.flatnonzero(bucket >= 0).tolist(), key=lambda i: bucket[i]):
-                x = _unpack(data[at])
-                ends = np.cumsum(x[1 : x[0] + 1]).tolist()
-                flat = x[x[0] + 1 :].tobytes()
-                answers += [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
-            ids = [b""] * len(order)
-            for number, answer in zip(order, answers, strict=True):
-                ids[number] = answer
+        bucket, data, sizes, docs = np.asarray(table.column("bucket")), table.column("data"), table.column("sizes"), table.column("doc_ids")
+        of = np.frombuffer(zlib.decompress(data[int(np.flatnonzero(bucket == -2)[0])].as_py()), "u1")
+        ids = [b""] * len(of)
+        order, place = np.argsort(of, kind="stable").tolist(), 0
+        for at in sorted(np.flatnonzero(bucket >= 0).tolist(), key=lambda i: bucket[i]):
+            n, x = sizes[at].as_py()[0], _unpack(data[at].as_py())
+            flat, a = x[n:].astype("<u4").tobytes(), 0
+            for size in (4 * x[:n]).tolist():
+                ids[order[place]] = flat[a : a + size]
+                place, a = place + 1, a + size
         pieces = [" " + tokenizer(path).id_to_token(i) for i in range(tokenizer(path).get_vocab_size())]
         spelt = ["".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
         out = []
         for at in np.flatnonzero(bucket == -1).tolist():
-            codes = _unpack(data[at]).tolist()
-            whole, text = b"".join([ids[c] for c in codes]), "".join([spelt[c] for c in codes])[1:]
-            out.append((doc_ids[at], whole, text))
-        return pa.Table.from_batches([batch_of(_FULL, out)])
+            codes, a = _unpack(data[at].as_py()).tolist(), 0
+            for doc_id, n in zip(docs[at].as_py(), sizes[at].as_py(), strict=True):
+                own, a = codes[a : a + n], a + n
+                whole, text = b"".join([ids[c] for c in own]), "".join([spelt[c] for c in own])[1:]
+                if digests:
+                    out.append((doc_id, len(whole) // 4, sha256(whole).hexdigest(), sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
+                else:
+                    out.append((doc_id, whole, text))
+        return pa.Table.from_batches([batch_of(_DIGESTS if digests else _FULL, out)])
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, lists: int = LISTS) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, digests: bool = False, lists: int = LISTS) -> DataFrame:
     """``doc_id, ids, decoded`` of every row of ``docs``: ids as little-endian unsigned 32-bit integers.
 
-    ``lists`` (up to 256) is the number of buckets over which the distinct words are dealt.
+    With ``digests``, their number and SHA-256 instead, computed where the block is. ``lists`` (up to 256) is the
+    number of buckets over which the distinct words are dealt.
     """
     split = written(id_and_text(docs).mapInArrow(_split(lists), _SPLIT), "bpe-split")
     answers = split.where("bucket >= 0").repartition("bucket").mapInArrow(_encode(path), _SPLIT)
-    return split.where("bucket < 0").unionAll(answers).groupBy("block").applyInArrow(_put_back(path), _FULL)
-
-
-def digests(encoded: DataFrame) -> DataFrame:
-    """Token counts and digests of ``encode_decode``'s rows."""
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return split.where("bucket < 0").unionAll(answers).groupBy("block").applyInArrow(_put_back(path, digests), _DIGESTS if digests else _FULL)
