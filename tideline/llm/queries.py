@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import bpe, gif, packing, rules
+from tideline.llm import bpe, gif, packing, quality, rules, toxicity
 from tideline.llm.common import documents
 
 #: The tokenizer of the contracts; every operator takes a path.
@@ -15,7 +16,24 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_decode(documents(spark, sf_dir), WORDS))
+    return bpe.encode_decode(documents(spark, sf_dir), WORDS, digests=True)
+
+
+def fold(n: int, rest: int) -> Column:
+    """Whether a document is held out: crc32 of its id, as text, has this remainder; a null id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == rest, F.lit(False))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold(3, 1)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold(4, 2)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_rules, op6_gif, op9_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_rules, op5_toxicity, op6_gif, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
