@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, gif, packing, quality, rules, toxicity
+from tideline.llm import bpe, gif, minhash, packing, quality, rules, toxicity
 from tideline.llm.common import documents
 
 #: The tokenizer of the contracts; every operator takes a path.
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), 3, 85).drop("key")
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(documents(spark, sf_dir)).select("doc_id", *rules.MEASURES[:5], "base_failed", "kept")
 
@@ -49,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_rules, op5_toxicity, op6_gif, op9_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_rules, op5_toxicity, op6_gif, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
