@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, gif, minhash, packing, quality, rules, toxicity
+from tideline.llm import bpe, gif, minhash, packing, quality, rules, suffixes, toxicity
 from tideline.llm.common import documents
 
 #: The tokenizer of the contracts; every operator takes a path.
@@ -52,8 +52,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORDS)
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_rules, op5_toxicity, op6_gif, op9_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_rules, op5_toxicity, op6_gif, op9_packing, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
