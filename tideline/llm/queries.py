@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, gif, minhash, packing, quality, rules, suffixes, toxicity
+from tideline.llm import attribution, bpe, chat, gif, minhash, packing, quality, rules, suffixes, toxicity
 from tideline.llm.common import documents
 
-#: The tokenizer of the contracts; every operator takes a path.
-WORDS = public_tokenizers.path("word_bpe_49k.json")
+#: The tokenizers of the queries; every operator takes a path.
+WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,15 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.read_texts(gif.store_texts(documents(spark, sf_dir))).drop("histogram")
 
 
+def op7_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.token_counts(documents(spark, sf_dir), BYTES)
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.conversation_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.format_calls(calls, results, chat.ASK).select("conv_id", "turn", "call_id", "level", "n_results", "result_turn", "valid", "json")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORDS)
 
@@ -57,8 +66,8 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_rules, op5_toxicity, op6_gif, op9_packing, op10_suffixes)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_rules, op5_toxicity, op6_gif, op7_attribution, op8_chat, op9_packing, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rules": rules.SQL}
+    return {"op4_rules": rules.SQL, "op8_chat": chat.SQL}
