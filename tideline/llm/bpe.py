@@ -6,6 +6,9 @@
 4. Decode: a word's ids are joined to the tokenizer's id-to-piece table (bounded by its vocabulary).
 
 What is shuffled is each block's distinct words and the word numbers of the documents, never one row for each token.
+A block is named by its content and split twice, once for its words and once for its numbers, so nothing is stored in
+between; ``docs`` must give the same rows in the same partitions each time, as a table does. If it doesn't, a block's
+answers are missing and the task fails: no wrong ids are returned.
 Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated rows.
 """
 
@@ -13,18 +16,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import batch_of, id_and_text, written
+from tideline.llm.common import batch_of, id_and_text
 from tideline.llm.words import chunks, ids_of, tokenizer
 
 #: Characters of documents that share a word numbering, documents of one stored row, buckets of distinct words.
-BLOCK_CHARS, TOGETHER, LISTS = 20_000_000, 100, 64
+BLOCK_CHARS, TOGETHER, LISTS = 32_000_000, 100, 64
 _SPLIT = "block long, bucket int, doc_ids array<long>, sizes array<int>, data binary"
 _FULL = "doc_id long, ids binary, decoded string"
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -47,7 +49,7 @@ def _pack(x: np.ndarray) -> bytes:
     keep = np.ones((len(x), 4), bool)
     for k in range(1, 4):
         keep[:, k] = x >> 7 * k > 0
-    return zlib.compress(parts[keep].tobytes(), 1)
+    return zlib.compress(parts[keep].tobytes(), 6)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -65,45 +67,48 @@ def _unpack(data: bytes) -> np.ndarray:
 class _Block:
     """Documents whose words share one numbering, the most frequent word first."""
 
-    def __init__(self, number: int):
-        self.number, self.words, self.size, self.docs, self.codes = number, _Numbers(), 0, [], []
+    def __init__(self):
+        self.words, self.size, self.docs, self.codes = _Numbers(), 0, [], []
 
     def add(self, doc_id: int | None, text: str) -> None:
         self.codes.append(np.array([*map(self.words.__getitem__, chunks(text))], "u4"))
         self.docs.append(doc_id)
         self.size += len(text)
 
-    def rows(self, lists: int) -> Iterator[pa.RecordBatch]:
-        """Its documents' word numbers (bucket -1), each number's bucket (-2) and the words of each bucket."""
+    def rows(self, lists: int, words: bool) -> Iterator[pa.RecordBatch]:
+        """The words of each bucket, or else the documents' word numbers (bucket -1) and each number's bucket (-2)."""
         order = np.argsort(-np.bincount(np.concatenate(self.codes), minlength=len(self.words)), kind="stable")
+        ranked = [*self.words]
+        ranked = [ranked[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+        name = int.from_bytes(blake2b(b" ".join(ranked), digest_size=8).digest(), "little", signed=True)
+        of = [zlib.crc32(w) % lists for w in ranked]
+        if words:
+            by: list[list[bytes]] = [[] for _ in range(lists)]
+            for bucket, word in zip(of, ranked, strict=True):
+                by[bucket].append(word)
+            for bucket, some in enumerate(by):
+                if some:
+                    yield batch_of(_SPLIT, [(name, bucket, None, None, zlib.compress(b" ".join(some), 6))])
+            return
+        yield batch_of(_SPLIT, [(name, -2, None, None, zlib.compress(bytes(of), 1))])
         rank = np.empty(len(order), "u4")
         rank[order] = np.arange(len(order), dtype="u4")
         for at in range(0, len(self.docs), TOGETHER):
             codes = self.codes[at : at + TOGETHER]
-            yield batch_of(_SPLIT, [(self.number, -1, self.docs[at : at + TOGETHER], [*map(len, codes)], _pack(rank[np.concatenate(codes)]))])
-        words = [*self.words]
-        words = [words[i] for i in order.tolist()]
-        of = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % lists for w in words]
-        by: list[list[str]] = [[] for _ in range(lists)]
-        for bucket, word in zip(of, words, strict=True):
-            by[bucket].append(word)
-        yield batch_of(_SPLIT, [(self.number, -2, None, None, zlib.compress(bytes(of), 1))])
-        for bucket, some in enumerate(by):
-            if some:
-                yield batch_of(_SPLIT, [(self.number, bucket, None, None, zlib.compress(" ".join(some).encode("utf-8", "surrogatepass"), 6))])
-
-
-def _split(lists: int):
+            yield batch_of(_SPLIT, [(name, -1, self.docs[at : at + TOGETHER], [*map(len, codes)], _pack(rank[np.concatenate(codes)]))])
+
+
+def _split(lists: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(TaskContext.get().partitionId() << 32)
+        block = _Block()
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 block.add(doc_id, text)
                 if block.size >= BLOCK_CHARS:
-                    yield from block.rows(lists)
-                    block = _Block(block.number + 1)
+                    yield from block.rows(lists, words)
+                    block = _Block()
         if block.docs:
-            yield from block.rows(lists)
+            yield from block.rows(lists, words)
 
     return run
 
@@ -133,12 +138,16 @@ def _put_back(path: str, digests: bool):
         of = np.frombuffer(zlib.decompress(data[int(np.flatnonzero(bucket == -2)[0])].as_py()), "u1")
         ids = [b""] * len(of)
         order, place = np.argsort(of, kind="stable").tolist(), 0
-        for at in sorted(np.flatnonzero(bucket >= 0).tolist(), key=lambda i: bucket[i]):
+        buckets, answers = np.unique(bucket, return_index=True)  # blocks of equal words have equal answers
+        answers = answers[buckets >= 0]
+        for at in answers.tolist():
             n, x = sizes[at].as_py()[0], _unpack(data[at].as_py())
             flat, a = x[n:].astype("<u4").tobytes(), 0
             for size in (4 * x[:n]).tolist():
                 ids[order[place]] = flat[a : a + size]
                 place, a = place + 1, a + size
+        if place < len(order):
+            raise ValueError("documents changed while they were read: a block's words have no ids")
         pieces = [" " + tokenizer(path).id_to_token(i) for i in range(tokenizer(path).get_vocab_size())]
         spelt = ["".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
         out = []
@@ -162,6 +171,6 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False, lists: int
     With ``digests``, their number and SHA-256 instead, computed where the block is. ``lists`` (up to 256) is the
     number of buckets over which the distinct words are dealt.
     """
-    split = written(id_and_text(docs).mapInArrow(_split(lists), _SPLIT), "bpe-split")
-    answers = split.where("bucket >= 0").repartition("bucket").mapInArrow(_encode(path), _SPLIT)
-    return split.where("bucket < 0").unionAll(answers).groupBy("block").applyInArrow(_put_back(path, digests), _DIGESTS if digests else _FULL)
+    texts = id_and_text(docs)
+    answers = texts.mapInArrow(_split(lists, True), _SPLIT).repartition("bucket").mapInArrow(_encode(path), _SPLIT)
+    return texts.mapInArrow(_split(lists, False), _SPLIT).unionAll(answers).groupBy("block").applyInArrow(_put_back(path, digests), _DIGESTS if digests else _FULL)
