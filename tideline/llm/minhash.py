@@ -110,7 +110,7 @@ def _similar(percent: int):
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``u, v, linked`` of pairs of nodes, on their full sets."""
     x, y = sets.select(F.col("node").alias("u"), F.col("found").alias("x")), sets.select(F.col("node").alias("v"), F.col("found").alias("y"))
-    return pairs.select("u", "v").join(x, "u").join(y, "v").mapInArrow(_similar(percent), "u long, v long, linked boolean")
+    return pairs.select("u", "v").join(x.hint("merge"), "u").join(y.hint("merge"), "v").mapInArrow(_similar(percent), "u long, v long, linked boolean")
 
 
 def _blocks(percent: int):
@@ -169,7 +169,7 @@ def compared(groups: DataFrame, counts: DataFrame, found: DataFrame, sets: DataF
     with_one = F.when(F.col("blocks1") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks1") - 1, F.lit(0))), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(1).alias("other")))).otherwise(F.array().cast("array<struct<i:int,j:int,other:int>>"))
     zero_meets = F.transform(of_zero, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(1).alias("other")))
     meets = dealt.select("leader", "node", "component", "side", F.explode(F.when(F.col("side") == 1, zero_meets).otherwise(F.concat(with_zero, with_one))).alias("m")).select("leader", "m.*", "node", "component", "side")
-    return meets.join(sets, "node").groupBy("leader", "i", "j", "other").applyInArrow(_blocks(percent), "u long, v long")
+    return meets.join(sets.hint("merge"), "node").groupBy("leader", "i", "j", "other").applyInArrow(_blocks(percent), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, n: int =
     groups = written(tables.select("leader", "node", "size").distinct(), "groups")
 
     wanted = groups.select("node").distinct().join(met.select("node", "key"), "node")
-    texts = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
-    sets = written(texts.join(wanted, "key").select("node", "text").mapInArrow(_sets(width), "node long, found binary"), "sets")
+    texts = keyed.join(wanted.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
+    sets = written(texts.join(wanted.hint("merge"), "key").select("node", "text").mapInArrow(_sets(width), "node long, found binary"), "sets")
     counts = groups.groupBy("leader").agg(F.count("*").alias("n"))
     large = groups.join(counts.where(F.col("n") > BLOCK), "leader").where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     stars = written(confirm(large, sets, percent).where("linked").select("u", "v"), "stars")
