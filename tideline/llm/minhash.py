@@ -159,11 +159,13 @@ def compared(groups: DataFrame, counts: DataFrame, found: DataFrame, sets: DataF
     (side 0) only, and these among themselves: block i of side 0 meets block j >= i of side 0 and all of side 1.
     """
     of = found.select(F.col("node").alias("leader"), F.col("component").alias("leaders"))
-    placed = groups.join(found, "node", "left").join(of, "leader", "left").join(counts.where("n > 1"), "leader")
-    placed = placed.select("leader", "node", F.coalesce("component", "node").alias("component"), F.coalesce("leaders", "leader").alias("leaders"), "n")
-    placed = placed.withColumn("side", F.when((F.col("n") > BLOCK) & (F.col("component") == F.col("leaders")), 1).otherwise(0))
+    # what a leader's members are joined to is a table of its own, so Spark can split the members of a hot leader
+    heads = written(counts.where("n > 1").join(of, "leader", "left").select("leader", F.coalesce("leaders", "leader").alias("leaders"), "n"), "heads")
+    placed = groups.join(found, "node", "left").join(heads, "leader").select("leader", "node", F.coalesce("component", "node").alias("component"), "leaders", "n")
+    placed = written(placed.withColumn("side", F.when((F.col("n") > BLOCK) & (F.col("component") == F.col("leaders")), 1).otherwise(0)), "placed")
     sizes = placed.groupBy("leader").agg(*(F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / BLOCK).cast("int").alias(f"blocks{s}") for s in (0, 1)))
-    dealt = placed.join(sizes.where("blocks0 > 0"), "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("blocks1")).otherwise(F.col("blocks0"))).cast("int"))
+    sizes = written(sizes.where("blocks0 > 0"), "sizes")
+    dealt = placed.join(sizes, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("blocks1")).otherwise(F.col("blocks0"))).cast("int"))
     of_zero = F.sequence(F.lit(0), F.col("blocks0") - 1)
     with_zero = F.transform(of_zero, lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"), F.lit(0).alias("other")))
     with_one = F.when(F.col("blocks1") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks1") - 1, F.lit(0))), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(1).alias("other")))).otherwise(F.array().cast("array<struct<i:int,j:int,other:int>>"))
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, n: int =
     wanted = groups.select("node").distinct().join(met.select("node", "key"), "node")
     texts = keyed.join(wanted.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
     sets = written(texts.join(wanted.hint("merge"), "key").select("node", "text").mapInArrow(_sets(width), "node long, found binary"), "sets")
-    counts = groups.groupBy("leader").agg(F.count("*").alias("n"))
+    counts = written(groups.groupBy("leader").agg(F.count("*").alias("n")), "counts")
     large = groups.join(counts.where(F.col("n") > BLOCK), "leader").where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     stars = written(confirm(large, sets, percent).where("linked").select("u", "v"), "stars")
     found = components(stars)
