@@ -9,33 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import minhash, packing, quality, queries, suffixes, toxicity
-from tideline.llm.common import documents, row_key, written
+from tideline.llm.common import documents, row_key, unwrapped, wrapped, written
 
 
-def _judged(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
-    return scored.where(keep).select(*docs.columns)
+def _judged(docs: DataFrame, judge, model, keep) -> DataFrame:
+    return unwrapped(judge.score(wrapped(docs), model, ("rest", "text")).where(keep), docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3, learned as in op5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~queries.fold(4, 2))
-    return _judged(docs, toxicity.score(docs, toxicity.fit(docs, labels), tuple(docs.columns)), F.col("score") < 0.3)
+    return _judged(docs, toxicity, toxicity.fit(docs, labels), F.col("score") < 0.3)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.5 or more, learned as in op2."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~queries.fold(3, 1))
-    return _judged(docs, quality.score(docs, quality.fit(docs, labels), tuple(docs.columns)), F.col("score") >= 0.5)
+    return _judged(docs, quality, quality.fit(docs, labels), F.col("score") >= 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a similarity of 0.8; those without words stay."""
     found = minhash.near_duplicates(docs, 5, 80)
     kept = found.where(F.col("kept") | (F.col("n_shingles") == 0) | F.col("component_id").isNull())
-    keyed = row_key(docs.withColumn("__text", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))))
+    keyed = row_key(wrapped(docs).withColumn("given", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))))
     one = keyed.join(kept.select("key").distinct(), "key", "left_semi")
-    again = F.when(F.col("text") == "", F.xxhash64(*docs.columns)).otherwise(F.lit(0))  # repeated rows are one document
-    return one.withColumn("__again", again).dropDuplicates(["key", "__again"]).withColumn("text", F.col("__text")).select(*docs.columns)
+    again = F.when(F.col("text") == "", F.xxhash64(F.to_json("rest", {"ignoreNullFields": "false"}))).otherwise(F.lit(0))  # repeated rows are one document
+    one = one.withColumn("again", again).dropDuplicates(["key", "again"])
+    return unwrapped(one.withColumn("text", F.col("given")), docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

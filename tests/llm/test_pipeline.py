@@ -49,3 +49,20 @@ def test_odd_rows(spark, odd):
     near = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
     found = sorted((str(r.doc_id), r.text) for r in near.select("doc_id", F.substring("text", 1, 3).alias("text")).fillna("", ["text"]).collect())
     assert found == [("1", ""), ("2", ""), ("3", "one"), ("5", "w w"), ("None", "")]
+
+
+def test_clashing_columns(spark):
+    """User columns named as the stages' own keep their names, types and values, and change nothing else."""
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in [*ROWS, (6, "p" * 450 + " six"), (7, "p" * 450 + " seven")]]
+    plain = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, n int")
+    own = {"key": F.concat(F.lit("k"), "n"), "score": F.concat(F.lit("s"), "n"), "m": F.col("n") + 1, "rest": F.col("n") + 2, "__text": F.col("n") + 3, "__first": F.col("n") + 4, "again": F.col("n") + 5, "given": F.col("n") + 6, "a.b": F.col("n") + 7, "map": F.create_map(F.lit("n"), "n")}
+    more = plain.withColumns(own).repartition(2)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, want = stage(spark, more, SF), stage(spark, plain, SF)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in more.schema], name
+        found = [r.asDict() for r in out.collect()]
+        for r in found:
+            n = r["n"]
+            assert [r[c] for c in own] == [f"k{n}", f"s{n}", *range(n + 1, n + 8), {"n": n}], name
+        # which of a document's repeated rows stays is open, so a row's number isn't compared
+        assert sorted((str(r["doc_id"]), r["text"] or "", r["n_chars"]) for r in found) == sorted((str(r.doc_id), r.text or "", r.n_chars) for r in want.collect()), name

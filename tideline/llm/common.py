@@ -29,6 +29,17 @@ def row_key(df: DataFrame) -> DataFrame:
     return df.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and ``rest``, a struct of all columns but the text: none can clash with an operator's own."""
+    quoted = ("`" + c.replace("`", "``") + "`" for c in docs.columns if c != "text")
+    return docs.select("doc_id", "text", F.struct(*map(F.col, quoted)).alias("rest"))
+
+
+def unwrapped(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``wrapped`` put away, with the text of ``df``."""
+    return df.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns))
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
 

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tideline.llm.common import batch_from, batch_of, id_and_text, row_key, written
+from tideline.llm.common import batch_from, batch_of, id_and_text, row_key, unwrapped, wrapped, written
 from tideline.llm.hashing import Prefixes, mix
 
 #: Bytes of a repeated string, of an anchor; strings of a block; rows of a bucket at most, about.
@@ -237,7 +238,7 @@ def spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray,
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
 
 
-def cut(docs: DataFrame, found: DataFrame, extra: str, fn) -> DataFrame:
+def cut(docs: DataFrame, found: DataFrame, extra: str | StructType, fn) -> DataFrame:
     """``fn`` of each row's columns, bytes and spans; ``docs`` has key, text and what ``fn`` needs."""
     marks = found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("m"))
     marked = docs.join(marks, "key", "left").select(*docs.columns, F.col("m.first").alias("__first"), F.col("m.last").alias("__last"))
@@ -288,16 +289,13 @@ def _kept_text(length: int):
                     parts.append(data[at:x])
                     at = y
                 out.append(b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass"))
-            names = [f for f in batch.schema.names if f not in ("text", "__first", "__last", "key")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in names), pa.array(out, pa.string())], names=[*names, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(out, pa.string())], names=["rest", "text"])
 
     return run
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` without their repeated passages, whole characters kept; their other columns unchanged."""
-    columns = [c for c in docs.columns if c != "text"]
-    keyed = row_key(docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    kinds = dict(docs.dtypes)
-    out = cut(keyed, repeats(keyed.select("key", "text"), length), ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", text string", _kept_text(length))
-    return out.select(*docs.columns)
+    keyed = row_key(wrapped(docs).withColumn("text", F.coalesce("text", F.lit(""))))
+    out = cut(keyed.drop("doc_id"), repeats(keyed.select("key", "text"), length), keyed.select("rest").schema.add("text", "string"), _kept_text(length))
+    return unwrapped(out, docs.columns)

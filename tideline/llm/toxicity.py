@@ -242,5 +242,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             z = np.array([base + sum(weights[f] for f in sorted(found.text(t or ""))) for t in batch.column("text").to_pylist()])
             yield batch.from_arrays([*(batch.column(c) for c in keep), pa.array(1 / (1 + np.exp(-z)))], names=[*keep, "score"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, docs.select(*keep).schema.add("score", "double"))
