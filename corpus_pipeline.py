@@ -30,10 +30,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a similarity of 0.8; those without words stay."""
-    found = minhash.near_duplicates(docs, 5, 80)
-    kept = found.where(F.col("kept") | (F.col("n_shingles") == 0) | F.col("component_id").isNull())
+    kept = minhash.one_of_each(docs, 5, 80)
     keyed = row_key(wrapped(docs).withColumn("given", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))))
-    one = keyed.join(kept.select("key").distinct(), "key", "left_semi")
+    one = keyed.join(kept, "key", "left_semi")
     again = F.when(F.col("text") == "", F.xxhash64(F.to_json("rest", {"ignoreNullFields": "false"}))).otherwise(F.lit(0))  # repeated rows are one document
     one = one.withColumn("again", again).dropDuplicates(["key", "again"])
     return unwrapped(one.withColumn("text", F.col("given")), docs.columns)

@@ -66,3 +66,14 @@ def test_clashing_columns(spark):
             assert [r[c] for c in own] == [f"k{n}", f"s{n}", *range(n + 1, n + 8), {"n": n}], name
         # which of a document's repeated rows stays is open, so a row's number isn't compared
         assert sorted((str(r["doc_id"]), r["text"] or "", r["n_chars"]) for r in found) == sorted((str(r.doc_id), r.text or "", r.n_chars) for r in want.collect()), name
+
+
+def test_one_of_each_group(spark):
+    """Groups without ids, and groups whose rows share one id, keep one document too; what is not linked stays."""
+    w, v = (" ".join(f"{c}{k}" for k in range(100)) for c in "wv")
+    rows = [(None, f"a {w}"), (None, f"b {w}"), (7, f"ONE {v.upper()} 1"), (7, f"one {v} 2"), (7, "some quite different words of one more text"), (8, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(str(i) for i, _ in out) == ["7", "7", "8", "None", "None"] and set(out) <= set(rows)
+    assert sorted(t[:1] for i, t in out if i is None) in (["", "a"], ["", "b"])
+    assert (7, rows[4][1]) in out and len({t for i, t in out if i == 7}) == 2

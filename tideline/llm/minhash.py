@@ -188,12 +188,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, n: int = TUPLES) -> DataFrame:
-    """``key, doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
-
-    Documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles.
-    ``component_id`` is the smallest id that links reach (null if no row there has an id), ``key`` that of ``row_key``.
-    """
+def _linked(docs: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+    """``key, doc_id, n_shingles, component, component_id`` of every row; ``component`` (a node) is null without words."""
     keyed = row_key(id_and_text(docs))
     signed = written(keyed.mapInArrow(_sign(width, n), _SIGNED), "signed")
     nodes = written(
@@ -220,7 +216,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, n: int =
     found = components(links)
 
     least = nodes.join(found, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = found.join(least, "component").select("node", "component_id")
-    ids = nodes.select("node", "first_id").join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked = found.join(least, "component").select("node", "component", "component_id")
+    ids = nodes.select("node", "first_id").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
     out = signed.select("key", "doc_id", "n_shingles", "node").join(ids, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("key", "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("key", "doc_id", "n_shingles", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, n: int = TUPLES) -> DataFrame:
+    """``key, doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+
+    Documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles.
+    ``component_id`` is the smallest id that links reach (null if no row there has an id), ``key`` that of ``row_key``.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return _linked(docs, width, percent, n).select("key", "doc_id", "n_shingles", "component_id", kept)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, n: int = TUPLES) -> DataFrame:
+    """``key`` of one document of each linked group, that of the least id (null last) and key, and of all without words.
+
+    Ids may be null or come again: groups are told apart by what is linked.
+    """
+    rows = _linked(docs, width, percent, n)
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"))
+    return first.select("least.key").unionAll(rows.where("component is null").select("key")).distinct()
