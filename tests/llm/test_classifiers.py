@@ -106,3 +106,17 @@ def test_toxicity(spark, odd):
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
     assert {r.score > 0.3 for r in out if r.doc_id == 4} == {True}
     assert toxicity.score(odd.limit(0), model).count() == 0
+
+
+def test_look_alikes_at_edges_and_doubled_letters(spark):
+    text = "the idiot and the loser said the worthless stupid thing to this clown ass scum " * 50
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    cost = toxicity.language_model(toxicity.count_trigrams(docs))
+    for noisy, plain in {"!diot": "idiot", "|diot": "idiot", "(lown": "clown", "s(um": "scum", '"!diot!!': "idiot", "@$$": "ass", "455": "ass", "iddiot": "idiot", "stuupid": "stupid"}.items():
+        assert [plain] in toxicity.readings(noisy, cost), noisy
+    # what is plain stays: doubled letters of real words, marks at edges
+    for word, plain in {"worthless": "worthless", "ass": "ass", "loser!!": "loser", "(clown)": "clown", "(the": "the"}.items():
+        assert toxicity.restore(word, cost) == [plain], word
+    assert toxicity.readings("12,34", cost) == toxicity.readings("!!", cost) == [[]]
+    found = toxicity._Found(cost, None)
+    assert {"idiot", "clown", "ass", "stupid"} <= found.text("!DIOT (lown @$$ stuupid")

@@ -1,8 +1,10 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A text's words are seen as noisy spellings: leetspeak, letters spaced or dotted apart, letters repeated. A word with
-such marks becomes a character lattice, and Viterbi decoding under a character trigram model of the whole corpus finds
-the likeliest plain spelling; other words are their own only path. The restored words and their beginnings are then
+A text's words are seen as noisy spellings: leetspeak, letters spaced or dotted apart, letters repeated or doubled. A
+word with such marks becomes a character lattice, and Viterbi decoding under a character trigram model of the whole
+corpus finds the likeliest plain spelling; other words are their own only path. A mark at a word's edge that is also a
+look-alike (``!``, ``|``, ``(``) may be either, and both readings count. Words of look-alikes alone are words; numbers
+with marks inside aren't. The restored words and their beginnings are then
 scored by a logistic model.
 
 The character counts cover every document and come as one table of at most 64^3 rows. The scorer is learned from a
@@ -24,13 +26,14 @@ from tideline.llm.common import batch_from, batch_of, id_and_text, written
 #: Labelled rows that the scorer is learned from at most, features that it keeps at most, lengths of beginnings.
 SAMPLE, FEATURES, BEGINNINGS = 20_000, 2_000, (4, 5, 6)
 #: What the channel costs, in natural-log units: a look-alike, a dropped mark, a dropped repetition, a break kept; and
-#: what it costs more to drop or break at a look-alike.
-LOOK_ALIKE, MARK, REPEAT, BREAK, LOST = 0.5, 0.7, 0.3, 1.5, 8.0
+#: what it costs more to drop or break at a look-alike, and what to drop one of just two equal letters.
+LOOK_ALIKE, MARK, REPEAT, BREAK, LOST, DOUBLE = 0.5, 0.7, 0.3, 1.5, 8.0, 5.0
 #: Letters that a digit or sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e", "£": "l"}
 MARKS = set(" .-_*~'/\\,:;#&%=^`")
 _OUTER = "".join(MARKS) + '!?"()[]{}<>|«»“”…'
-_TRIPLE = re.compile(r"(\w)\1\1").search
+_BARE = "".join(c for c in _OUTER if c not in LEET)
+_DOUBLED = re.compile(r"(\w)\1").search
 
 
 def _symbols() -> np.ndarray:
@@ -90,18 +93,22 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return -np.log((c + 20 * two[None]) / (c.sum(2, keepdims=True) + 20)).astype("f4")
 
 
-def decode(token: str, cost: np.ndarray) -> list[str]:
-    """The likeliest plain words behind a noisy lower-case token (its letters may stand apart by spaces)."""
+def decode(token: str, cost: np.ndarray, inner: tuple[int, int] | None = None) -> list[str]:
+    """The likeliest plain words behind a noisy lower-case token (its letters may stand apart by spaces).
+
+    Outside the range ``inner`` a look-alike may be a plain mark, so it costs no more than one to drop.
+    """
+    low, high = inner or (0, len(token))
     # state: the last two symbols; best: cost and spelling, a space where a word breaks
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for i, c in enumerate(token):
         arcs: list[tuple[float, str]] = []
         if c.isalpha():
             arcs.append((0.0, c))
-            if i >= 1 and token[i - 1] == c and (token[max(0, i - 2) : i] == c * 2 or token[i : i + 2] == c * 2):
-                arcs.append((REPEAT, ""))
+            if i >= 1 and token[i - 1] == c:
+                arcs.append((REPEAT if token[max(0, i - 2) : i] == c * 2 or token[i : i + 2] == c * 2 else DOUBLE, ""))
         else:
-            more = LOST if c in LEET else 0.0
+            more = LOST if c in LEET and low <= i < high else 0.0
             arcs += [(LOOK_ALIKE, x) for x in LEET.get(c, "")]
             arcs += [(MARK + more, ""), (BREAK + more, " ")]
         after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -119,14 +126,22 @@ def decode(token: str, cost: np.ndarray) -> list[str]:
     return ended[1].split()
 
 
+def readings(word: str, cost: np.ndarray) -> list[list[str]]:
+    """The plain words behind one lower-case word of a text; then those with its edges' look-alikes as letters."""
+    core, token = word.strip(_OUTER), word.strip(_BARE)
+    if token.isalpha():
+        return [decode(token, cost) if _DOUBLED(token) else [token]]
+    if not core or not (any(map(str.isalpha, core)) or all(c in LEET for c in core)):
+        return [[]]
+    low = len(token) - len(token.lstrip(_OUTER))
+    high = low + len(core)
+    inner = dict.fromkeys([(low, high), (0, high), (low, len(token)), (0, len(token))])
+    return [decode(token, cost, x) for x in inner]
+
+
 def restore(word: str, cost: np.ndarray) -> list[str]:
-    """The plain words behind one lower-case word of a text."""
-    core = word.strip(_OUTER)
-    if core.isalpha():
-        return decode(core, cost) if _TRIPLE(core) else [core]
-    if not any(map(str.isalpha, core)):
-        return []
-    return decode(core, cost)
+    """The likeliest plain words behind one lower-case word of a text."""
+    return readings(word, cost)[0]
 
 
 def spaced(words: list[str]) -> list[str]:
@@ -150,7 +165,7 @@ class _Found(dict):
     def __missing__(self, word: str) -> tuple:
         if len(self) >= 500_000:
             self.clear()
-        found = features(restore(word, self.cost))
+        found = list(dict.fromkeys(f for plain in readings(word, self.cost) for f in features(plain)))
         self[word] = out = tuple(found if self.kept is None else (self.kept[f] for f in found if f in self.kept))
         return out
 
