@@ -42,3 +42,9 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLES])
 def test_rows_only(spark, name):
     assert queries.QUERIES[name](spark, SF).limit(1).count() == 1
+
+
+def test_latest_run_reads_all_orders(spark, con):
+    runs = queries._runs(spark, SF)
+    assert runs.count() == con.sql("select count(*) from orders").fetchall()[0][0]
+    assert {r.stage for r in runs.where("model = 'model_6'").select("stage").distinct().collect()} == {"baseline", "other"}

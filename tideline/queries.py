@@ -357,8 +357,12 @@ def topk_features(spark, sf_dir):
 
 @query("with r as (select 'model_' || (o_custkey % 7) as model, case when o_orderkey % 3 = 0 then 'stage_2' when o_orderkey % 3 = 1 then 'baseline' else 'other' end as stage, 'run_' || strftime(o_orderdate, '%Y%m%d') as run from orders where o_custkey % 7 < 6 or o_orderkey % 3 = 1) select model, stage, run from (select *, row_number() over (partition by model order by stage desc, run desc) as k from r where stage in ('stage_2', 'baseline')) where k = 1")
 def latest_run(spark, sf_dir):
-    runs = table(spark, sf_dir, "orders").where("o_custkey % 7 < 6 or o_orderkey % 3 = 1").selectExpr("concat('model_', o_custkey % 7) as model", "case when o_orderkey % 3 = 0 then 'stage_2' when o_orderkey % 3 = 1 then 'baseline' else 'other' end as stage", "concat('run_', date_format(o_orderdate, 'yyyyMMdd')) as run")
-    return tables.latest_runs(runs, ("stage_2", "baseline"))
+    return tables.latest_runs(_runs(spark, sf_dir), ("stage_2", "baseline"))
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    """A run for every order; model_6 has none of stage_2, so it falls back to its baseline."""
+    return table(spark, sf_dir, "orders").selectExpr("concat('model_', o_custkey % 7) as model", "case when o_orderkey % 3 = 0 and o_custkey % 7 < 6 then 'stage_2' when o_orderkey % 3 = 1 then 'baseline' else 'other' end as stage", "concat('run_', date_format(o_orderdate, 'yyyyMMdd')) as run")
 
 
 @query(f"with {_SCORED}, o as (select id, 'a' as model, y, a as p from e union all select id, 'b', y, b from e) select model, count(*) as n, 0::bigint as n_missing, 0::bigint as n_infinite, count(*) filter (p < 0 or p > 1) as n_outside, round(avg(y), 6) as base_rate from o group by model")
