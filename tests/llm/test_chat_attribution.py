@@ -90,3 +90,30 @@ def test_odd_turns(spark):
     turns = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", None), (None, 2, "user", "x"), (1, 2, "user", ""), (1, 2, "user", ""), (2, None, "assistant", "y"), (3, 1, None, "z")], "conv_id long, turn long, role string, text string")
     rows = chat.format_calls(*chat.conversation_calls(turns), chat.ASK).collect()
     assert sorted((str(r.call_id), r.level, r.n_results, r.valid) for r in rows) == [("1:0", 0, 1, False), ("1:2", 1, 0, True), ("1:2", 1, 0, True), ("None", None, 0, True)]
+
+
+def plain_levels(parents):
+    """Levels by Kahn's passes; calls on a cycle or behind one have none."""
+    parents = {c: set(p) & parents.keys() for c, p in parents.items()}
+    out = {}
+    while True:
+        front = {c: max((out[p] + 1 for p in ps), default=0) for c, ps in parents.items() if c not in out and ps <= out.keys()}
+        if not front:
+            return out
+        out |= front
+
+
+def test_levels(spark):
+    """A chain of 2,000 calls, a hub, random parents, cycles and what hangs on them; the plan stays small."""
+    import random
+
+    rng = random.Random(5)
+    parents = {f"a{k}": [f"a{k - 1}"] for k in range(2000)} | {f"h{k}": ["a7"] for k in range(300)}
+    parents |= {f"d{k}": [f"d{rng.randrange(max(1, k))}" for _ in range(rng.randrange(4))] if k else [] for k in range(120)}
+    parents |= {f"s{k}": [f"s{k - 1}", "a3", "nowhere"] if k % 5 == 0 else [f"s{k - 1}"] for k in range(60)}
+    parents |= {"c0": ["c2"], "c1": ["c0"], "c2": ["c1", "a1"], "c3": ["c2"], "c4": ["c3", "h1"], "e0": ["e1"], "e1": ["e0"], "e2": ["e1"], "self": ["self"]}
+    rows = [*parents.items(), ("h1", ["a7"]), (None, ["a1"]), ("free", None)]
+    found = chat.levels(spark.createDataFrame(rows, "call_id string, depends_on array<string>").repartition(3))
+    assert {r.call_id: r.level for r in found.collect()} == plain_levels(parents | {"free": []}) and found.count() == len(plain_levels(parents)) + 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("\n") < 60
+    assert chat.levels(spark.createDataFrame([], "call_id string, depends_on array<string>")).count() == 0

@@ -5,6 +5,9 @@ on, their arguments are validated against the tools' schemas, and each call is s
 keys, no white space). A row of the result is one call: no conversation is ever collected into one value.
 
 Of several results of one identifier the earliest counts. Null identifiers link with nothing and are in no order.
+Repeated calls keep a row each and share level and results. Null, empty and very long arguments are judged and written
+as they are (what isn't JSON is kept as text). Empty tables give no rows. Columns that clash with those of the result
+belong to the caller: ``format_calls`` takes its inputs' columns by name, ``conversation_calls`` selects its own.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import written
+from tideline.llm.common import forget, new_path, written
 
 #: Types of arguments in schemas, and the pattern of what Spark calls them in parsed JSON.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": r"BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
@@ -33,26 +36,74 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.join(found, "call_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """``call_id, anchor, dist`` of calls (call_id, parent) with one parent: the nearest ancestor that isn't such a call.
+
+    Pointers double with each pass, so a chain of n calls takes log2(n) passes. Calls on a cycle, or behind one, never
+    reach an end and are left out: once a pass brings no further call to its end, only those remain.
+    """
+    known = single.select(F.col("call_id").alias("anchor"), F.lit(False).alias("ended"))
+    state = single.select("call_id", F.col("parent").alias("anchor"), F.lit(1).alias("dist")).join(known, "anchor", "left")
+    state = written(state.select("call_id", "anchor", "dist", F.coalesce("ended", F.lit(True)).alias("ended")), "chains")
+    before, left = None, state.where("not ended").count()
+    while left and left != before:
+        step = state.select(F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("dist").alias("more"), F.col("ended").alias("then"))
+        moved = state.where("not ended").join(step, "anchor").select("call_id", F.col("next").alias("anchor"), (F.col("dist") + F.col("more")).alias("dist"), F.col("then").alias("ended"))
+        after = written(state.where("ended").unionAll(moved), "chains")
+        forget(state)
+        state, before, left = after, left, after.where("not ended").count()
+    return state.where("ended").select("call_id", "anchor", "dist")
+
+
+def _junctions(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``call_id, level`` of calls with several parents; ``edges``: call_id, anchor (a root or such a call), weight.
+
+    Each pass settles the calls whose anchors all have levels; an anchor that is null never gets one. What is settled
+    goes to one folder, so the plan stays as small as that of the first pass.
+    """
+    spark = edges.sparkSession
+    path, schema = new_path(spark, "settled"), "call_id string, level int"
+    front, front_table = roots.select("call_id", F.lit(0).alias("level")), None
+    waiting = written(edges.groupBy("call_id").agg(F.count("*").alias("open"), F.lit(0).alias("level")), "waiting")
+    front.limit(0).write.parquet(path)
+    while waiting.limit(1).count():
+        met = edges.join(front.select(F.col("call_id").alias("anchor"), F.col("level").alias("from")), "anchor").groupBy("call_id").agg(F.count("*").alias("met"), F.max(F.col("from") + F.col("weight")).alias("high"))
+        after = waiting.join(met, "call_id", "left").select("call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("level", "high").alias("level"))
+        after = written(after, "waiting")
+        settled = written(after.where("open = 0").select("call_id", "level"), "front")
+        settled.write.mode("append").parquet(path)
+        rest = written(after.where("open > 0"), "waiting")
+        forget(after, waiting, *([front_table] if front_table is not None else []))
+        waiting, front, front_table = rest, settled, settled
+        if not settled.limit(1).count():
+            break
+    return spark.read.schema(schema).parquet(path)
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``call_id, level``: 0 for calls that depend on no known call, else one more than the highest they depend on.
 
     ``calls`` has call_id and depends_on, an array of identifiers; unknown ones are left out. Calls on a cycle, and
-    those behind one, have no row. Each pass settles one level by a join, however many calls there are.
+    those behind one, have no row. Chains of calls with one parent shrink to a link to what stands before the chain, by
+    pointer doubling; levels then pass along calls with several parents only, one pass for each on the longest way.
     """
-    ids = calls.where("call_id is not null").select("call_id").distinct()
+    calls = calls.where("call_id is not null").select(F.col("call_id").cast("string").alias("call_id"), F.col("depends_on").cast("array<string>").alias("depends_on"))
+    ids = written(calls.select("call_id").distinct(), "calls")
     known = ids.withColumnRenamed("call_id", "parent")
-    edges = calls.where("call_id is not null").select("call_id", F.explode("depends_on").alias("parent")).distinct().join(known, "parent", "left_semi")
+    edges = calls.select("call_id", F.explode("depends_on").alias("parent")).distinct().join(known, "parent", "left_semi")
     edges = written(edges.select("call_id", "parent"), "depends")
-    waiting = edges.groupBy("call_id").agg(F.count("*").alias("open"))
-    done = front = written(ids.join(waiting, "call_id", "left_anti").withColumn("level", F.lit(0)), "level-0")
-    waiting, level = written(waiting, "waiting"), 0
-    while waiting.limit(1).count() and front.limit(1).count():
-        level += 1
-        met = edges.join(front.select(F.col("call_id").alias("parent")), "parent").groupBy("call_id").agg(F.count("*").alias("met"))
-        after = written(waiting.join(met, "call_id", "left").select("call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "waiting")
-        front = after.where("open = 0").select("call_id", F.lit(level).alias("level"))
-        waiting, done = after.where("open > 0"), done.unionAll(front)
-    return done
+    parents = written(edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("parent").alias("parent")), "parents")
+    single = parents.where("n = 1").select("call_id", "parent")
+    roots = ids.join(parents, "call_id", "left_anti")
+    chains = _chains(single)
+    settled = roots.select("call_id", F.lit(0).alias("level"))
+    if parents.where("n > 1").limit(1).count():
+        several = parents.where("n > 1").select("call_id")
+        ends = chains.select(F.col("call_id").alias("parent"), "anchor", "dist").unionAll(roots.unionAll(several).select(F.col("call_id").alias("parent"), F.col("call_id").alias("anchor"), F.lit(0).alias("dist")))
+        into = edges.join(several, "call_id", "left_semi").join(ends, "parent", "left").select("call_id", "anchor", (F.col("dist") + 1).alias("weight"))
+        settled = settled.unionAll(_junctions(written(into, "junctions"), roots))
+    above = settled.select(F.col("call_id").alias("anchor"), F.col("level").alias("from"))
+    return settled.unionAll(chains.join(above, "anchor").select("call_id", (F.col("from") + F.col("dist")).alias("level")))
 
 
 def errors(arguments: Column, name: Column, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]) -> Column:

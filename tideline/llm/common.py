@@ -72,15 +72,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder for one table in the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}-{name}"
+    place, system = _at(spark, path)
+    system.deleteOnExit(place)
+    return path
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: a short lineage that survives the loss of executors.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or with ``forget``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}-{name}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(conf).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._place = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more (loops would fill the disk with them)."""
+    for table in tables:
+        place, system = _at(table.sparkSession, table._place)
+        system.delete(place, True)
