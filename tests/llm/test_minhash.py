@@ -73,3 +73,15 @@ def test_no_rows(spark):
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert found(queries.op3_minhash(spark, "/root/testdata/sf0.01")) == brute(rows, 3, 85)
+
+
+def test_words_of_a_special_form(spark):
+    """Thue-Morse words, whose hashes are equal under any polynomial modulo a power of two."""
+    rows = []
+    for n, (a, b) in enumerate([("a", "b"), ("c", "x")]):
+        for _ in range(11):
+            a, b = a + b, b + a
+        rows += [(10 * n + 1, a), (10 * n + 2, b), (10 * n + 3, f"{a} two three four"), (10 * n + 4, f"{b} two three four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(minhash.near_duplicates(df, 3, 85)) == brute(rows, 3, 85)
+    assert all(r.kept for r in minhash.near_duplicates(df, 3, 85).collect())

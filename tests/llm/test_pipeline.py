@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ ROWS = [(1, None), (2, ""), (2, ""), (3, "one two three four five six seven"), (
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7) for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long, key int").drop("key").repartition(2)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7) for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long, key int").withColumn("score", F.lit("s")).repartition(2)
 
 
 def test_stages(spark):
@@ -37,8 +39,21 @@ def test_stages(spark):
 
     assert kept["near_duplicates"] == near_kept({i: before[i] for i in kept["quality"]}, 5, 80)
     texts = {r.doc_id: r.text for r in rows}
-    want = without_passages({i: before[i] for i in kept["near_duplicates"]}, 400)
+    want = without_passages({i: before[i] for i in kept["near_duplicates"]}, 200, 50)
     assert all(len(want[i]) <= len(t.encode()) <= len(want[i]) + 12 for i, t in texts.items())
+    assert sum(texts[i] != before[i] for i in texts) > 20
+
+
+def test_passages(spark):
+    """A passage of 51 words goes from every document that holds it, wherever it stands; one of 50 words stays."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short = text(51), text(50)
+    rows = [(k, f"{text(30)}{chr(65 + k)} {(long, short)[k % 2]} {chr(65 + k)}{text(20)}") for k in range(12)] + [(100 + k, text(80)) for k in range(5)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()}
+    assert all(out[i] == t for i, t in rows if long not in t)
+    assert not any(long in out[i] for i, t in rows) and all(short in out[k] for k in range(1, 12, 2))
 
 
 def test_odd_rows(spark, odd):

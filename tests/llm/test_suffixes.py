@@ -82,3 +82,23 @@ def test_multikey_order():
     rows = np.stack(columns, 1)
     assert (rows[suffixes.multikey_order(columns)] == np.array(sorted(map(tuple, rows.tolist())))).all()
     assert (suffixes.multikey_order([np.arange(5)[::-1]]) == [4, 3, 2, 1, 0]).all()
+
+
+def test_equal_rows(spark):
+    """Many equal rows cost no more than one in the search, and all of them go; strings of a form that fools polynomials."""
+    rng = random.Random(2)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(300))
+    a, b = "c", "x"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(k % 50, text) for k in range(2000)] + [(5000, f"{text} more"), (5001, "some words and " + text[:700]), (5002, a), (5003, b + "c"), (5004, "short"), (5004, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(suffixes.digests(df)) == brute(rows, 400)
+
+
+def test_many_copies(spark, monkeypatch):
+    """Beyond the bound of a broadcast, repeated texts are told apart by a shuffle."""
+    rows = make(11, 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffixes, "SMALL", 0)
+    assert found(suffixes.digests(df, 100)) == brute(rows, 100)

@@ -28,8 +28,8 @@ def near_kept(texts, width, percent):
     return {i for i in texts if top(i) == i}
 
 
-def without_passages(texts, length):
-    """The bytes that no repeated string of this length covers."""
+def without_passages(texts, length, words=0):
+    """The bytes that no repeated string of this length covers, or that stand in covered runs of so many words at most."""
     data = {i: (t or "").encode() for i, t in texts.items()}
     seen = Counter(hash(d[p : p + length]) for d in data.values() for p in range(len(d) - length + 1))
     out = {}
@@ -38,5 +38,9 @@ def without_passages(texts, length):
         for p in range(len(d) - length + 1):
             if seen[hash(d[p : p + length])] > 1:
                 gone[p : p + length] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            if words and len(d[a:b].split()) <= words:
+                gone[a:b] = False
         out[i] = np.frombuffer(d, "u1")[~gone].tobytes() if d else b""
     return out

@@ -24,9 +24,15 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def text_key(df: DataFrame) -> DataFrame:
+    """Adds ``key``, twelve bytes of the text's SHA-256: rows share it if their texts are equal."""
+    return df.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 24)))
+
+
 def row_key(df: DataFrame) -> DataFrame:
     """Adds ``key``: rows that agree in id and text share it, so it survives any re-run of the scan."""
-    return df.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return df.withColumn("key", F.unhex(F.substring(F.sha2(F.concat_ws(":", F.length(own), own, F.col("text")), 256), 1, 32)))
 
 
 def wrapped(docs: DataFrame) -> DataFrame:

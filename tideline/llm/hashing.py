@@ -1,24 +1,10 @@
-"""Hashes of byte strings inside a text, for all positions at once."""
+"""Hashes of byte strings: of all short ones of a text at once, and digests of longer ones."""
 
 from __future__ import annotations
 
-import numpy as np
-
-_RNG = np.random.Generator(np.random.PCG64(20_240_501))
-_BYTES = _RNG.integers(1, 1 << 63, 256, dtype="u8") * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
-
+from hashlib import blake2b
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers, and those of its inverse, modulo 2^64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 17, 1 << (n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            out = np.full(size, base, "u8")
-            out[0] = 1
-            _POWERS[name] = np.cumprod(out)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+import numpy as np
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,19 +16,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-class Prefixes:
-    """Of one byte string: the hash of any of its substrings, equal for equal bytes wherever they stand."""
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, the first byte highest, so that numbers sort as bytes do."""
+    x = raw.astype("u8")
+    for width in (1, 2, 4):
+        x = x[:-width] << np.uint64(8 * width) | x[width:]
+    return x
+
+
+def grams(eight: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` bytes (a multiple of 8) at each place, from ``eights``."""
+    n = max(0, len(eight) - k + 8)
+    out = np.full(n, 0x9E3779B97F4A7C15, "u8")
+    for at in range(0, k, 8):
+        out = (out ^ eight[at : at + n]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return mix(out)
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, size: int) -> np.ndarray:
+    """A row of ``size`` bytes for each span of ``data`` and its tag: equal for equal bytes and tags only."""
+    found = b"".join([blake2b(data[a:b], digest_size=size, salt=t.to_bytes(8, "little")).digest() for a, b, t in zip(starts.tolist(), ends.tolist(), tags.tolist(), strict=True)])
+    return np.frombuffer(found, "u1").reshape(-1, size)
+
+
+def number(columns: np.ndarray, kind: str) -> np.ndarray:
+    """Some columns of ``digests`` as one number a row."""
+    return np.ascontiguousarray(columns).view(kind).reshape(-1)
 
-    def __init__(self, data: bytes | np.ndarray):
-        raw = np.frombuffer(data, "u1") if isinstance(data, bytes) else data
-        up, self.down = _powers(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, "u8")
-        np.cumsum(_BYTES[raw] * up[:-1], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype("u8"))
+class WordHashes(dict):
+    """Eight-byte digests of words, cached within bounds by a Python worker."""
 
-    def grams(self, k: int) -> np.ndarray:
-        """The hash of the k bytes at each place."""
-        n = max(0, len(self.sums) - k)
-        return mix((self.sums[len(self.sums) - n :] - self.sums[:n]) * self.down[:n] + np.uint64(k))
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = out = blake2b(word, digest_size=8).digest()
+        return out

@@ -5,7 +5,8 @@ collection, so ``2 * tuples`` tuples serve ``tuples ** 2`` tables: minhash work
 of documents shares a table if it agrees in one tuple of each collection at least; at similarity s it misses all of
 them with a probability of at most 2 * (1 - s ** 2) ** tuples, 5.4e-6 for s = 0.85 and ten tuples of two.
 
-1. Sign: one pass makes shingle-set hashes and tuples. Documents of equal sets become one node.
+1. Sign: one pass makes shingle-set hashes and tuples. Documents of equal sets become one node, named by a digest of
+   16 bytes of its set. Words are hashed by a cryptographic digest, so no text of a special form makes words collide.
 2. Tuples that only one node has can't meet another: nodes without a shared tuple in both collections drop out.
 3. Each table has a leader; the nodes that share a table with a leader are its group. Members of large groups are
    compared with the leader first, and those that are linked with it need no comparison among each other.
@@ -18,6 +19,7 @@ Null and empty texts, and texts without words, have no set and no links. Repeate
 from __future__ import annotations
 
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import batch_from, batch_of, id_and_text, row_key, written
-from tideline.llm.hashing import Prefixes, mix
+from tideline.llm.hashing import WordHashes, mix
 
 #: Minhashes of a tuple; tuples of either collection; nodes of a block.
 WIDTH, TUPLES, BLOCK = 2, 10, 256
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_SIGNED = "key long, doc_id long, n_shingles long, node long, a array<long>, b array<long>"
+_SIGNED = "key binary, doc_id long, n_shingles long, node binary, a array<long>, b array<long>"
+_WORDS = WordHashes()
 
 
 def shingles(text: str, width: int) -> np.ndarray:
     """The sorted hashes of a text's distinct shingles; with fewer words, of the whole sequence."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), "u1")  # of bytes: lower-cases A-Z alone
-    gap = np.concatenate([[True], _SPACE[raw], [True]])
-    edges = np.flatnonzero(gap[1:] != gap[:-1])
-    if not len(edges):
+    found = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z alone, and white space of ASCII
+    if not found:
         return np.zeros(0, "u8")
-    words = Prefixes(raw).of(edges[::2], edges[1::2])
+    words = np.frombuffer(b"".join(map(_WORDS.__getitem__, found)), "<u8")
     width = min(width, len(words))
     out = np.zeros(len(words) - width + 1, "u8")
     for k in range(width):
@@ -77,7 +76,7 @@ def _sign(width: int, n: int):
                 found = shingles(text, width)
                 if len(found):
                     t = tuples(found, n).view("i8").tolist()
-                    rows.append((key, doc_id, len(found), int(mix(found).sum(dtype="u8").astype("i8")), t[:n], t[n:]))
+                    rows.append((key, doc_id, len(found), blake2b(found.tobytes(), digest_size=16).digest(), t[:n], t[n:]))
                 else:
                     rows.append((key, doc_id, 0, None, None, None))
             yield batch_of(_SIGNED, rows)
@@ -88,7 +87,7 @@ def _sign(width: int, n: int):
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            yield batch_from("node long, found binary", node=batch.column("node"), found=[shingles(t, width).tobytes() for t in batch.column("text").to_pylist()])
+            yield batch_from("node binary, found binary", node=batch.column("node"), found=[shingles(t, width).tobytes() for t in batch.column("text").to_pylist()])
 
     return run
 
@@ -110,14 +109,14 @@ def _similar(percent: int):
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``u, v, linked`` of pairs of nodes, on their full sets."""
     x, y = sets.select(F.col("node").alias("u"), F.col("found").alias("x")), sets.select(F.col("node").alias("v"), F.col("found").alias("y"))
-    return pairs.select("u", "v").join(x.hint("merge"), "u").join(y.hint("merge"), "v").mapInArrow(_similar(percent), "u long, v long, linked boolean")
+    return pairs.select("u", "v").join(x.hint("merge"), "u").join(y.hint("merge"), "v").mapInArrow(_similar(percent), "u binary, v binary, linked boolean")
 
 
 def _blocks(percent: int):
     """Links between components within a block, or between two: a spanning forest of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, part, side = (np.asarray(table.column(c)) for c in ("node", "component", "side"))
+        node, part, side = table.column("node").to_pylist(), np.unique(table.column("component").to_pylist(), return_inverse=True)[1], np.asarray(table.column("side"))
         sets = [np.frombuffer(x.as_buffer(), "u8") for x in table.column("found")]
         size = np.array([*map(len, sets)])
         shingle, where = np.unique(np.concatenate(sets), return_inverse=True)
@@ -146,8 +145,8 @@ def _blocks(percent: int):
             a, b = top(int(part[i])), top(int(part[j]))
             if a != b:
                 above[a] = b
-                out.append((int(node[i]), int(node[j])))
-        return pa.Table.from_batches([batch_of("u long, v long", out)])
+                out.append((node[i], node[j]))
+        return pa.Table.from_batches([batch_of("u binary, v binary", out)])
 
     return run
 
@@ -171,7 +170,7 @@ def compared(groups: DataFrame, counts: DataFrame, found: DataFrame, sets: DataF
     with_one = F.when(F.col("blocks1") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks1") - 1, F.lit(0))), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(1).alias("other")))).otherwise(F.array().cast("array<struct<i:int,j:int,other:int>>"))
     zero_meets = F.transform(of_zero, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(1).alias("other")))
     meets = dealt.select("leader", "node", "component", "side", F.explode(F.when(F.col("side") == 1, zero_meets).otherwise(F.concat(with_zero, with_one))).alias("m")).select("leader", "m.*", "node", "component", "side")
-    return meets.join(sets.hint("merge"), "node").groupBy("leader", "i", "j", "other").applyInArrow(_blocks(percent), "u long, v long")
+    return meets.join(sets.hint("merge"), "node").groupBy("leader", "i", "j", "other").applyInArrow(_blocks(percent), "u binary, v binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,7 +206,7 @@ def _linked(docs: DataFrame, width: int, percent: int, n: int) -> DataFrame:
 
     wanted = groups.select("node").distinct().join(met.select("node", "key"), "node")
     texts = keyed.join(wanted.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
-    sets = written(texts.join(wanted.hint("merge"), "key").select("node", "text").mapInArrow(_sets(width), "node long, found binary"), "sets")
+    sets = written(texts.join(wanted.hint("merge"), "key").select("node", "text").mapInArrow(_sets(width), "node binary, found binary"), "sets")
     counts = written(groups.groupBy("leader").agg(F.count("*").alias("n")), "counts")
     large = groups.join(counts.where(F.col("n") > BLOCK), "leader").where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     stars = written(confirm(large, sets, percent).where("linked").select("u", "v"), "stars")

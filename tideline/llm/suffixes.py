@@ -13,8 +13,12 @@ such), that depends on its bytes alone: equal strings have equal anchors at equa
    that all of a block's strings have (core) and by all their bytes. Equal blocks repeat as a whole.
 3. Strings: where blocks share a core but differ, one block of each kind, string by string.
 
+A string's bytes are compared as its eight leading bytes and digests of 64 (the anchor) and 96 bits (the whole).
+
 Null, empty and short texts have no string of LENGTH bytes and lose nothing. Of repeated rows every one is a repeat of
-the others. Overlapping repeats in one text count; no match goes from one text into another.
+the others, and one of them stands for all in the search. Very long texts are taken in segments. Equal strings in one
+text are repeats too, and overlaps count; no match goes from one text into another. Tables without rows give none.
+Clashing columns: ``digests`` reads doc_id and text alone, ``without_repeats`` carries all others in a struct.
 """
 
 from __future__ import annotations
@@ -28,24 +32,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tideline.llm.common import batch_from, batch_of, id_and_text, row_key, unwrapped, wrapped, written
-from tideline.llm.hashing import Prefixes, mix
+from tideline.llm.common import arrow_schema, batch_of, id_and_text, text_key, unwrapped, wrapped, written
+from tideline.llm.hashing import digests as digests_of
+from tideline.llm.hashing import eights, grams, number
 
 #: Bytes of a repeated string, of an anchor; strings of a block; rows of a bucket at most, about.
 LENGTH, GRAM, STEP, BUCKET = 400, 32, 16, 1_000_000
 #: Strings of a text that are taken at a time (their places tell ties apart, in 24 bits).
 SEGMENT = 1 << 23
-_ROWS = "lead long, deep long, whole long, key long, first int, last int, anchor int"
+#: Keys of repeated texts that are broadcast at most (twelve bytes each); more are joined by a shuffle.
+SMALL = 500_000
+_SORT = ("lead", "deep", "whole", "more")
+_ROWS = "lead long, deep long, whole long, more int, key binary, first int, last int, anchor int"
 _RANKED = _ROWS + ", flag int, deeper boolean, place long"
 _PLAIN, _SHARED, _REPEATED = 0, 1, 2
 
 
-def _lead(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place, so that numbers sort as bytes do; the text goes on for as long there."""
-    out = np.zeros(len(at), "u8")
+def _lead(eight: np.ndarray) -> np.ndarray:
+    """Eight leading bytes as a signed number, so that Spark sorts it as bytes."""
+    return (eight ^ np.uint64(1 << 63)).view("i8")
+
+
+def _leads(data: bytes, at: np.ndarray) -> np.ndarray:
+    raw, out = np.frombuffer(data, "u1"), np.zeros(len(at), "u8")
     for k in range(8):
         out = out << np.uint64(8) | raw[at + k]
-    return (out ^ np.uint64(1 << 63)).view("i8")
+    return _lead(out)
+
+
+def _whole(data: bytes, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The digest of a row's whole bytes: 96 bits as two numbers."""
+    found = digests_of(data, starts, ends, tags, 12)
+    return number(found[:, :8], "<i8"), number(found[:, 8:], "<i4")
 
 
 def anchors(raw: np.ndarray, grams: np.ndarray, length: int) -> np.ndarray:
@@ -62,42 +80,39 @@ def anchors(raw: np.ndarray, grams: np.ndarray, length: int) -> np.ndarray:
 
 
 def runs(data: bytes, length: int):
-    """lead, deep, whole, first, last, anchor of a text's runs."""
+    """lead, deep, whole, more, first, last, anchor of a text's runs."""
     parts = []
     for at in range(0, max(0, len(data) - length + 1), SEGMENT):
         raw = np.frombuffer(data, "u1")[at : at + SEGMENT + length - 1]
-        sums = Prefixes(raw)
-        grams = sums.grams(GRAM)
-        place = anchors(raw, grams, length)
+        eight = eights(raw)
+        hashes = grams(eight, GRAM)
+        place = anchors(raw, hashes, length)
         ends = np.append(np.flatnonzero(place[1:] != place[:-1]), len(place) - 1)
         first = np.append(0, ends[:-1] + 1)
         anchor = place[ends]
-        parts.append((_lead(raw, anchor), grams[anchor].view("i8"), sums.of(first, ends + length).view("i8"), first + at, ends + at, anchor + at))
+        parts.append((_lead(eight[anchor]), hashes[anchor].view("i8"), *_whole(data, first + at, ends + at + length, np.zeros_like(first)), first + at, ends + at, anchor + at))
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
 
 
 def blocks(data: bytes, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int):
     """The same of the blocks of some runs; ``anchor`` is that of the run."""
-    raw, sums = np.frombuffer(data, "u1"), Prefixes(data)
     low, high = (anchor - last) // STEP, (anchor - first) // STEP
     count = high - low + 1
     of = np.repeat(np.arange(len(first)), count)
     q = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + low[of]
     a, b = np.maximum(first[of], anchor[of] - STEP * q - STEP + 1), np.minimum(last[of], anchor[of] - STEP * q)
     core = anchor[of] - STEP * q
-    deep = mix(sums.of(core, core - STEP + 1 + length) + q.astype("u8"))
-    whole = mix(sums.of(a, b + length) + (anchor[of] - a).astype("u8"))
-    return _lead(raw, core), deep.view("i8"), whole.view("i8"), a, b, anchor[of]
+    deep = number(digests_of(data, core, core - STEP + 1 + length, q, 8), "<i8")
+    return _leads(data, core), deep, *_whole(data, a, b + length, anchor[of] - a), a, b, anchor[of]
 
 
 def strings(data: bytes, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int):
     """The same of every string of some blocks."""
-    raw, sums = np.frombuffer(data, "u1"), Prefixes(data)
     count = last - first + 1
     of = np.repeat(np.arange(len(first)), count)
     at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
-    whole = sums.of(at, at + length).view("i8")
-    return _lead(raw, at), whole, whole, at, at, anchor[of]
+    found = digests_of(data, at, at + length, np.zeros_like(at), 20)
+    return _leads(data, at), number(found[:, :8], "<i8"), number(found[:, 8:16], "<i8"), number(found[:, 16:], "<i4"), at, at, anchor[of]
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -120,23 +135,28 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _flags(lead: np.ndarray, deep: np.ndarray, whole: np.ndarray) -> np.ndarray:
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted rows: whether a row differs from the one before it."""
+    return np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+
+
+def _flags(lead: np.ndarray, deep: np.ndarray, *whole: np.ndarray) -> np.ndarray:
     """Of sorted rows: whether a neighbour shares the leading bytes and the deep hash, and the whole too."""
-    shared = (lead[1:] == lead[:-1]) & (deep[1:] == deep[:-1])
+    shared = ~_new(lead, deep)[1:]
     out = np.zeros(len(lead), "i4")
-    for same, flag in ((shared, _SHARED), (shared & (whole[1:] == whole[:-1]), _REPEATED)):
+    for same, flag in ((shared, _SHARED), (shared & ~_new(*whole)[1:], _REPEATED)):
         out[1:][same] = flag
         out[:-1][same] = np.maximum(out[:-1][same], flag)
     return out
 
 
-def _deeper(lead: np.ndarray, deep: np.ndarray, whole: np.ndarray) -> np.ndarray:
+def _deeper(lead: np.ndarray, deep: np.ndarray, *whole: np.ndarray) -> np.ndarray:
     """Of sorted rows: the first of each kind among rows that share leading bytes and deep hash but differ.
 
     Rows that reach a bucket's end may differ from those beyond it, so the first of each kind goes on there too.
     """
-    new = np.append(True, (lead[1:] != lead[:-1]) | (deep[1:] != deep[:-1]))
-    kind = new | np.append(True, whole[1:] != whole[:-1])
+    new = _new(lead, deep)
+    kind = new | _new(*whole)
     group = np.cumsum(new) - 1
     kinds, sizes = np.bincount(group, kind), np.bincount(group)
     open_ = np.zeros(len(sizes), bool)
@@ -150,15 +170,16 @@ def _bucket(batches):
     if not parts:
         return
     table = pa.Table.from_batches(parts)
-    columns = {f: np.asarray(table.column(f)) for f in table.column_names}
-    order = multikey_order([columns[c] for c in ("lead", "deep", "whole")])
-    columns = {f: x[order] for f, x in columns.items()}
-    sort_key = [columns[c] for c in ("lead", "deep", "whole")]
+    order = multikey_order([np.asarray(table.column(c)) for c in _SORT])
+    sort_key = [np.asarray(table.column(c))[order] for c in _SORT]
     flag, deeper = _flags(*sort_key), _deeper(*sort_key)
     place = np.full(len(flag), -1, "i8")
     place[-1], place[0] = 2 * TaskContext.get().partitionId() + 1, 2 * TaskContext.get().partitionId()
     keep = (flag == _REPEATED) | deeper | (place >= 0)
-    yield batch_from(_RANKED, flag=flag[keep], deeper=deeper[keep], place=place[keep], **{f: x[keep] for f, x in columns.items()})
+    out = table.take(pa.array(order[keep])).combine_chunks()
+    for name, column in (("flag", flag), ("deeper", deeper), ("place", place)):
+        out = out.append_column(name, pa.array(column[keep]))
+    yield from out.cast(arrow_schema(_RANKED)).to_batches()
 
 
 def _as_neighbour(*columns: str):
@@ -172,42 +193,39 @@ def ranked(rows: DataFrame) -> DataFrame:
     ``rows`` must be a written table: Spark reads it twice, for the splitters and for the buckets.
     """
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET))
-    dealt = rows.repartitionByRange(buckets, "lead", "deep", "whole", "key", "first").mapInArrow(_bucket, _RANKED)
+    dealt = rows.repartitionByRange(buckets, *_SORT, "key", "first").mapInArrow(_bucket, _RANKED)
     out = written(dealt, "ranked")
-    ends = out.where("place >= 0").withColumns({"shared": _as_neighbour("lead", "deep"), "equal": _as_neighbour("lead", "deep", "whole")})
+    ends = out.where("place >= 0").withColumns({"shared": _as_neighbour("lead", "deep"), "equal": _as_neighbour(*_SORT)})
     ends = ends.withColumns({"flag": F.when(F.col("equal"), _REPEATED).otherwise(F.col("flag")), "deeper": F.col("deeper") | (F.col("shared") & (F.col("flag") == _PLAIN))})
     return out.where("place < 0").unionAll(ends.select(out.columns)).where((F.col("flag") == _REPEATED) | F.col("deeper")).drop("place")
 
 
-def _emit(make, length: int):
-    """Rows of a level from texts; ``make`` takes a text's bytes and the parent rows."""
-
-    def run(batches):
-        for batch in batches:
-            parts = []
-            for row in batch.to_pylist():
-                of = [np.array(row[c], "i8") for c in ("first", "last", "anchor")]
-                made = make(row["text"].encode("utf-8", "surrogatepass"), *of, length)
-                parts.append((*made[:3], np.full(len(made[0]), row["key"]), *made[3:]))
-            if parts:
-                yield batch_from(_ROWS, **dict(zip(("lead", "deep", "whole", "key", "first", "last", "anchor"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+def _level(keys: list[bytes], parts: list) -> pa.RecordBatch:
+    """A batch of _ROWS from what each text, by its key, has made."""
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    key = pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), [len(p[0]) for p in parts])))
+    arrays = [*map(pa.array, columns[:4]), key, *map(pa.array, columns[4:])]
+    return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, arrow_schema(_ROWS), strict=True)], schema=arrow_schema(_ROWS))
 
-    return run
 
+def _emit(make, length: int):
+    """Rows of a level from texts; ``make`` takes a text's bytes and, but on the first level, the parent rows."""
 
-def _first_level(length: int):
     def run(batches):
         for batch in batches:
-            parts, size = [], 0
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if (made := runs(text.encode("utf-8", "surrogatepass"), length)) is not None:
-                    parts.append((*made[:3], np.full(len(made[0]), key), *made[3:]))
+            keys, parts, size = [], [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                row = dict(zip(batch.schema.names, row, strict=True))
+                of = [np.array(row[c], "i8") for c in ("first", "last", "anchor") if c in row]
+                if (made := make(row["text"].encode("utf-8", "surrogatepass"), *of, length)) is not None:
+                    keys.append(row["key"])
+                    parts.append(made)
                     size += len(made[0])
                 if size > 100_000:
-                    yield batch_from(_ROWS, **dict(zip(("lead", "deep", "whole", "key", "first", "last", "anchor"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-                    parts, size = [], 0
+                    yield _level(keys, parts)
+                    keys, parts, size = [], [], 0
             if parts:
-                yield batch_from(_ROWS, **dict(zip(("lead", "deep", "whole", "key", "first", "last", "anchor"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                yield _level(keys, parts)
 
     return run
 
@@ -218,13 +236,12 @@ def _by_key(rows: DataFrame) -> DataFrame:
     return rows.select("key", *(F.col(f"r.{c}").alias(c) for c in ("first", "last", "anchor")))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``key, first, last``: places at which repeated strings begin, by ``row_key``'s key; ``docs`` has key and text."""
-    level1 = ranked(written(docs.mapInArrow(_first_level(length), _ROWS), "runs"))
-    shared = _by_key(level1.where("deeper"))
-    texts = written(docs.join(shared, "key"), "shared-texts")
-    level2 = ranked(written(texts.mapInArrow(_emit(blocks, length), _ROWS), "blocks"))
-    again = texts.select("key", "text").join(_by_key(level2.where("deeper")), "key")
+def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``key, first, last``: places at which repeated strings begin; ``texts`` has key and text, each key once."""
+    level1 = ranked(written(texts.mapInArrow(_emit(runs, length), _ROWS), "runs"))
+    shared = written(texts.join(_by_key(level1.where("deeper")), "key"), "shared-texts")
+    level2 = ranked(written(shared.mapInArrow(_emit(blocks, length), _ROWS), "blocks"))
+    again = shared.select("key", "text").join(_by_key(level2.where("deeper")), "key")
     level3 = ranked(written(again.mapInArrow(_emit(strings, length), _ROWS), "strings"))
     found = level1.unionAll(level2).unionAll(level3).where(F.col("flag") == _REPEATED)
     return found.select("key", "first", "last")
@@ -238,11 +255,25 @@ def spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray,
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
 
 
-def cut(docs: DataFrame, found: DataFrame, extra: str | StructType, fn) -> DataFrame:
-    """``fn`` of each row's columns, bytes and spans; ``docs`` has key, text and what ``fn`` needs."""
+def cut(docs: DataFrame, length: int, extra: str | StructType, fn) -> DataFrame:
+    """``fn`` of each row's columns, text and marks (``__first``, ``__last``); ``docs`` has key (of its text) and text.
+
+    A text that comes again is a repeat from end to end. Only one row of each such text goes through the levels, so
+    copies, however many, cost no more than their own reading.
+    """
+    again = written(docs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    if again.count() <= SMALL:
+        once, copies = docs.join(F.broadcast(again), "key", "left_anti"), docs.join(F.broadcast(again), "key", "left_semi")
+    else:
+        parted = written(docs.join(again.withColumn("__again", F.lit(True)), "key", "left"), "parted")
+        once, copies = parted.where("__again is null").drop("__again"), parted.where("__again").drop("__again")
+    long_enough = F.octet_length("text") >= length
+    of_copies = written(copies.where(long_enough).select("key", "text").dropDuplicates(["key"]), "copies")
+    found = repeats(once.select("key", "text").unionAll(of_copies), length)
     marks = found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("m"))
-    marked = docs.join(marks, "key", "left").select(*docs.columns, F.col("m.first").alias("__first"), F.col("m.last").alias("__last"))
-    return marked.mapInArrow(fn, extra)
+    marked = once.join(marks, "key", "left").select(*docs.columns, F.col("m.first").alias("__first"), F.col("m.last").alias("__last"))
+    whole = lambda c: F.when(long_enough, F.array(c.cast("int")))
+    return marked.unionAll(copies.select(*docs.columns, whole(F.lit(0)), whole(F.octet_length("text") - length))).mapInArrow(fn, extra)
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -267,11 +298,10 @@ def _digest(length: int):
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row of ``docs``: sizes, removed runs and the digest of the bytes that stay."""
-    keyed = row_key(id_and_text(docs))
-    return cut(keyed, repeats(keyed.select("key", "text"), length), _OUT, _digest(length))
+    return cut(text_key(id_and_text(docs)), length, _OUT, _digest(length))
 
 
-def _kept_text(length: int):
+def _kept_text(length: int, words: int):
     def run(batches):
         for batch in batches:
             out = []
@@ -282,6 +312,8 @@ def _kept_text(length: int):
                 data = text.encode("utf-8", "surrogatepass")
                 parts, at = [], 0
                 for x, y in zip(*(s.tolist() for s in spans(np.array(first, "i8"), np.array(last, "i8"), length)), strict=True):
+                    if words and len(data[x:y].split()) <= words:
+                        continue
                     while x < y and data[x] & 0xC0 == 0x80:  # a character that is covered in part stays
                         x += 1
                     while y < len(data) and y > x and data[y] & 0xC0 == 0x80:
@@ -294,8 +326,11 @@ def _kept_text(length: int):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of ``docs`` without their repeated passages, whole characters kept; their other columns unchanged."""
-    keyed = row_key(wrapped(docs).withColumn("text", F.coalesce("text", F.lit(""))))
-    out = cut(keyed.drop("doc_id"), repeats(keyed.select("key", "text"), length), keyed.select("rest").schema.add("text", "string"), _kept_text(length))
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """The rows of ``docs`` without their repeated passages, whole characters kept; their other columns unchanged.
+
+    With ``words``, only passages of more words than that go (a part of a word at a passage's end counts).
+    """
+    keyed = text_key(wrapped(docs).withColumn("text", F.coalesce("text", F.lit(""))))
+    out = cut(keyed.drop("doc_id"), length, keyed.select("rest").schema.add("text", "string"), _kept_text(length, words))
     return unwrapped(out, docs.columns)
