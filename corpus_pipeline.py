@@ -38,9 +38,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return unwrapped(one.withColumn("text", F.col("given")), docs.columns)
 
 
+#: Repeated passages: strings of so many bytes are searched, and what they cover goes if it has more words than this.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 400 bytes and more that stand elsewhere too; ``n_chars`` follows the text."""
-    out = suffixes.without_repeats(docs)
+    """Documents without passages of over 50 words that stand elsewhere too; ``n_chars`` follows the text."""
+    out = suffixes.without_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
