@@ -120,3 +120,12 @@ def test_look_alikes_at_edges_and_doubled_letters(spark):
     assert toxicity.readings("12,34", cost) == toxicity.readings("!!", cost) == [[]]
     found = toxicity._Found(cost, None)
     assert {"idiot", "clown", "ass", "stupid"} <= found.text("!DIOT (lown @$$ stuupid")
+
+
+def test_bounded_sample(spark):
+    """The bound counts rows; repeated ids count once, with the higher of two labels."""
+    docs = spark.createDataFrame([(i % 40, f"text {i % 3}") for i in range(2000)] + [(None, "no id")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(2, 1), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", 10).collect()
+    assert len(rows) <= 10 and len(toxicity.labelled_sample(docs, labels, "toxic", 100).collect()) == 40
+    assert toxicity.labelled_sample(docs.where("doc_id = 2"), labels, "toxic", 100).collect()[0].y == 1

@@ -8,7 +8,10 @@ with marks inside aren't. The restored words and their beginnings are then
 scored by a logistic model.
 
 The character counts cover every document and come as one table of at most 64^3 rows. The scorer is learned from a
-bounded sample of labelled rows (SAMPLE). Null and empty texts have no words: the model's intercept is their score.
+bounded sample of labelled rows (SAMPLE), from every feature that has evidence there. Null and empty texts have no
+words: the model's intercept is their score. Repeated rows get equal scores, ties and very long texts nothing special
+(a text is read word by word); empty tables give no rows, and without labels of both kinds the score is one constant.
+Clashing columns: ``score`` gives the columns in ``keep`` unchanged, so these mustn't be called ``score``.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import batch_from, batch_of, id_and_text, written
 
-#: Labelled rows that the scorer is learned from at most, features that it keeps at most, lengths of beginnings.
-SAMPLE, FEATURES, BEGINNINGS = 20_000, 2_000, (4, 5, 6)
+#: Labelled rows that the scorer is learned from at most, lengths of beginnings.
+SAMPLE, BEGINNINGS = 20_000, (4, 5, 6)
 #: What the channel costs, in natural-log units: a look-alike, a dropped mark, a dropped repetition, a break kept; and
 #: what it costs more to drop or break at a look-alike, and what to drop one of just two equal letters.
 LOOK_ALIKE, MARK, REPEAT, BREAK, LOST, DOUBLE = 0.5, 0.7, 0.3, 1.5, 8.0, 5.0
@@ -185,10 +188,14 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """``text, y`` of at most ``bound`` labelled documents, dealt by a hash of their ids."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return id_and_text(docs).join(known, "doc_id").select("text", "y")
+    """``text, y`` of at most ``bound`` labelled documents, dealt by a hash of their ids; a row for each id.
+
+    Of labels that disagree the higher one counts; of texts that share an id, that of the least hash.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    one = F.min(F.struct(F.xxhash64("text"), "text"))
+    return id_and_text(docs).join(known, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), one.alias("t")).select("t.text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -217,8 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     share = F.col("n1") / (F.col("n0") + F.col("n1"))
     gain = F.col("n1") * F.log(share / rate) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     least = float(np.log(max(1, counted.count()))) + 1
-    rows = counted.where((share > rate) & (gain > least)).orderBy(gain.desc(), "feature").limit(FEATURES).collect()
-    kept = {r.feature: i for i, r in enumerate(rows)}
+    # the sample bounds their number: none has evidence in fewer than two of its toxic rows
+    rows = counted.where((share > rate) & (gain > least)).select("feature").collect()
+    kept = {f: i for i, f in enumerate(sorted(r.feature for r in rows))}
 
     def hits(batches):
         found = _Found(shared.value, kept)
