@@ -103,6 +103,7 @@ def test_packing_documents(spark, tok):
     for r in rows:
         steps[r.step_group] += r.length
     assert max(steps.values()) == packing.STEP_TOKENS
+    assert sum(n < packing.STEP_TOKENS for n in steps.values()) <= len(packing.TIERS)  # the last group of each tier
 
 
 def test_odd_white_space():

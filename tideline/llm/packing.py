@@ -3,12 +3,14 @@
 A document of n tokens goes to the smallest tier that holds it; what exceeds the longest tier fills whole windows of
 its own. Each tier packs its documents best-fit; a long window's gap is filled from the shorter tiers' waiting pieces,
 and only when nothing fits is a piece cut. A window is closed when it is exactly full, so closed windows have a power
-of two of tokens and no padding. Windows of one tier are dealt to step groups of equal token totals.
+of two of tokens and no padding. Windows of one tier are dealt to step groups of equal token totals, counted through
+over all tasks: only a tier's last group is short.
 
 First level: every task packs its own documents, with a bounded pool of waiting pieces. Second level: the open pieces
 left at a task's end (less than the pool's bound) meet those of other tasks, again in bounded groups, and the last
 window of such a group is the only one with padding. Null and empty texts are one end token; a repeated row is packed
-as often as it comes.
+as often as it comes. Very long texts fill windows of their own; ties keep the order of arrival; an empty table has no
+pieces. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import batch_of, id_and_text, written
@@ -29,7 +31,7 @@ from tideline.llm.words import ids_of
 TIERS = (256, 512, 1024, 2048)
 #: Waiting pieces of each tier; tasks whose rests meet; tokens of a step group.
 POOL, MEET, STEP_TOKENS = 64, 64, 16_384
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, nth long"
 _RESTS = _PIECES + ", rest binary, task long"
 
 
@@ -38,7 +40,7 @@ class _Packer:
 
     def __init__(self, first: int):
         self.pools: dict[int, list] = {t: [] for t in TIERS}
-        self.base = self.next = first
+        self.next = first
         self.made, self.out, self.seen = dict.fromkeys(TIERS, 0), [], 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -83,9 +85,9 @@ class _Packer:
         insort(self.pools[next(t for t in TIERS if piece[0] <= t)], piece)
 
     def emit(self, tier: int, window: list) -> None:
-        offset, step = 0, self.base + (self.made[tier] * tier // STEP_TOKENS) * len(TIERS) + TIERS.index(tier)
+        offset = 0
         for n, _, doc_id, start, ids, total in window:
-            self.out.append((doc_id, start, n, zlib.crc32(ids), total, self.next, offset, tier, step))
+            self.out.append((doc_id, start, n, zlib.crc32(ids), total, self.next, offset, tier, self.made[tier]))
             offset += n
         self.next += 1
         self.made[tier] += 1
@@ -132,4 +134,15 @@ def pack(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
     local = written(id_and_text(docs).mapInArrow(_local(path, end), _RESTS), "pack-local")
     done = local.where("rest is null").drop("rest", "task")
     rests = local.where("rest is not null").groupBy(F.floor(F.col("task") / MEET).alias("meeting")).applyInArrow(_together, _PIECES)
-    return done.unionAll(rests)
+    return with_steps(done.unionAll(written(rests, "pack-rests")))
+
+
+def with_steps(pieces: DataFrame) -> DataFrame:
+    """Adds ``step_group`` from the windows' numbers within their task and tier (``nth``), which go."""
+    lane = F.shiftright("sequence_id", 32).alias("lane")  # the task, or the meeting of tasks
+    made = pieces.groupBy("tier", lane).agg((F.max("nth") + 1).alias("made"))
+    before = F.sum("made").over(Window.partitionBy("tier").orderBy("lane")) - F.col("made")
+    before = made.select(F.col("tier").alias("__tier"), F.col("lane").alias("__lane"), before.alias("__before"))  # a row for each task and tier
+    step = F.floor((F.col("__before") + F.col("nth")) * F.col("tier") / STEP_TOKENS) * len(TIERS) + F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")) - 1
+    placed = pieces.join(before, (F.col("tier") == F.col("__tier")) & (F.shiftright("sequence_id", 32) == F.col("__lane")))
+    return placed.withColumn("step_group", step.cast("long")).drop("nth", "__tier", "__lane", "__before")
