@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import re
 import zlib
 from collections import Counter
@@ -125,7 +126,7 @@ def test_frames(spark):
     full, small = np.full((10, 4), 1), np.array([[2, 3], [3, 2]])
     local = bytes([9, 9, 9, 8, 8, 8, 200, 0, 0, 7, 7, 7])
     data = b"GIF89a" + bytes([4, 0, 10, 0, 0x81, 0, 0]) + palette + picture(full, 0, 0, 1, interlaced=True) + picture(small, 1, 1, 3, transparent=3) + picture(small, 0, 0, 2, local=local) + bytes([0x21, 0xFE]) + block(b"comment") + picture(small, 2, 2, 0, delay=7) + b"\x3b"
-    shown = gif.read_gif(data)
+    shown = [*gif.read_gif(data)]
     red, green, blue = (255, 0, 0), (0, 255, 0), (0, 0, 255)
     assert len(shown) == 4 and (shown[0].canvas == red).all()
     assert tuple(shown[1].canvas[1, 1]) == green and tuple(shown[1].canvas[1, 2]) == red
@@ -149,3 +150,41 @@ def test_payloads(spark, docs):
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, sum(r.histogram)) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(payload))
     assert gif.read_texts(gif.store_texts(docs.limit(0))).count() == 0
+
+
+def plain_reader(stream, size):
+    """Bytes of a code stream, bit by bit."""
+    bits, at, width, clear, out, table, last = int.from_bytes(stream, "little"), 0, size + 1, 1 << size, b"", {}, None
+    while True:
+        code, at = bits >> at & (1 << width) - 1, at + width
+        if code == clear:
+            table, width, last = {i: bytes([i]) for i in range(clear)} | {clear: None, clear + 1: None}, size + 1, None
+        elif code == clear + 1:
+            assert (at + 7) // 8 == len(stream)
+            return out
+        else:
+            found = table[code] if code in table else last + last[:1]
+            if last is not None and len(table) < 4096:
+                table[len(table)] = last + found[:1]
+            width = min(12, max(width, len(table).bit_length()))
+            last, out = found, out + found
+
+
+def test_writer():
+    """What the writer makes is read back by a plain reader, and is a plain writer's stream until a table is full."""
+    rng = random.Random(8)
+    for data in (b"", b"a", b"aaaaaaa", rng.randbytes(30_000), b"the cat and the hat " * 4000, bytes(20_000)):
+        assert plain_reader(gif.lzw(data), 8) == data == gif.unlzw(gif.lzw(data), 8, len(data))
+        assert gif.lzw(data[:3000]) == lzw([*data[:3000]], 8)
+
+
+def test_broken():
+    """Bad code sizes end a file's frames, and a header alone can't ask for memory."""
+    head = b"GIF89a" + bytes([4, 0, 4, 0, 0x81, 0, 0]) + bytes(12)
+    good = picture(np.full((4, 4), 1), 0, 0, 1)
+    for size in (0, 9, 11, 12, 200, 255):
+        bad = good[:18] + bytes([size]) + good[19:]
+        assert len([*gif.read_gif(head + good + bad + good + b"\x3b")]) == 1 and [*gif.read_gif(head + bad)] == []
+    assert [*gif.read_gif(b"GIF89a" + b"\xff" * 4 + head[10:] + good)] == []
+    wide = good[:8] + struct.pack("<BHHHHB", 0x2C, 0, 0, 65535, 65535, 0) + good[18:]
+    assert [*gif.read_gif(head + wide)] == []

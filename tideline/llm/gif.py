@@ -2,8 +2,12 @@
 
 The reader decodes LZW code streams (any code size, with or without dictionary codes), applies global and local
 palettes, interlacing, transparency and the disposal rules, and gives every frame as the canvas that a viewer shows.
-The writer stores 8-bit samples losslessly as frames of a grey palette; its code streams hold literal codes with a
-clear code in time, so codes stay 9 bits wide. Null and empty payloads are 64 zero bytes: one row of samples.
+The writer stores 8-bit samples losslessly as frames of a grey palette, with dictionary codes and a clear code whenever
+the table is full; what it wrote is read by the same decoder as any other file.
+
+Null and empty payloads are 64 zero bytes: one row of samples. Very long ones take several frames, which are decoded one
+at a time. Repeated rows give repeated rows, empty tables none. What isn't a GIF, a code size beyond 8 bits and a canvas
+of over MAX_PIXELS have no frames; a file that breaks off has those before the break. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import functools
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,23 +27,41 @@ from tideline.llm.common import batch_of, id_and_text
 
 #: Samples of a row, and rows of a frame at most: longer payloads take more frames.
 WIDTH, ROWS, DELAY = 64, 4096, 10
+#: Pixels of a canvas at most: headers can claim 65,535 x 65,535 and hold nothing.
+MAX_PIXELS = 1 << 25
 _GREY = bytes(x for i in range(256) for x in (i, i, i))
 
 
 # ---------------------------------------------------------------- code streams
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
-    """9-bit codes, least significant bit first: eight codes are nine bytes."""
-    n = len(codes)
-    groups = np.zeros(-(-n // 8) * 8, "<u8")
-    groups[:n] = codes
-    groups = groups.reshape(-1, 8)
-    low = np.bitwise_or.reduce(groups << (np.arange(8, dtype="u8") * np.uint64(9)), axis=1)
-    out = np.empty((len(groups), 9), "u1")
-    out[:, :8] = low.astype("<u8").view("u1").reshape(-1, 8)
-    out[:, 8] = groups[:, 7] >> np.uint64(1)
-    return out.tobytes()[: (9 * n + 7) // 8]
+def lzw(data: bytes) -> bytes:
+    """The code stream of bytes at minimum code size 8: each code the longest string that the table has."""
+    clear, codes, widths = 256, [np.array([256])], [np.array([9])]
+    table: dict[int, int] = {}
+    run: list[int] = []
+    after, prefix = clear + 2, -1
+    known, put = table.get, run.append
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+        elif (code := known(pair := prefix << 8 | byte)) is not None:
+            prefix = code
+        else:
+            put(prefix)
+            table[pair] = after
+            after, prefix = after + 1, byte
+            if after == 4096:
+                codes.append(np.array([*run, clear]))
+                widths.append(_widths(8)[: len(run) + 1])
+                table.clear()
+                run.clear()
+                after = clear + 2
+    codes.append(np.array([*run, *([prefix] if prefix >= 0 else []), clear + 1]))
+    widths.append(_widths(8)[: len(codes[-1])])
+    bit = np.arange(12)
+    bits = np.concatenate(codes)[:, None] >> bit & 1
+    return np.packbits(bits[bit < np.concatenate(widths)[:, None]].astype("u1"), bitorder="little").tobytes()
 
 
 def _codes(data: np.ndarray, start: int, widths: np.ndarray) -> np.ndarray:
@@ -61,9 +84,7 @@ def unlzw(data: bytes, size: int, n: int) -> bytes:
     """The first ``n`` indices of a code stream of minimum code size ``size``; missing ones are 0."""
     clear, bits = 1 << size, 8 * len(data)
     padded = np.frombuffer(data + b"\0\0\0\0", "u1")
-    if size == 8 and (literal := _literals(padded, bits, n)) is not None:
-        return literal
-    out, at, made = bytearray(), 0, len(data)
+    out, at = bytearray(), 0
     while at < bits and len(out) < n:
         widths = _widths(size)
         codes = _codes(padded, at, widths)
@@ -92,45 +113,21 @@ def unlzw(data: bytes, size: int, n: int) -> bytes:
 
 
 def _expand(codes: list[int], clear: int, out: bytearray) -> None:
-    """Appends what the codes between two clear codes stand for: entry k is code k's string and one byte more."""
-    starts, lengths, first = [], [], clear + 2
+    """Appends what the codes between two clear codes stand for: each adds an entry, the last string and a byte more."""
+    table = [bytes([i]) for i in range(clear)] + [b"", b""]
+    parts, last, add = [], b"", table.append
     for code in codes:
-        start = len(out)
-        if code < clear:
-            out.append(code)
+        if code < len(table):
+            entry = table[code]
+        elif code == len(table) < 4096 and last:  # the entry that this very code completes
+            entry = last + last[:1]
         else:
-            k = code - first
-            if not 0 <= k < len(starts) or k >= 4096 - first:
-                return  # not a code that a writer may give here
-            a, length = starts[k], lengths[k] + 1
-            if a + length <= start:
-                out += out[a : a + length]
-            else:  # the entry that this very code completes
-                out += out[a : start] + out[a : a + 1]
-        starts.append(start)
-        lengths.append(len(out) - start)
-
-
-def _literals(data: np.ndarray, bits: int, n: int) -> bytes | None:
-    """The fast way for streams of 9-bit literal codes and clear codes; None for all other streams."""
-    count = bits // 9
-    groups = -(-count // 8)
-    raw = np.zeros(9 * groups, "u1")
-    raw[: min(len(raw), len(data))] = data[: len(raw)]
-    raw = raw.reshape(-1, 9)
-    low = np.ascontiguousarray(raw[:, :8]).view("<u8")
-    codes = np.empty((groups, 8), "u2")
-    codes[:, :7] = low >> (np.arange(7, dtype="u8") * np.uint64(9)) & np.uint64(511)
-    codes[:, 7] = (low[:, 0] >> np.uint64(63)).astype("u2") | raw[:, 8].astype("u2") << 1
-    codes = codes.reshape(-1)[:count]
-    if (end := np.flatnonzero(codes == 257)).size == 0:
-        return None
-    codes = codes[: end[0]]
-    clears = np.flatnonzero(codes == 256)
-    if np.diff(np.concatenate([[-1], clears, [len(codes)]])).max() > 255 or (codes > 256).any():
-        return None
-    found = codes[codes < 256].astype("u1").tobytes()
-    return found[:n] + bytes(max(0, n - len(found)))
+            break  # not a code that a writer may give here
+        parts.append(entry)
+        if last and len(table) < 4096:
+            add(last + entry[:1])
+        last = entry
+    out += b"".join(parts)
 
 
 # ---------------------------------------------------------------- files
@@ -151,12 +148,14 @@ class Frame:
     height: int
 
 
-def read_gif(data: bytes) -> list[Frame]:
-    """All frames of a file; nothing for what isn't a GIF, and the whole frames before a cut-off end."""
+def read_gif(data: bytes) -> Iterator[Frame]:
+    """All frames of a file; nothing for what isn't a GIF, and the whole frames before a cut-off end or a bad code size."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
-        return []
+        return
     width, height, flags = struct.unpack_from("<HHB", data, 6)
-    at, frames, clock = 13, [], 0
+    if width * height > MAX_PIXELS:
+        return
+    at, clock = 13, 0
     palette = None
     if flags & 128:
         n = 3 << (flags & 7) + 1
@@ -179,6 +178,8 @@ def read_gif(data: bytes) -> list[Frame]:
                 n = 3 << (flags & 7) + 1
                 colours, at = data[at : at + n], at + n
             body, after = _skip(data, at + 1)
+            if not 1 <= data[at] <= 8 or w * h > MAX_PIXELS:
+                break
             index = np.frombuffer(unlzw(body, data[at], w * h), "u1").reshape(h, w)
             at = after
             if flags & 64:
@@ -197,7 +198,7 @@ def read_gif(data: bytes) -> list[Frame]:
             else:
                 seen = index != transparent
                 part[seen] = table[index[seen]]
-            frames.append(Frame(canvas.copy(), clock, 10 * delay, disposal, transparent, left, top, w, h))
+            yield Frame(canvas.copy(), clock, 10 * delay, disposal, transparent, left, top, w, h)
             clock += 10 * delay
             if disposal == 2:
                 part[:] = 0
@@ -205,8 +206,7 @@ def read_gif(data: bytes) -> list[Frame]:
                 canvas = before
             delay, disposal, transparent = 0, 0, -1
     except (IndexError, struct.error):
-        pass
-    return frames
+        return
 
 
 def _skip(data: bytes, at: int) -> tuple[bytes, int]:
@@ -225,12 +225,7 @@ def write_samples(payload: bytes) -> bytes:
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(len(payload) // WIDTH, ROWS), 0xF7, 0, 0), _GREY]
     for part in parts:
         n = len(part)
-        segments = -(-n // 254)
-        codes = np.full((segments, 255), 256, "u2")
-        flat = np.zeros(254 * segments, "u2")
-        flat[:n] = np.frombuffer(part, "u1")
-        codes[:, 1:] = flat.reshape(-1, 254)
-        stream = pack_codes(np.append(codes.reshape(-1)[: n + segments], 257))
+        stream = lzw(part)
         whole = len(stream) // 255
         blocks = np.full((whole, 256), 255, "u1")
         blocks[:, 1:] = np.frombuffer(stream, "u1")[: 255 * whole].reshape(-1, 255)
@@ -239,7 +234,7 @@ def write_samples(payload: bytes) -> bytes:
     return b"".join([*out, b"\x3b"])
 
 
-def read_samples(frames: list[Frame]) -> bytes:
+def read_samples(frames: Iterable[Frame]) -> bytes:
     """The samples of a written file, from the shown canvases."""
     return b"".join(np.ascontiguousarray(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0]).tobytes() for f in frames)
 
@@ -280,12 +275,12 @@ def _read(batches):
     for batch in batches:
         rows = []
         for doc_id, n, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-            shown = read_gif(media)
-            payload = read_samples(shown)
-            counts = [0] * 64
-            for f in shown:
+            parts, counts = [], [0] * 64
+            for f in read_gif(media):
+                parts.append(read_samples([f]))
                 counts = [a + b for a, b in zip(counts, histogram(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width]), strict=True)]
-            feature = f"{len(shown)}x{WIDTH}x{len(payload) // WIDTH}:" + ",".join(f"{i}={c}" for i, c in enumerate(counts) if c)
+            payload = b"".join(parts)
+            feature = f"{len(parts)}x{WIDTH}x{len(payload) // WIDTH}:" + ",".join(f"{i}={c}" for i, c in enumerate(counts) if c)
             rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, counts))
         yield batch_of(_READ, rows)
 

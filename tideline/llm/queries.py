@@ -45,7 +45,7 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.read_texts(gif.store_texts(documents(spark, sf_dir))).drop("histogram")
+    return gif.read_texts(gif.store_texts(documents(spark, sf_dir)))
 
 
 def op7_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
