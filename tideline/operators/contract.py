@@ -12,8 +12,22 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.ranks import as_rows, exact_percentiles
+
 #: Features that are winsorised besides the clip of all ratios, and the cardinality up to which nothing is clipped.
 RATIO, UPPER, CLIP, FEW = "ratio", 0.99, (0.001, 0.999), 10
+WINSORISED = (
+    "withdraw_recency_ratio",
+    "withdraw_recency_ratio_log",
+    "net_flow_ratio",
+    "balance_to_spend_pressure",
+    "deposit_vol_recency_ratio",
+    "withdraw_vol_recency_ratio",
+    "mm_send_vol_recency_ratio",
+    "avg_txn_size_withdraw",
+    "avg_txn_size_withdraw_trend",
+    "avg_txn_size_mm_send",
+)
 
 
 def clean(c: str) -> Column:
@@ -23,12 +37,14 @@ def clean(c: str) -> Column:
 
 
 def _percentiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], approximate: bool) -> dict[str, list[float]]:
-    """Percentiles of many columns in one aggregation; exact ones interpolate linearly."""
+    """Percentiles of many columns at once; exact ones interpolate linearly."""
     if not columns:
         return {}
-    make = (lambda c: F.percentile_approx(c, F.array(*map(F.lit, shares)), 100_000)) if approximate else (lambda c: F.percentile(c, F.array(*map(F.lit, shares))))
-    row = df.agg(*(make(c).alias(c) for c in columns)).first()
-    return {c: list(row[c] or []) for c in columns}
+    if approximate:
+        row = df.agg(*(F.percentile_approx(c, F.array(*map(F.lit, shares)), 100_000).alias(c) for c in columns)).first()
+        return {c: list(row[c] or []) for c in columns}
+    found = {r.feature: list(r.q) for r in exact_percentiles(as_rows(df, columns), shares).collect()}  # a row for each column
+    return {c: found.get(c, []) for c in columns}
 
 
 def _ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
@@ -56,17 +72,26 @@ class FeatureSpec:
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], winsorised: tuple[str, ...] = (), approximate: bool = False) -> FeatureSpec:
         """Bounds of ratios first; then constant columns go; then the winsor list is bounded, on already clipped data."""
-        x = df.select(*map(clean, columns))
-        ratios = fit_ratio_clip(x, [c for c in columns if RATIO in c], approximate=approximate)
+        x = df.select(*map(clean, columns)).persist()  # the narrow projection is made once
+        given, ratios = x, fit_ratio_clip(x, [c for c in columns if RATIO in c], approximate=approximate)
         x = upper(x, ratios)
         kept = [c for c, (lo, hi) in _ranges(x, columns).items() if lo != hi]
-        return cls(ratios, fit_ratio_clip(x, [c for c in winsorised if c in kept], approximate=approximate), kept)
+        out = cls(ratios, fit_ratio_clip(x, [c for c in winsorised if c in kept], approximate=approximate), kept)
+        given.unpersist()
+        return out
 
     def transform(self, df: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
         present = set(df.columns)
         x = df.select(*keys, *(clean(c) if c in present else F.lit(0.0).alias(c) for c in self.columns))
         return upper(upper(x, {c: b for c, b in self.ratios.items() if c in self.columns}), self.winsor)
 
+    def save(self, spark, path: str) -> None:
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "spec string").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> FeatureSpec:
+        return cls(**json.loads(spark.read.parquet(path).first().spec))
+
 
 @dataclass
 class Preprocessing:
@@ -78,11 +103,13 @@ class Preprocessing:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], scaled: bool = False, approximate: bool = False) -> Preprocessing:
-        if df.isEmpty():
+        x = df.select(*map(clean, columns)).persist()  # the narrow projection is made once
+        if x.isEmpty():
+            x.unpersist()
             raise ValueError("an empty frame can't be fitted")
-        x = df.select(*map(clean, columns))
-        kept = [c for c, (lo, hi) in _ranges(x, columns).items() if lo != hi]
-        few = x.agg(*(F.approx_count_distinct(c).alias(c) for c in kept)).first() if kept else {}
+        row = x.agg(*(f(c).alias(f"{c}|{k}") for c in columns for k, f in enumerate((F.min, F.max, F.approx_count_distinct)))).first() if columns else {}
+        kept = [c for c in columns if row[f"{c}|0"] != row[f"{c}|1"]]
+        few = {c: row[f"{c}|2"] for c in kept}
         near = [c for c in kept if few[c] <= 3 * FEW]  # only near the gate are values counted exactly
         exact = x.agg(*(F.count_distinct(c).alias(c) for c in near)).first() if near else {}
         many = [c for c in kept if c not in near or exact[c] > FEW]
@@ -91,6 +118,7 @@ class Preprocessing:
         if scaled:
             row = self._clipped(x).agg(*(f(c).alias(f"{c}|{k}") for c in kept for k, f in enumerate((F.avg, F.stddev_pop)))).first()
             self.scale = {c: (row[f"{c}|0"], row[f"{c}|1"] or 1.0) for c in kept}
+        x.unpersist()
         return self
 
     def _clipped(self, df: DataFrame) -> DataFrame:

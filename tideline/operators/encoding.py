@@ -6,6 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tideline.operators.ranks import before
 
 #: The order of segments, what counts as a smartphone, and the band of zero rates that makes a flag.
 SEGMENTS = {"LVC": 0, "MVC": 1, "HVC": 2}
@@ -33,13 +36,22 @@ def normal_gender(c: str = "gender") -> Column:
 
 
 def fit_codes(df: DataFrame, c: str) -> dict[str, int]:
-    """Dense codes of a column's sorted values, null as 'nan'; categorical columns have few values."""
-    rows = df.select(F.coalesce(c, F.lit("nan")).alias("v")).distinct().orderBy("v").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError(f"{c} has more than 10,000 values: it isn't categorical")
+    """Dense codes of a column's sorted values, null as 'nan', as literals for ``apply_codes``.
+
+    For columns of few values, such as attributes; ``code_table`` has those of any column as a table to join.
+    """
+    rows = df.select(F.coalesce(c, F.lit("nan")).alias("v")).distinct().orderBy("v").collect()
     return {r.v: i for i, r in enumerate(rows)}
 
 
+def code_table(df: DataFrame, c: str) -> DataFrame:
+    """``value, code`` of a column of any number of values: ranked within ranges of leading characters."""
+    values = df.select(F.coalesce(c, F.lit("nan")).alias("value")).distinct().withColumn("range", F.substring("value", 1, 2))
+    counts = values.groupBy("range").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("value")) - 1
+    return values.withColumn("rank", rank).join(before(counts, [], ["n"]), "range").select("value", (F.col("rank") + F.col("before_n")).cast("int").alias("code"))
+
+
 def apply_codes(c: str, codes: Mapping[str, int]) -> Column:
     """Fitted codes; values that weren't there at the fit are 0."""
     pairs = [F.lit(x) for kv in codes.items() for x in kv]

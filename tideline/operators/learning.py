@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.operators.metrics import log_loss
+from tideline.operators.metrics import auc, composite, log_loss
 
 #: The clip of final scores and the limits of drift checks.
 FINAL, WARN, FAIL, BASE_RATE = 1e-6, 0.05, 0.10, (0.13, 0.17)
@@ -106,53 +107,88 @@ def candidate_weights(k: int, n: int, seed: int = 42) -> list[tuple[float, ...]]
     return [tuple([1 / k] * k), *(tuple(float(i == j) for i in range(k)) for j in range(k)), *map(tuple, rng.dirichlet(np.ones(k), n).tolist())]
 
 
-def optimise_weights(scored: DataFrame, models: Sequence[str], rounds: int = 3, n: int = 40, seed: int = 42) -> dict[str, float]:
-    """Weights of the least log loss: a search on the simplex whose candidates share one aggregation a round."""
-    candidates, best, least = candidate_weights(len(models), n, seed), None, None
-    rng = np.random.default_rng(seed + 1)
-    for k in range(rounds):
-        x = scored
-        losses = []
-        for i, w in enumerate(candidates):
-            x = x.withColumn(f"w{i}", sum(F.col(m) * a for m, a in zip(models, w, strict=True)))
-            losses.append(log_loss(f"w{i}").alias(f"l{i}"))
-        row = x.agg(*losses).first()
-        at = min(range(len(candidates)), key=lambda i: row[f"l{i}"])
-        if least is None or row[f"l{at}"] < least:
-            least, best = row[f"l{at}"], candidates[at]
-        near = np.maximum(np.array(best) + rng.normal(0, 0.1 / 2**k, (n, len(models))), 0) + 1e-9
-        candidates = [best, *map(tuple, (near / near.sum(1, keepdims=True)).tolist())]
-    return dict(zip(models, best, strict=True))
-
-
-def stack(scored: DataFrame, models: Sequence[str], c: float = 0.05) -> DataFrame:
-    """Out-of-fold scores ``stacked`` of a logistic model over the models and their spread; ``scored`` has a fold."""
+def composites(scored: DataFrame, models: Sequence[str], candidates: Sequence[Sequence[float]]) -> list[float]:
+    """The composite score of each candidate's weighted average, all in two aggregations over candidate rows."""
+    p = [F.least(F.greatest(sum((F.col(m) * float(a) for m, a in zip(models, w, strict=True)), F.lit(0.0)), F.lit(1e-15)), F.lit(1 - 1e-15)) for w in candidates]
+    rows = scored.select("y", F.posexplode(F.array(*p)).alias("k", "p"))
+    found = rows.groupBy("k").agg(log_loss().alias("l")).join(auc(rows, "k"), "k").select("k", composite(F.col("l"), F.col("auc")).alias("c")).collect()
+    by = {r.k: r.c for r in found}
+    return [by[k] for k in range(len(candidates))]
+
+
+def optimise_weights(scored: DataFrame, models: Sequence[str], n: int = 24, tolerance: float = 1e-8, rounds: int = 60, seed: int = 42) -> dict[str, float]:
+    """Weights of the least composite score, found by a pattern search on the simplex.
+
+    ``n`` starts are scored at once. From the best one, each round scores a step towards and away from every model at
+    once; a round without gain halves the step. It ends when the step's gain can't reach ``tolerance`` any more (a step
+    of 1e-4, as the composite is flat around its minimum) or after ``rounds``.
+    """
+    k = len(models)
+    starts = candidate_weights(k, max(1, n - k - 1), seed)
+    losses = composites(scored, models, starts)
+    least = min(losses)
+    best, step = np.array(starts[losses.index(least)]), 0.25
+    for _ in range(rounds):
+        ends = [np.eye(k)[i] * sign for i in range(k) for sign in (1, -1)]
+        moved = [np.maximum(best + step * (e if e.sum() > 0 else -(np.eye(k)[e.argmin()] - best)), 0) for e in ends]
+        moved = [m / m.sum() for m in moved if m.sum() > 1e-10]
+        losses = composites(scored, models, moved)
+        if least - min(losses) > tolerance:
+            least, best = min(losses), moved[losses.index(min(losses))]
+        else:
+            step /= 2
+            if step < 1e-4:
+                break
+    return dict(zip(models, best.tolist(), strict=True))
+
+
+@dataclass(frozen=True)
+class MetaModel:
+    """A logistic model over the models' scores and their spread."""
+
+    models: tuple[str, ...]
+    weights: tuple[float, ...]
+    intercept: float
+
+    def score(self) -> Column:
+        terms = zip([*map(F.col, self.models), spread(self.models)], self.weights, strict=True)
+        return sigmoid(sum((c * float(w) for c, w in terms), F.lit(float(self.intercept))))
+
+
+def fit_meta(scored: DataFrame, models: Sequence[str], c: float = 0.05, extra: Sequence[str] = ()) -> MetaModel:
+    """The meta model of all rows of ``scored``; ``extra`` columns may stand beside the models."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    x = VectorAssembler(inputCols=[*models, "spread"], outputCol="features").transform(scored.withColumn("spread", spread(models)))
-    sizes = {r.fold: r.n for r in x.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    parts = []
-    for k in sorted(sizes):
-        n = sum(v for f, v in sizes.items() if f != k)
-        fitted = LogisticRegression(labelCol="y", regParam=1 / (c * n), standardization=False, maxIter=1000, tol=1e-8).fit(x.where(F.col("fold") != k))
-        parts.append(fitted.transform(x.where(F.col("fold") == k)).withColumn("stacked", vector_to_array("probability")[1]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("features", "rawPrediction", "probability", "prediction")
+    names = [*models, *extra]
+    x = VectorAssembler(inputCols=[*names, "spread"], outputCol="features").transform(scored.withColumn("spread", spread(names))).select("y", "features")
+    n = x.count()
+    fitted = LogisticRegression(labelCol="y", regParam=1 / (c * max(n, 1)), standardization=False, maxIter=1000, tol=1e-8).fit(x)
+    return MetaModel(tuple(names), tuple(fitted.coefficients.toArray().tolist()), float(fitted.intercept))
 
 
-def prediction_drift(scored: DataFrame, reference_mean: float, digits: int = 6) -> DataFrame:
-    """The shift of the mean score against a reference, and what it calls for."""
-    shift = F.abs(F.col("mean_p") - reference_mean)
-    out = scored.agg(F.avg("p").alias("mean_p"), F.avg("y").alias("rate"))
-    return out.select(F.round("mean_p", digits).alias("mean_p"), F.round(shift, digits).alias("shift"), F.when(shift > FAIL, "fail").when(shift > WARN, "warn").otherwise("ok").alias("status"), F.col("rate").between(*BASE_RATE).alias("rate_in_range"))
+def stack(scored: DataFrame, models: Sequence[str], c: float = 0.05, extra: Sequence[str] = ()) -> DataFrame:
+    """``scored`` (with a fold) and ``stacked``: each row's score by the meta model of the other folds."""
+    found = [r.fold for r in scored.select("fold").distinct().orderBy("fold").collect()]
+    out = F.lit(None).cast("double")
+    for k in found:
+        out = F.when(F.col("fold") == k, fit_meta(scored.where(F.col("fold") != k), models, c, extra).score()).otherwise(out)
+    return scored.withColumn("stacked", out)
+
+
+def calibrated_stack(scored: DataFrame, models: Sequence[str], c: float = 0.05) -> DataFrame:
+    """``stack`` and then a calibration of its scores by the other folds: ``stacked``, ``calibrated``."""
+    stacked = stack(scored, models, c)
+    return stacked.join(cross_platt(stacked.select("id", "y", "fold", F.col("stacked").alias("p")))[0].select("id", "calibrated"), "id")
+
+
+def prediction_drift(scored: DataFrame, reference: DataFrame, digits: int = 6) -> DataFrame:
+    """The shift of the mean score against that of out-of-fold scores (p), what it calls for, and whether that one is usual."""
+    shift = F.abs(F.col("mean_p") - F.col("mean_oof"))
+    out = scored.agg(F.avg("p").alias("mean_p")).crossJoin(reference.agg(F.avg("p").alias("mean_oof")))  # one row each
+    return out.select(F.round("mean_p", digits).alias("mean_p"), F.round("mean_oof", digits).alias("mean_oof"), F.round(shift, digits).alias("shift"), F.when(shift > FAIL, "fail").when(shift > WARN, "warn").otherwise("ok").alias("status"), F.col("mean_oof").between(*BASE_RATE).alias("oof_in_range"))
 
 
 def pick(strategies: DataFrame) -> DataFrame:
     """The strategy of the least score; the first wins a tie. ``strategies``: seq, name, score."""
     return strategies.orderBy("score", "seq").limit(1)
-
-

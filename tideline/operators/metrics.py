@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.operators.ranks import as_rows, before, coarse, exact_percentiles
+
 #: The clip of probabilities in the log loss and the weights of the composite score.
 TINY, LOSS, RANK = 1e-15, 0.6, 0.4
 
@@ -26,12 +28,14 @@ def brier(p: str = "p") -> Column:
 def auc(scored: DataFrame, *by: str) -> DataFrame:
     """``by, auc``: ties count half; null where a class is absent.
 
-    Rows are first summed up by score, so the running count below is over distinct scores of each group.
+    Rows are summed up by score, then by range of scores; a running count is kept inside a range alone.
     """
     n1, n0 = F.sum("y").cast("double"), F.sum(1 - F.col("y")).cast("double")
-    scores = scored.groupBy(*by, "p").agg(n1.alias("n1"), n0.alias("n0"))
-    before = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = scores.select(*by, "n1", "n0", (F.col("n1") * (F.coalesce(F.sum("n0").over(before), F.lit(0.0)) + F.col("n0") / 2)).alias("won"))
+    scores = scored.groupBy(*by, "p").agg(n1.alias("n1"), n0.alias("n0")).withColumn("range", coarse("p"))
+    below = before(scores.groupBy(*by, "range").agg(F.sum("n0").alias("n0")), [*by], ["n0"])
+    inside = Window.partitionBy(*by, "range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("n0").over(inside), F.lit(0.0)) + F.col("n0") / 2
+    pairs = scores.withColumn("ahead", ahead).join(below, [*by, "range"]).select(*by, "n1", "n0", (F.col("n1") * (F.col("before_n0") + F.col("ahead"))).alias("won"))
     return pairs.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("n1") * F.sum("n0")).alias("auc"))
 
 
@@ -70,6 +74,25 @@ def confusion(scored: DataFrame, steps: int = 50, digits: int = 6) -> DataFrame:
 
 def quantile_bins(scored: DataFrame, n: int = 5, digits: int = 6) -> DataFrame:
     """Bins between exact quantiles, closed on the right, the least value in the first: size and observed rate."""
-    edges = scored.agg(F.percentile("p", F.array(*(F.lit(k / n) for k in range(1, n)))).alias("e")).first().e or []
+    found = exact_percentiles(as_rows(scored, ["p"]), tuple(k / n for k in range(1, n))).first()
+    edges = found.q if found else []
     b = sum((F.when(F.col("p") > F.lit(float(e)), 1).otherwise(0) for e in edges), F.lit(0))
     return scored.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("y"), digits).alias("rate"))
+
+
+def over_folds(by_fold: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    """``metric, mean, std`` (population) of scores by fold."""
+    rows = as_rows(by_fold, columns).withColumnRenamed("feature", "metric")
+    return rows.groupBy("metric").agg(F.round(F.avg("value"), digits).alias("mean"), F.round(F.stddev_pop("value"), digits).alias("std"))
+
+
+def misjudged(scored: DataFrame, kind: str, threshold: float = 0.5) -> DataFrame:
+    """Rows that a threshold gets wrong: ``fn`` (positives below it) or ``fp`` (negatives above it)."""
+    wrong = {"fn": (F.col("y") == 1) & (F.col("p") < threshold), "fp": (F.col("y") == 0) & (F.col("p") > threshold)}
+    return scored.where(wrong[kind])
+
+
+def running_median(steps: DataFrame) -> DataFrame:
+    """``step, median`` of rows (step, score): what a trial must beat at a step, or it is pruned."""
+    found = exact_percentiles(steps.select(F.col("step").cast("string").alias("feature"), F.col("score").cast("double").alias("value")), (0.5,))
+    return found.select(F.col("feature").cast("int").alias("step"), F.col("q")[0].alias("median"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import traceback
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -18,9 +18,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.learning import cross_platt, folds
 from tideline.operators.metrics import evaluate
-
-SECTIONS = ("model", "features", "cv", "output")
-
+from tideline.operators.profiling import correlations
 
 @dataclass
 class Experiment:
@@ -33,6 +31,8 @@ class Experiment:
     positive_weight: float = 1.0
     n_folds: int = 5
     seed: int = 42
+    balanced: bool = False
+    early_stopping: float | None = None
 
     def check(self) -> None:
         if self.kind not in LEARNERS:
@@ -41,6 +41,10 @@ class Experiment:
             raise ValueError(f"{self.kind} needs scaled features")
         if self.n_folds < 2:
             raise ValueError("two folds at least")
+        if self.early_stopping is not None and not self.kind.startswith("trees"):
+            raise ValueError("only trees stop early")
+        if self.kind == "perceptron" and (self.balanced or self.positive_weight != 1.0):
+            raise ValueError("the perceptron takes no weights")
 
 
 def _trees(**defaults):
@@ -108,10 +112,19 @@ class Result:
 def cross_validate(data: DataFrame, columns: list[str], e: Experiment) -> Result:
     """Trains on all folds but one, scores that one; ``data`` has id, y and the columns."""
     e.check()
-    x = _vectors(folds(data, e.n_folds, e.seed), columns, e.positive_weight).select("id", "y", "w", "fold", "features").persist()
+    weight = e.positive_weight
+    if e.balanced:
+        n = {r.y: r.n for r in data.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        weight = n.get(0, 1) / max(n.get(1, 1), 1)
+    x = _vectors(folds(data, e.n_folds, e.seed), columns, weight).select("id", "y", "w", "fold", "features").persist()
     parts, models, importance = [], [], []
     for k in range(e.n_folds):
-        model = LEARNERS[e.kind](len(columns), e.seed, **e.params).fit(x.where(F.col("fold") != k))
+        learner = LEARNERS[e.kind](len(columns), e.seed, **e.params)
+        train = x.where(F.col("fold") != k)
+        if e.early_stopping is not None:  # the fold's rows tell when further trees bring nothing
+            learner = learner.copy({learner.validationIndicatorCol: "held", learner.validationTol: e.early_stopping})
+            train = x.withColumn("held", F.col("fold") == k)
+        model = learner.fit(train)
         models.append(model)
         parts.append(probability(model, x.where(F.col("fold") == k)).select("id", "fold", "y", "p"))
         importance += [(c, float(v), k) for c, v in zip(columns, importances(model, columns), strict=True)]
@@ -121,6 +134,23 @@ def cross_validate(data: DataFrame, columns: list[str], e: Experiment) -> Result
     return Result(oof, models, evaluate(oof, "fold"), importance)
 
 
+def save_models(models: list, path: str) -> None:
+    """A folder for each fold's model."""
+    for k, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/fold_{k}")
+
+
+def load_models(load: Callable[[str], Any], path: str, n_folds: int = 5) -> list:
+    """Exactly ``n_folds`` models; one that is missing is an error. ``load`` is a model class's loader."""
+    out = []
+    for k in range(n_folds):
+        try:
+            out.append(load(f"{path}/fold_{k}"))
+        except Exception as error:
+            raise FileNotFoundError(f"{path} has no model of fold {k}; {n_folds} are needed") from error
+    return out
+
+
 def run_experiments(data: DataFrame, columns: list[str], experiments: list[Experiment]) -> dict[str, Result | str]:
     """One model after the other; a failure is kept as text and doesn't stop the others."""
     out: dict[str, Result | str] = {}
@@ -140,7 +170,7 @@ def score_folds(models: list, df: DataFrame, columns: list[str]) -> DataFrame:
     return x.select("id", (sum(F.col(f"p{i}") for i in range(len(models))) / len(models)).alias("p"))
 
 
-#: A search space: name -> (low, high, kind).
+#: A search space: name -> (low, high, kind); the dimensions that Spark's learners have.
 SPACES = {"trees_depthwise": {"maxDepth": (2, 6, "int"), "maxIter": (10, 40, "int"), "stepSize": (0.01, 0.3, "log")}, "logistic": {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": (0.0, 1.0, "float")}}
 
 
@@ -163,6 +193,35 @@ def tune(data: DataFrame, columns: list[str], e: Experiment, trials: int = 10, e
     return out
 
 
+def append_trials(trials: DataFrame, path: str) -> None:
+    trials.write.mode("append").parquet(path)
+
+
+def next_trial(spark, path: str) -> int:
+    """The number at which a stored search goes on; 0 where nothing is stored."""
+    try:
+        stored = spark.read.parquet(path)
+    except Exception:
+        return 0
+    return (stored.agg(F.max("trial").alias("m")).first().m or 0) + 1
+
+
+def tuned(e: Experiment, trials: list[dict]) -> Experiment:
+    """The experiment with the parameters of its best trial; its own stay where the trial has none."""
+    best = min(trials, key=lambda t: (t["score"], t["trial"]))
+    return replace(e, params=e.params | json.loads(best["params"]))
+
+
+#: Correlations from which two models count as alike, and as too alike.
+ALIKE, TOO_ALIKE = 0.95, 0.97
+
+
+def diversity(scored: DataFrame, models: list[str], digits: int = 6) -> DataFrame:
+    """``a, b, r, verdict`` of each pair of models' scores."""
+    r = F.col("r")
+    return correlations(scored, models, digits).withColumn("verdict", F.when(r > TOO_ALIKE, "too alike").when(r > ALIKE, "alike").otherwise("diverse"))
+
+
 def rank_trials(trials: DataFrame, digits: int = 4) -> DataFrame:
     """Trials by score with their gain over trial 0 in percent."""
     base = trials.where("trial = 0").select(F.col("score").alias("base")).limit(1)

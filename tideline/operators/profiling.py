@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``feature, value`` rows of many columns."""
-    return df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "feature", "value")
+from tideline.operators.ranks import as_rows as long
+from tideline.operators.ranks import exact_percentiles
 
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,11 +20,13 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return by_key.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), (F.sum("n") - F.count("*")).alias("n_repeats"))
 
 
-def describe(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    """count, mean, sample deviation, extremes and quartiles (linear between values) by feature."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long(df, columns).groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"))
-    return out.select("feature", "n", *(F.round(c, digits).alias(c) for c in ("mean", "std", "min", "max")), *(F.round(F.col("q")[i], digits).alias(f"p{25 * i + 25}") for i in range(3)))
+def describe(df: DataFrame, columns: list[str], digits: int = 4, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """count, mean, sample deviation, extremes and percentiles (linear between values; quartiles as given) by feature."""
+    rows = long(df, columns)
+    out = rows.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    names = [f"p{100 * s:g}".replace(".", "_") for s in shares]
+    out = out.join(exact_percentiles(rows, shares), "feature", "left")
+    return out.select("feature", "n", *(F.round(c, digits).alias(c) for c in ("mean", "std", "min", "max")), *(F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(names)))
 
 
 def sample_skewness(c: str) -> Column:
@@ -48,7 +48,7 @@ def summary(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of values beyond 1.5 interquartile ranges from the quartiles: bounds first, then one pass."""
     x = long(df, columns).where("value is not null")
-    q = x.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = exact_percentiles(x, (0.25, 0.75)).select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     outside = (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)
     return x.join(q, "feature").groupBy("feature").agg(F.round(F.avg(outside.cast("int")), 6).alias("outlier_rate"))
@@ -70,3 +70,10 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
     row = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     parts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"`{a}|{b}`"), digits).alias("r")) for a, b in pairs))
     return row.select(F.explode(parts).alias("x")).select("x.*")
+
+
+def correlation_range(pairs: DataFrame, clusters: dict[str, str], digits: int = 6) -> DataFrame:
+    """``cluster, n_pairs, least, most`` of correlations (a, b, r): pairs within a cluster, and those across as 'across'."""
+    of = F.create_map(*(F.lit(x) for kv in clusters.items() for x in kv))
+    cluster = F.when(of[F.col("a")] == of[F.col("b")], of[F.col("a")]).otherwise("across")
+    return pairs.groupBy(cluster.alias("cluster")).agg(F.count("*").alias("n_pairs"), F.round(F.min("r"), digits).alias("least"), F.round(F.max("r"), digits).alias("most"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.series import SPARK, shown
+from tideline.operators.ranks import as_rows, exact_percentiles
 from tideline.plans.schema import GROUPS, INFLOW, OUTFLOW
 
 #: Bounds of the tiers, the slack of amounts, and the parameters of the balance-lag flag and of directions.
@@ -44,18 +45,24 @@ def balance_lag(customers: DataFrame) -> DataFrame:
 
 
 def input_summary(customers: DataFrame) -> DataFrame:
-    """What an answer says about its input: sums, recency, breadth and the direction of the balance."""
+    """What an answer says about its input: balances, six-month sums, recency of deposits, last month's volumes."""
     x = SPARK
-    total = lambda groups, a: "(" + " + ".join(x.total(f"{g}.{a}") for g in groups) + ")"
-    recent, past = (" + ".join(x.total(f"{g}.val", *span) for g in INFLOW) for span in ((0, 3), (3, 6)))
-    breadth = " + ".join(f"cast({x.total(f'{g}.vol')} > 0 as int)" for g in GROUPS)
-    change = "bal[0] - bal[5]"
+    last = lambda groups, a: " + ".join(x.at(f"{g}.{a}", 0) for g in groups)
+    recency = x.ratio(x.mean("deposit.val", 0, 3), x.mean("deposit.val", 3, 6))
+    change = f"({x.at('bal', 0)} - {x.at('bal', 5)})"
     return customers.selectExpr(
-        "id", f"{shown(total(INFLOW, 'val'))} as inflow_6m", f"{shown(total(OUTFLOW, 'val'))} as outflow_6m", f"{shown(f'(({recent}) / ({past} + 0.000001D))')} as inflow_recency",
-        f"cast({total(GROUPS, 'vol')} as long) as n_transactions", f"{breadth} as breadth", f"case when {change} > {DIRECTION} then 'rising' when {change} < -{DIRECTION} then 'falling' else 'stable' end as direction",
+        "id", f"round({x.at('bal', 0)}, 4) as m1_daily_avg_bal", f"round({x.at('bal', 5)}, 4) as m6_daily_avg_bal", f"round({x.total('deposit.val')}, 2) as total_deposit_6m", f"round({x.total('withdraw.val')}, 2) as total_withdraw_6m",
+        f"{shown(recency)} as deposit_m1_vs_m46_ratio", f"{last(INFLOW, 'vol')} as recent_inflow_volume", f"{last(OUTFLOW, 'vol')} as recent_outflow_volume", f"{last(GROUPS, 'ent')} as network_breadth_m1",
+        f"case when {change} > {DIRECTION} then 'improving' when {change} < -{DIRECTION} then 'deteriorating' when {change} is not null then 'stable' end as balance_trend_direction",
     )
 
 
+def out_of_bounds(requests: DataFrame, numbers: list[str], texts: dict[str, int]) -> DataFrame:
+    """Rows with what is wrong in them: negative numbers, and texts beyond their length."""
+    wrong = [F.when(F.col(c) < 0, F.lit(f"{c}: negative")) for c in numbers] + [F.when(F.length(c) > n, F.lit(f"{c}: over {n} characters")) for c, n in texts.items()]
+    return requests.withColumn("errors", F.array_compact(F.array(*wrong))).where(F.size("errors") > 0)
+
+
 def submission_checks(scored: DataFrame, expected: int) -> DataFrame:
     """Six checks of a file ``ID, Target, TargetLogLoss, TargetRAUC`` in one pass."""
     columns = ("Target", "TargetLogLoss", "TargetRAUC")
@@ -69,7 +76,8 @@ def submission_checks(scored: DataFrame, expected: int) -> DataFrame:
 def score_report(scored: DataFrame, digits: int = 6) -> DataFrame:
     """Provenance figures of a scored file."""
     q = (0.1, 0.25, 0.5, 0.75, 0.9)
-    out = scored.agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("min"), F.max("p").alias("max"), F.percentile("p", F.array(*map(F.lit, q))).alias("q"), F.avg((F.col("p") > 0.3).cast("int")).alias("over_30"), F.avg((F.col("p") > 0.5).cast("int")).alias("over_50"))
+    out = scored.agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("min"), F.max("p").alias("max"), F.avg((F.col("p") > 0.3).cast("int")).alias("over_30"), F.avg((F.col("p") > 0.5).cast("int")).alias("over_50"))
+    out = out.crossJoin(exact_percentiles(as_rows(scored, ["p"]), q).select("q"))  # one row each
     return out.select("n", *(F.round(c, digits).alias(c) for c in ("mean", "std", "min", "max")), *(F.round(F.col("q")[i], digits).alias(f"p{int(100 * s)}") for i, s in enumerate(q)), F.round("over_30", digits).alias("over_30"), F.round("over_50", digits).alias("over_50"))
 
 

@@ -1,7 +1,7 @@
 """From order lines to the six-period customer panel.
 
-One join and one aggregation by customer and group make the panel: the months are conditional aggregates of it, so there
-is neither a pivot nor a second shuffle of the lines. Amounts are summed as decimals, so totals don't depend on order.
+Lines and orders meet by order; the joined lines are then summed up by customer, group and month, and the months become
+conditional aggregates, without a pivot. Amounts are summed as decimals, so totals don't depend on order.
 """
 
 from __future__ import annotations
@@ -55,6 +55,18 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes.join(by, "id").withColumn("bal", F.expr("array(" + ", ".join(f"c_acctbal + ({x}) / 401D" for x in net) + ")"))
 
 
+def zero_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feature, zero_rate`` of the 168 transaction columns, counted in the long panel: no wide row is made."""
+    cells = (*MEASURES, "entities")
+    filled = long_panel(spark, sf_dir).groupBy("m", "grp").agg(*(F.count_if(F.col(c) != 0).alias(c) for c in cells))
+    every = spark.range(6).select((F.col("id") + 1).cast("int").alias("m")).join(spark.range(len(GROUPS)).select(F.col("id").cast("int").alias("grp")), how="cross")  # 42 rows
+    n = table(spark, sf_dir, "customer").agg(F.count("*").alias("customers"))
+    rows = every.join(filled, ["m", "grp"], "left").fillna(0, [*cells]).unpivot(["m", "grp"], [*cells], "cell", "filled").crossJoin(n)  # one row
+    names, entity = F.array(*map(F.lit, GROUPS)), F.array(*(F.lit(ENTITIES[g]) for g in GROUPS))
+    cell = F.when(F.col("cell") == "entities", entity[F.col("grp")]).otherwise(F.col("cell"))
+    return rows.select(F.concat(F.lit("m"), "m", F.lit("_"), names[F.col("grp")], F.lit("_"), cell).alias("feature"), (1 - F.col("filled") / F.col("customers")).alias("zero_rate"))
+
+
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel under its full names: attributes, balances and 168 transaction columns."""
     arrays = dict(zip((*MEASURES, "entities"), ("val", "vol", "hi", "ent"), strict=True))

@@ -12,7 +12,7 @@ from tideline.operators import contract, domain, encoding, importance, learning,
 from tideline.operators import series as series_ops
 from tideline.plans import panel
 from tideline.plans.panel import customers, series, table, wide_panel
-from tideline.plans.schema import ENTITIES, GROUPS, INFLOW, MONTHS, OUTFLOW
+from tideline.plans.schema import ENTITIES, GROUPS, INFLOW, MONTHS
 from tideline.sources import tables
 from tideline.streaming.panel import cells
 
@@ -57,7 +57,7 @@ def _rows_of(columns, formula: str) -> str:
 
 @query(_over(_rows_of(_NAMES, "round(avg(cast({c} = 0 as int)), 6) as zero_rate"), _wide(_NAMES)))
 def zero_rates(spark, sf_dir):
-    return encoding.zero_rates(wide_panel(spark, sf_dir), [*_NAMES]).withColumn("zero_rate", F.round("zero_rate", 6))
+    return panel.zero_rates(spark, sf_dir).withColumn("zero_rate", F.round("zero_rate", 6))
 
 
 @query(_over("select 'segment' as feature, round(avg(cast(segment is null as int)), 6) as missing_rate from c union all select 'earning_pattern', round(avg(cast(earning_pattern is null as int)), 6) from c union all select 'smartphone', round(avg(cast(smartphone is null as int)), 6) from c"))
@@ -287,9 +287,10 @@ def disagreement(spark, sf_dir):
     return profiling.describe(scored(spark, sf_dir).select(F.abs(F.col("a") - F.col("b")).alias("a_b")), ["a_b"])
 
 
-@query(f"with {_SCORED} select round(avg(p), 6) as mean_p, round(abs(avg(p) - 0.2), 6) as shift, case when abs(avg(p) - 0.2) > 0.10 then 'fail' when abs(avg(p) - 0.2) > 0.05 then 'warn' else 'ok' end as status, avg(y) between 0.13 and 0.17 as rate_in_range from e")
+@query(f"with {_SCORED} select round(avg(p), 6) as mean_p, round(avg(b), 6) as mean_oof, round(abs(avg(p) - avg(b)), 6) as shift, case when abs(avg(p) - avg(b)) > 0.10 then 'fail' when abs(avg(p) - avg(b)) > 0.05 then 'warn' else 'ok' end as status, avg(b) between 0.13 and 0.17 as oof_in_range from e")
 def drift_check(spark, sf_dir):
-    return learning.prediction_drift(scored(spark, sf_dir), 0.2)
+    e = scored(spark, sf_dir)
+    return learning.prediction_drift(e, e.select(F.col("b").alias("p")))
 
 
 # ---------------------------------------------------------------- serving and reports
@@ -313,10 +314,12 @@ def balance_lag(spark, sf_dir):
     return serving.balance_lag(customers(spark, sf_dir))
 
 
-_TOTAL = lambda groups, a, lo=1, hi=6: " + ".join(f"list_sum({g}.{a}[{lo}:{hi}])" for g in groups)
-
-
-@query(_over(f"select id, {shown("(" + _TOTAL(INFLOW, 'val') + ")")} as inflow_6m, {shown("(" + _TOTAL(OUTFLOW, 'val') + ")")} as outflow_6m, {shown(f"(({_TOTAL(INFLOW, 'val', 1, 3)}) / ({_TOTAL(INFLOW, 'val', 4, 6)} + 0.000001::double))")} as inflow_recency, cast({_TOTAL(GROUPS, 'vol')} as bigint) as n_transactions, " + " + ".join(f"cast(list_sum({g}.vol) > 0 as int)" for g in GROUPS) + " as breadth, case when bal[1] - bal[6] > 500 then 'rising' when bal[1] - bal[6] < -500 then 'falling' else 'stable' end as direction from c"))
+@query(_over("""select id, round(bal[1], 4) as m1_daily_avg_bal, round(bal[6], 4) as m6_daily_avg_bal, round(list_sum(deposit.val), 2) as total_deposit_6m, round(list_sum(withdraw.val), 2) as total_withdraw_6m,
+  case when abs(r) < 1000000 then round(r, 4) else round(r / 1000000, 1) * 1000000 end as deposit_m1_vs_m46_ratio,
+  deposit.vol[1] + received.vol[1] + transfer_from_bank.vol[1] as recent_inflow_volume, withdraw.vol[1] + merchantpay.vol[1] + paybill.vol[1] + mm_send.vol[1] as recent_outflow_volume,
+  deposit.ent[1] + received.ent[1] + transfer_from_bank.ent[1] + withdraw.ent[1] + merchantpay.ent[1] + paybill.ent[1] + mm_send.ent[1] as network_breadth_m1,
+  case when bal[1] - bal[6] > 500 then 'improving' when bal[1] - bal[6] < -500 then 'deteriorating' else 'stable' end as balance_trend_direction
+  from (select *, ((deposit.val[1] + deposit.val[2] + deposit.val[3]) / 3) / ((deposit.val[4] + deposit.val[5] + deposit.val[6]) / 3 + 0.000001::double) as r from c)"""))
 def input_summary(spark, sf_dir):
     return serving.input_summary(customers(spark, sf_dir))
 
@@ -342,7 +345,10 @@ def _importances(spark, sf_dir) -> DataFrame:
     return importance.mean_absolute(staged.selectExpr(*(f"{f} as {c}" for c, f in formulas.items())), [*formulas])
 
 
-_THEME = "case " + " ".join("when regexp_matches(lower(feature), '{}') then '{}'".format("|".join(words), label) for label, words in importance.THEMES) + " else 'other' end"
+_THEME = """case when regexp_matches(feature, 'balance|drawdown|reserve|cash') then 'Balance Deterioration' when regexp_matches(feature, 'withdraw|spend|payment') then 'Spending Stress'
+  when regexp_matches(feature, 'deposit|income|inflow') then 'Income Stability' when regexp_matches(feature, 'volatility|std|variance') then 'Behavioral Instability'
+  when regexp_matches(feature, 'trend|slope|delta|change') then 'Temporal Deterioration' when regexp_matches(feature, 'activity|engagement|frequency|recency') then 'Engagement Dynamics'
+  when regexp_matches(feature, 'daily_avg_bal') then 'Balance Deterioration' else 'Other' end"""
 
 
 @query(_over(f"select {_THEME} as theme, count(*) as n_features, round(sum(mean_importance), 2) as importance from i group by 1", f"{_STAGED}, {_IMPORTANCE}"))
@@ -410,9 +416,12 @@ def _training(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 @query()
 def cross_validated_model(spark, sf_dir):
     data, columns = _training(spark, sf_dir)
-    return models.cross_validate(data, columns, models.Experiment("plain", "logistic", {"maxIter": 20}, scaled=True, n_folds=3)).by_fold
+    return models.cross_validate(data, columns, models.Experiment("plain", "logistic", {"maxIter": 2000}, scaled=True, balanced=True)).by_fold
 
 
 @query()
 def series_features_wide(spark, sf_dir):
     return series_ops.features_wide(series(spark, sf_dir))
+
+
+import tideline.queries_more  # noqa: E402,F401  (registers its queries here)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +84,48 @@ def check_oof(oof: DataFrame) -> DataFrame:
     )
 
 
+def key_difference(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """``side, n``: distinct keys that only one table has."""
+    only = lambda a, b, name: a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n")
+    return only(left, right, names[0]).unionAll(only(right, left, names[1]))
+
+
+def unaligned(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """``n_unaligned``: keys whose values differ between two tables, or that one of them lacks."""
+    both = left.select(key, F.col(value).alias("__l")).join(right.select(key, F.col(value).alias("__r")), key, "full")
+    return both.agg(F.count_if(~F.col("__l").eqNullSafe(F.col("__r"))).alias("n_unaligned"))
+
+
 def metric_rows(experiment: str, run: str, values: dict[str, float], spark: SparkSession) -> DataFrame:
     """Tracked figures as long rows."""
     return spark.createDataFrame([(experiment, run, k, float(v)) for k, v in values.items()], "experiment string, run string, key string, value double")
+
+
+def read_json(path: str) -> dict:
+    """A small JSON file of a driver's run; nothing where there is none or it isn't JSON."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def request_frame(spark: SparkSession, request: dict, schema: T.StructType) -> DataFrame:
+    """One request as a row of a schema: missing values are null, text is made a number where the schema has one."""
+    row = {c.strip(): None if v is None else str(v) for c, v in request.items()}
+    return typed(spark.createDataFrame([tuple(row.get(f.name) for f in schema)], T.StructType([T.StructField(f.name, T.StringType()) for f in schema])), schema)
+
+
+def write_artifacts(spark: SparkSession, path: str, stage: str, model: str, run: str, tables: dict[str, DataFrame], facts: dict) -> None:
+    """A run's tables (scores, importances, trials, weights), each in its folder, and its facts as one JSON row."""
+    for name, df in tables.items():
+        write_run(df, f"{path}/{name}", stage, model, run)
+    write_run(spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "facts string"), f"{path}/facts", stage, model, run)
+
+
+def read_artifacts(spark: SparkSession, path: str, name: str, stages: tuple[str, ...]) -> DataFrame:
+    """One table of each model's last run of the first stage that has one."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    last = latest_runs(rows.select("model", "stage", F.col("run").cast("string").alias("run")).distinct(), stages)
+    return rows.withColumn("run", F.col("run").cast("string")).join(last, ["model", "stage", "run"], "left_semi")
