@@ -49,7 +49,7 @@ class WordHashes(dict):
     """Eight-byte digests of words, cached within bounds by a Python worker."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = out = blake2b(word, digest_size=8).digest()
         return out

@@ -11,7 +11,8 @@ them with a probability of at most 2 * (1 - s ** 2) ** tuples, 5.4e-6 for s = 0.
 3. Each table has a leader; the nodes that share a table with a leader are its group. Members of large groups are
    compared with the leader first, and those that are linked with it need no comparison among each other.
 4. What is left of a group is compared in blocks of bounded size, on full sets; a block gives the links that join
-   components, not its pairs. So no link between different texts is lost, and no group is held in one task.
+   components, not its pairs. Linked sets are alike in size, so a large group is parted by classes of size, and blocks
+   meet within a class and with the next one only. No link between different texts is lost, and no group is in one task.
 
 Null and empty texts, and texts without words, have no set and no links. Repeated rows have equal sets.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import batch_from, batch_of, id_and_text, row_key, written
+from tideline.llm.common import batch_from, batch_of, id_and_text, row_key, sliced, written
 from tideline.llm.hashing import WordHashes, mix
 
 #: Minhashes of a tuple; tuples of either collection; nodes of a block.
@@ -70,7 +71,7 @@ def tuples(found: np.ndarray, n: int) -> np.ndarray:
 
 def _sign(width: int, n: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             rows = []
             for key, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
                 found = shingles(text, width)
@@ -86,7 +87,7 @@ def _sign(width: int, n: int):
 
 def _sets(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             yield batch_from("node binary, found binary", node=batch.column("node"), found=[shingles(t, width).tobytes() for t in batch.column("text").to_pylist()])
 
     return run
@@ -95,13 +96,13 @@ def _sets(width: int):
 def _similar(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+            keep, first, second = [], batch.column("x"), batch.column("y")
+            for i in range(batch.num_rows):  # the sets stay in Arrow's memory
+                x, y = np.frombuffer(first[i].as_buffer(), "u8"), np.frombuffer(second[i].as_buffer(), "u8")
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(keep)], names=["u", "v", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(keep, pa.bool_())], names=["u", "v", "linked"])
 
     return run
 
@@ -155,20 +156,27 @@ def compared(groups: DataFrame, counts: DataFrame, found: DataFrame, sets: DataF
     """``u, v``: links that join components (``found``; else a node is its own) within groups.
 
     A small group is one block. Of a large one, nodes in the leader's component (side 1) are compared with the others
-    (side 0) only, and these among themselves: block i of side 0 meets block j >= i of side 0 and all of side 1.
+    (side 0) only, and these among themselves: a block of side 0 meets those of both sides whose class of size is its
+    own or next to it (a class spans the factor that two linked sets can differ by).
     """
     of = found.select(F.col("node").alias("leader"), F.col("component").alias("leaders"))
     # what a leader's members are joined to is a table of its own, so Spark can split the members of a hot leader
     heads = written(counts.where("n > 1").join(of, "leader", "left").select("leader", F.coalesce("leaders", "leader").alias("leaders"), "n"), "heads")
-    placed = groups.join(found, "node", "left").join(heads, "leader").select("leader", "node", F.coalesce("component", "node").alias("component"), "leaders", "n")
-    placed = written(placed.withColumn("side", F.when((F.col("n") > BLOCK) & (F.col("component") == F.col("leaders")), 1).otherwise(0)), "placed")
-    sizes = placed.groupBy("leader").agg(*(F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / BLOCK).cast("int").alias(f"blocks{s}") for s in (0, 1)))
-    sizes = written(sizes.where("blocks0 > 0"), "sizes")
-    dealt = placed.join(sizes, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("blocks1")).otherwise(F.col("blocks0"))).cast("int"))
-    of_zero = F.sequence(F.lit(0), F.col("blocks0") - 1)
-    with_zero = F.transform(of_zero, lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"), F.lit(0).alias("other")))
-    with_one = F.when(F.col("blocks1") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks1") - 1, F.lit(0))), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(1).alias("other")))).otherwise(F.array().cast("array<struct<i:int,j:int,other:int>>"))
-    zero_meets = F.transform(of_zero, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(1).alias("other")))
+    placed = groups.join(found, "node", "left").join(heads, "leader").select("leader", "node", "size", F.coalesce("component", "node").alias("component"), "leaders", "n")
+    large = F.col("n") > BLOCK
+    klass = F.when(large, F.floor(F.ln("size") / (np.log(100 / percent) * (1 + 1e-9)))).otherwise(0).cast("int")
+    placed = written(placed.withColumns({"side": F.when(large & (F.col("component") == F.col("leaders")), 1).otherwise(0), "klass": klass}), "placed")
+    sizes = placed.groupBy("leader", "klass").agg(*(F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / BLOCK).cast("int").alias(f"blocks{s}") for s in (0, 1)))
+    sizes = written(sizes, "sizes")
+    beside = sizes.select("leader", F.explode(F.array(*(F.col("klass") + d for d in (-1, 0, 1)))).alias("klass"), F.struct(F.col("klass").alias("k"), "blocks0", "blocks1").alias("s"))
+    around = written(beside.groupBy("leader", "klass").agg(F.collect_list("s").alias("around")).join(sizes, ["leader", "klass"]), "around")  # three classes at most
+    unit = lambda k, b: (k.cast("long") + 1) * F.lit(1 << 32) + b
+    blocks = F.when(F.col("side") == 1, F.col("blocks1")).otherwise(F.col("blocks0"))
+    dealt = placed.join(around, ["leader", "klass"]).withColumn("own", unit(F.col("klass"), F.pmod(F.xxhash64("node"), blocks)))
+    units = lambda side: F.flatten(F.transform("around", lambda a: F.when(a[f"blocks{side}"] > 0, F.transform(F.sequence(F.lit(0), a[f"blocks{side}"] - 1), lambda b: unit(a["k"], b))).otherwise(F.array().cast("array<bigint>"))))
+    with_zero = F.transform(units(0), lambda u: F.struct(F.least(u, "own").alias("i"), F.greatest(u, "own").alias("j"), F.lit(0).alias("other")))
+    with_one = F.transform(units(1), lambda u: F.struct(F.col("own").alias("i"), u.alias("j"), F.lit(1).alias("other")))
+    zero_meets = F.transform(units(0), lambda u: F.struct(u.alias("i"), F.col("own").alias("j"), F.lit(1).alias("other")))
     meets = dealt.select("leader", "node", "component", "side", F.explode(F.when(F.col("side") == 1, zero_meets).otherwise(F.concat(with_zero, with_one))).alias("m")).select("leader", "m.*", "node", "component", "side")
     return meets.join(sets.hint("merge"), "node").groupBy("leader", "i", "j", "other").applyInArrow(_blocks(percent), "u binary, v binary")
 
