@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.ranks import as_rows, exact_percentiles
+from tideline.plans.settled import settled
 
 #: Features that are winsorised besides the clip of all ratios, and the cardinality up to which nothing is clipped.
 RATIO, UPPER, CLIP, FEW = "ratio", 0.99, (0.001, 0.999), 10
@@ -31,9 +32,10 @@ WINSORISED = (
 
 
 def clean(c: str) -> Column:
-    """Null, NaN and infinities as 0."""
-    x = F.col(c).cast("double")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.coalesce(x, F.lit(0.0))).alias(c)
+    """Null, NaN and infinities as 0. One string, as frames have hundreds of columns."""
+    name = "`" + c.replace("`", "``") + "`"
+    x = f"cast({name} as double)"
+    return F.expr(f"if(isnan({x}) or abs({x}) = double('Infinity'), 0D, coalesce({x}, 0D)) as {name}")
 
 
 def _percentiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], approximate: bool) -> dict[str, list[float]]:
@@ -72,13 +74,13 @@ class FeatureSpec:
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], winsorised: tuple[str, ...] = (), approximate: bool = False) -> FeatureSpec:
         """Bounds of ratios first; then constant columns go; then the winsor list is bounded, on already clipped data."""
-        x = df.select(*map(clean, columns)).persist()  # the narrow projection is made once
-        given, ratios = x, fit_ratio_clip(x, [c for c in columns if RATIO in c], approximate=approximate)
-        x = upper(x, ratios)
-        kept = [c for c, (lo, hi) in _ranges(x, columns).items() if lo != hi]
-        out = cls(ratios, fit_ratio_clip(x, [c for c in winsorised if c in kept], approximate=approximate), kept)
-        given.unpersist()
-        return out
+        if not columns:
+            return cls()
+        with settled(df.select(*map(clean, columns))) as x:
+            ratios = fit_ratio_clip(x, [c for c in columns if RATIO in c], approximate=approximate)
+            x = upper(x, ratios)
+            kept = [c for c, (lo, hi) in _ranges(x, columns).items() if lo != hi]
+            return cls(ratios, fit_ratio_clip(x, [c for c in winsorised if c in kept], approximate=approximate), kept)
 
     def transform(self, df: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
         present = set(df.columns)
@@ -103,11 +105,18 @@ class Preprocessing:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], scaled: bool = False, approximate: bool = False) -> Preprocessing:
-        x = df.select(*map(clean, columns)).persist()  # the narrow projection is made once
-        if x.isEmpty():
-            x.unpersist()
+        if not columns:
+            if df.isEmpty():
+                raise ValueError("an empty frame can't be fitted")
+            return cls()
+        with settled(df.select(*map(clean, columns))) as x:
+            return cls._fit(x, columns, scaled, approximate)
+
+    @classmethod
+    def _fit(cls, x: DataFrame, columns: list[str], scaled: bool, approximate: bool) -> Preprocessing:
+        row = x.agg(F.count("*").alias("|n"), *(f(c).alias(f"{c}|{k}") for c in columns for k, f in enumerate((F.min, F.max, F.approx_count_distinct)))).first()
+        if not row["|n"]:
             raise ValueError("an empty frame can't be fitted")
-        row = x.agg(*(f(c).alias(f"{c}|{k}") for c in columns for k, f in enumerate((F.min, F.max, F.approx_count_distinct)))).first() if columns else {}
         kept = [c for c in columns if row[f"{c}|0"] != row[f"{c}|1"]]
         few = {c: row[f"{c}|2"] for c in kept}
         near = [c for c in kept if few[c] <= 3 * FEW]  # only near the gate are values counted exactly
@@ -118,7 +127,6 @@ class Preprocessing:
         if scaled:
             row = self._clipped(x).agg(*(f(c).alias(f"{c}|{k}") for c in kept for k, f in enumerate((F.avg, F.stddev_pop)))).first()
             self.scale = {c: (row[f"{c}|0"], row[f"{c}|1"] or 1.0) for c in kept}
-        x.unpersist()
         return self
 
     def _clipped(self, df: DataFrame) -> DataFrame:
