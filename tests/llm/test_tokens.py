@@ -52,6 +52,14 @@ def test_small_blocks(spark, docs, monkeypatch):
     assert full[None][0] > 5 and full[1] == (0, "") and full[9] == (2, "same</w> text</w>")
 
 
+def test_buckets_follow_the_table(spark, docs):
+    """More buckets than a byte can number give the same ids, and their number grows with the root of the partitions."""
+    assert bpe.buckets(spark.range(9).repartition(4)) == bpe.LISTS
+    assert bpe.buckets(spark.createDataFrame(spark.sparkContext.parallelize([(1,)], 400), "doc_id long")) == 160
+    few, many = (sorted(bpe.encode_decode(docs, PATH, digests=True, lists=n).collect(), key=str) for n in (1, 300))
+    assert few == many
+
+
 def test_cache_is_bounded(tok):
     small = Ids(PATH)
     small.limit = small.parts.limit = 3

@@ -14,6 +14,7 @@ Null and empty texts have no ids and decode to the empty text. Repeated rows giv
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from tideline.llm.common import batch_of, id_and_text
 from tideline.llm.words import chunks, ids_of, tokenizer
 
-#: Characters of documents that share a word numbering, documents of one stored row, buckets of distinct words.
+#: Characters of documents that share a word numbering, documents of one stored row, the fewest buckets of distinct words.
 BLOCK_CHARS, TOGETHER, LISTS = 32_000_000, 100, 64
 _SPLIT = "block long, bucket int, doc_ids array<long>, sizes array<int>, data binary"
 _FULL = "doc_id long, ids binary, decoded string"
@@ -90,7 +91,7 @@ class _Block:
                 if some:
                     yield batch_of(_SPLIT, [(name, bucket, None, None, zlib.compress(b" ".join(some), 6))])
             return
-        yield batch_of(_SPLIT, [(name, -2, None, None, zlib.compress(bytes(of), 1))])
+        yield batch_of(_SPLIT, [(name, -2, None, None, zlib.compress(np.array(of, "<u2").tobytes(), 1))])
         rank = np.empty(len(order), "u4")
         rank[order] = np.arange(len(order), dtype="u4")
         for at in range(0, len(self.docs), TOGETHER):
@@ -135,7 +136,7 @@ def _put_back(path: str, digests: bool):
 
     def run(table: pa.Table) -> pa.Table:
         bucket, data, sizes, docs = np.asarray(table.column("bucket")), table.column("data"), table.column("sizes"), table.column("doc_ids")
-        of = np.frombuffer(zlib.decompress(data[int(np.flatnonzero(bucket == -2)[0])].as_py()), "u1")
+        of = np.frombuffer(zlib.decompress(data[int(np.flatnonzero(bucket == -2)[0])].as_py()), "<u2")
         ids = [b""] * len(of)
         order, place = np.argsort(of, kind="stable").tolist(), 0
         buckets, answers = np.unique(bucket, return_index=True)  # blocks of equal words have equal answers
@@ -165,12 +166,21 @@ def _put_back(path: str, digests: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, digests: bool = False, lists: int = LISTS) -> DataFrame:
+def buckets(docs: DataFrame) -> int:
+    """Buckets for the distinct words of ``docs``: with the square root of its partitions, as new words become rarer.
+
+    So neither a bucket's words nor the rows that each block sends to buckets grow in proportion to the table.
+    """
+    return min(1 << 16, max(LISTS, math.ceil(8 * math.sqrt(docs.rdd.getNumPartitions()))))
+
+
+def encode_decode(docs: DataFrame, path: str, digests: bool = False, lists: int | None = None) -> DataFrame:
     """``doc_id, ids, decoded`` of every row of ``docs``: ids as little-endian unsigned 32-bit integers.
 
-    With ``digests``, their number and SHA-256 instead, computed where the block is. ``lists`` (up to 256) is the
-    number of buckets over which the distinct words are dealt.
+    With ``digests``, their number and SHA-256 instead, computed where the block is. ``lists`` (up to 65,536; else that
+    of ``buckets``) is the number of buckets over which the distinct words are dealt, by as many tasks.
     """
     texts = id_and_text(docs)
-    answers = texts.mapInArrow(_split(lists, True), _SPLIT).repartition("bucket").mapInArrow(_encode(path), _SPLIT)
+    lists = lists or buckets(texts)
+    answers = texts.mapInArrow(_split(lists, True), _SPLIT).repartition(lists, "bucket").mapInArrow(_encode(path), _SPLIT)
     return texts.mapInArrow(_split(lists, False), _SPLIT).unionAll(answers).groupBy("block").applyInArrow(_put_back(path, digests), _DIGESTS if digests else _FULL)
