@@ -48,6 +48,40 @@ def test_documents(spark):
     assert out.where("n_crossing > 0").count() > 50
 
 
+def test_fields(spark):
+    """Fields are encoded as one text; their tokens add up to the whole text's, which holds tokens across fields."""
+    rows = [(1, "A title", 3, "Some body.\n\nMore"), (None, None, None, ""), (2, "x ", None, " y é"), (2, "x ", None, " y é"), (3, "", 7, None)]
+    table = spark.createDataFrame([(*r, "kept out") for r in rows], "doc_id long, `a.title` string, n int, body string, text string")
+    tok = Tokenizer.from_file(PATH)
+    tok.encode_special_tokens = True
+    for between in ("\n", ""):
+        want = []
+        for doc_id, *values in rows:
+            closed = [("" if v is None else str(v)) + between * (i < 2) for i, v in enumerate(values)]
+            ends = [len("".join(closed[: i + 1]).encode()) for i in range(3)]
+            spans, counts, crossing, at = list(zip([0, *ends], ends, strict=False)), [0] * 3, [0] * 3, 0
+            for token in tok.encode("".join(closed), add_special_tokens=False).tokens:
+                held = [max(0, min(at + len(token), b) - max(at, a)) for a, b in spans]
+                at += len(token)
+                counts[held.index(max(held))] += 1
+                crossing[held.index(max(held))] += max(held) < len(token)
+            want += [(doc_id, i, name, *spans[i], counts[i], crossing[i]) for i, name in enumerate(("a.title", "n", "body"))]
+        found = attribution.field_counts(table, PATH, ["a.title", "n", "body"], between=between)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert attribution.field_counts(table.limit(0), PATH, ["n"]).count() == 0
+    with pytest.raises(ValueError):
+        attribution.field_counts(table, PATH, [])
+
+
+def test_parts(monkeypatch):
+    """Texts beyond a part's length have the tokens of the whole text."""
+    texts = ["ab cd  ef\n gh 12 é 日本 語 " * 40, "x" * 300, " ", "", "a \x1c b \x85 c d e" * 30, "it's <|endoftext|> ok " * 30]
+    whole = [attribution.token_lengths(PATH, t).tolist() for t in texts]
+    monkeypatch.setattr(attribution, "PART", 7)
+    assert all("".join(attribution.parts(t)) == t for t in texts) and len([*attribution.parts(texts[0])]) > 50
+    assert [attribution.token_lengths(PATH, t).tolist() for t in texts] == whole
+
+
 def test_gaps():
     import numpy as np
 
