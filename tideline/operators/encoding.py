@@ -64,12 +64,16 @@ def zero_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.unpivot([], columns, "feature", "zero_rate")
 
 
-def fit_zero_flags(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns whose zero rate lies in the band."""
-    low, high = ZERO_BAND
-    found = {r.feature for r in zero_rates(df, columns).where(F.col("zero_rate").between(low, high)).collect()}
+def in_band(rates: DataFrame, columns: list[str]) -> list[str]:
+    """Those of ``columns`` whose zero rate (a row of ``rates``) lies in the band."""
+    found = {r.feature for r in rates.where(F.col("zero_rate").between(*ZERO_BAND)).collect()}
     return [c for c in columns if c in found]
 
 
+def fit_zero_flags(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns of ``df`` whose zero rate lies in the band."""
+    return in_band(zero_rates(df, columns), columns)
+
+
 def zero_flags(columns: list[str]) -> list[Column]:
     return [(F.coalesce(c, F.lit(0.0)) == 0).cast("tinyint").alias(f"{c}_is_zero") for c in columns]

@@ -64,7 +64,7 @@ def zero_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = every.join(filled, ["m", "grp"], "left").fillna(0, [*cells]).unpivot(["m", "grp"], [*cells], "cell", "filled").crossJoin(n)  # one row
     names, entity = F.array(*map(F.lit, GROUPS)), F.array(*(F.lit(ENTITIES[g]) for g in GROUPS))
     cell = F.when(F.col("cell") == "entities", entity[F.col("grp")]).otherwise(F.col("cell"))
-    return rows.select(F.concat(F.lit("m"), "m", F.lit("_"), names[F.col("grp")], F.lit("_"), cell).alias("feature"), (1 - F.col("filled") / F.col("customers")).alias("zero_rate"))
+    return rows.select(F.concat(F.lit("m"), "m", F.lit("_"), names[F.col("grp")], F.lit("_"), cell).alias("feature"), ((F.col("customers") - F.col("filled")) / F.col("customers")).alias("zero_rate"))
 
 
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,11 +164,10 @@ def encode_block(spark, sf_dir):
 
 @query(_over("select feature, n_zero from (" + " union all ".join(f"select '{c}_is_zero' as feature, sum(cast({c} = 0 as int))::bigint as n_zero, avg(cast({c} = 0 as int)) as rate from w" for c in _NAMES) + ") where rate between 0.60 and 0.98", _wide(_NAMES)))
 def zero_flags(spark, sf_dir):
-    wide = wide_panel(spark, sf_dir)
-    flags = encoding.zero_flags(encoding.fit_zero_flags(wide, [*_NAMES]))
-    names = [f"{c}_is_zero" for c in _NAMES]
-    summed = wide.select(flags).agg(*(F.sum(c).alias(c) for c in wide.select(flags).columns))
-    return summed.unpivot([], [c for c in names if c in summed.columns], "feature", "n_zero")
+    """The band is found in the long panel; the flags read the columns in it alone."""
+    names = encoding.in_band(panel.zero_rates(spark, sf_dir), [*_NAMES])
+    flags = wide_panel(spark, sf_dir).select(encoding.zero_flags(names))
+    return flags.agg(*(F.sum(c).alias(c) for c in flags.columns)).unpivot([], flags.columns, "feature", "n_zero")
 
 
 # ---------------------------------------------------------------- contract
