@@ -147,6 +147,25 @@ def test_models_and_artifacts(spark, tmp_path):
     assert models.next_trial(spark, f"{tmp_path}/trials") == 2 and models.tuned(plain, trials).params == {"maxIter": 50, "regParam": 0.2}
 
 
+def test_pruning(spark):
+    """The median rule by hand, and a search in which only a trial that is not behind gets a score."""
+    done = [[0.3, 0.3, 0.2], [0.3, 0.3, 0.4], [0.3, 0.3, 0.6]]
+    assert models.behind([0.9, 0.9, 0.5], done, startup=3) and not models.behind([0.9, 0.9, 0.4], done, startup=3)
+    assert not models.behind([0.1, 0.9, 0.9], done, startup=3)  # its best fold counts
+    assert not models.behind([0.9, 0.9], done, startup=3) and not models.behind([0.9, 0.9, 0.9], done, startup=4)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 2))
+    data = spark.createDataFrame([(i, int(a + rng.normal(0, 0.5) > 0), float(a), float(b)) for i, (a, b) in enumerate(x.tolist())], "id long, y int, f double, g double")
+    e = models.Experiment("m", "logistic", {"maxIter": 20}, scaled=True, n_folds=3)
+    best = {"trial": 0, "score": 0.1, "params": "{}", "steps": [0.0, 0.0]}
+    worst = best | {"steps": [9.0, 9.0]}
+    stopped, went_on = (models.tune(data, ["f", "g"], e, trials=2, earlier=[t], startup=1, warm=1)[1] for t in (best, worst))
+    assert stopped["score"] is None and len(stopped["steps"]) == 2 and models.tuned(e, [best, stopped]).params == e.params
+    assert went_on["score"] < 0.6 and went_on["params"] == stopped["params"] and went_on["steps"] == pytest.approx(stopped["steps"])
+    ranked = models.rank_trials(spark.createDataFrame([(0, 0.4), (1, None), (2, 0.3)], "trial int, score double")).collect()
+    assert [r.trial for r in ranked] == [2, 0, 1]
+
+
 def test_small_steps(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"x": 1}')
     assert tables.read_json(tmp_path / "a.json") == {"x": 1} and tables.read_json(tmp_path / "b.json") == {}

@@ -107,17 +107,29 @@ class Result:
     models: list
     by_fold: DataFrame
     importance: list[tuple[str, float, int]]
+    steps: list[float] = field(default_factory=list)
+    pruned: bool = False
+    cached: DataFrame | None = None
 
+    def release(self) -> None:
+        """Gives up the cached rows that the scores are computed from."""
+        if self.cached is not None:
+            self.cached.unpersist()
 
-def cross_validate(data: DataFrame, columns: list[str], e: Experiment) -> Result:
-    """Trains on all folds but one, scores that one; ``data`` has id, y and the columns."""
+
+def cross_validate(data: DataFrame, columns: list[str], e: Experiment, stop: Callable[[list[float]], bool] | None = None) -> Result:
+    """Trains on all folds but one, scores that one; ``data`` has id, y and the columns.
+
+    ``stop`` is asked after each fold but the last, with the composite scores of the folds so far; if it says so, the
+    result is pruned and has those folds alone.
+    """
     e.check()
     weight = e.positive_weight
     if e.balanced:
         n = {r.y: r.n for r in data.groupBy("y").agg(F.count("*").alias("n")).collect()}
         weight = n.get(0, 1) / max(n.get(1, 1), 1)
     x = _vectors(folds(data, e.n_folds, e.seed), columns, weight).select("id", "y", "w", "fold", "features").persist()
-    parts, models, importance = [], [], []
+    parts, models, importance, steps, pruned = [], [], [], [], False
     for k in range(e.n_folds):
         learner = LEARNERS[e.kind](len(columns), e.seed, **e.params)
         train = x.where(F.col("fold") != k)
@@ -128,10 +140,14 @@ def cross_validate(data: DataFrame, columns: list[str], e: Experiment) -> Result
         models.append(model)
         parts.append(probability(model, x.where(F.col("fold") == k)).select("id", "fold", "y", "p"))
         importance += [(c, float(v), k) for c, v in zip(columns, importances(model, columns), strict=True)]
+        if stop and k + 1 < e.n_folds:
+            steps.append(evaluate(parts[-1]).first().composite)
+            if pruned := stop(steps):
+                break
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
-    return Result(oof, models, evaluate(oof, "fold"), importance)
+    return Result(oof, models, evaluate(oof, "fold"), importance, steps, pruned, x)
 
 
 def save_models(models: list, path: str) -> None:
@@ -179,17 +195,34 @@ def sample(space: Mapping[str, tuple], rng: np.random.Generator) -> dict[str, An
     return {name: draw[kind](a, b) for name, (a, b, kind) in space.items()}
 
 
-def tune(data: DataFrame, columns: list[str], e: Experiment, trials: int = 10, earlier: list[dict] | None = None) -> list[dict]:
-    """Random search on the calibrated pooled composite, the default settings first; ``earlier`` trials are resumed."""
+def behind(steps: list[float], earlier: list[list[float]], startup: int = 5, warm: int = 2) -> bool:
+    """The median rule: whether a trial's best fold so far is worse than the median of earlier trials at this fold.
+
+    It needs ``startup`` trials that came to their end, and the first ``warm`` folds are never judged.
+    """
+    k = len(steps) - 1
+    peers = [s[k] for s in earlier if len(s) > k]
+    return k >= warm and len(peers) >= startup and min(steps) > float(np.median(peers))
+
+
+def tune(data: DataFrame, columns: list[str], e: Experiment, trials: int = 10, earlier: list[dict] | None = None, startup: int = 5, warm: int = 2) -> list[dict]:
+    """Random search on the calibrated pooled composite, the default settings first; ``earlier`` trials are resumed.
+
+    A trial that falls ``behind`` is given up after its fold: it has its ``steps`` (composite by fold) and no score.
+    """
     rng, out = np.random.default_rng(e.seed), list(earlier or [])
     for k in range(trials):
         params = {} if k == 0 else sample(SPACES[e.kind], rng)
         if k < len(out):
             continue
-        result = cross_validate(data, columns, Experiment(e.name, e.kind, e.params | params, e.scaled, e.positive_weight, e.n_folds, e.seed))
-        calibrated, _ = cross_platt(result.oof)
-        row = evaluate(calibrated.drop("p").withColumnRenamed("calibrated", "p")).first()
-        out.append({"trial": k, "score": row.composite, "params": json.dumps(params, sort_keys=True)})
+        before = [t["steps"] for t in out if t["score"] is not None and t.get("steps")]
+        result = cross_validate(data, columns, replace(e, params=e.params | params), lambda steps, before=before: behind(steps, before, startup, warm))
+        score = None
+        if not result.pruned:
+            calibrated, _ = cross_platt(result.oof)
+            score = evaluate(calibrated.drop("p").withColumnRenamed("calibrated", "p")).first().composite
+        result.release()
+        out.append({"trial": k, "score": score, "params": json.dumps(params, sort_keys=True), "steps": result.steps})
     return out
 
 
@@ -207,8 +240,8 @@ def next_trial(spark, path: str) -> int:
 
 
 def tuned(e: Experiment, trials: list[dict]) -> Experiment:
-    """The experiment with the parameters of its best trial; its own stay where the trial has none."""
-    best = min(trials, key=lambda t: (t["score"], t["trial"]))
+    """The experiment with the parameters of its best trial; its own stay where the trial has none. Pruned trials don't count."""
+    best = min((t for t in trials if t["score"] is not None), key=lambda t: (t["score"], t["trial"]))
     return replace(e, params=e.params | json.loads(best["params"]))
 
 
@@ -225,4 +258,4 @@ def diversity(scored: DataFrame, models: list[str], digits: int = 6) -> DataFram
 def rank_trials(trials: DataFrame, digits: int = 4) -> DataFrame:
     """Trials by score with their gain over trial 0 in percent."""
     base = trials.where("trial = 0").select(F.col("score").alias("base")).limit(1)
-    return trials.crossJoin(base).select("trial", "score", F.round((F.col("base") - F.col("score")) / F.col("base") * 100, digits).alias("gain")).orderBy("score", "trial")  # base: one row
+    return trials.crossJoin(base).select("trial", "score", F.round((F.col("base") - F.col("score")) / F.col("base") * 100, digits).alias("gain")).orderBy(F.col("score").asc_nulls_last(), "trial")  # base: one row
