@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import attribution, bpe, chat, gif, minhash, packing, quality, rules, suffixes, toxicity
+from tideline.llm import attribution, bpe, chat, codes, decontaminate, gif, manifest, minhash, packing, quality, rules, suffixes, toxicity
 from tideline.llm.common import documents
 
 #: The tokenizers of the queries; every operator takes a path.
@@ -65,9 +65,21 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(documents(spark, sf_dir))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_rules, op5_toxicity, op6_gif, op7_attribution, op8_chat, op9_packing, op10_suffixes)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_rules, op5_toxicity, op6_gif, op7_attribution, op8_chat, op9_packing, op10_suffixes, op11_codes, op12_manifest, op13_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rules": rules.SQL, "op8_chat": chat.SQL}
+    return {"op4_rules": rules.SQL, "op8_chat": chat.SQL, "op11_codes": codes.SQL, "op12_manifest": manifest.SQL, "op13_decontamination": decontaminate.SQL}
