@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.operators.ranks import before
+from tideline.operators.ranks import before, between, sampled
 
 #: The order of segments, what counts as a smartphone, and the band of zero rates that makes a flag.
 SEGMENTS = {"LVC": 0, "MVC": 1, "HVC": 2}
@@ -45,8 +45,9 @@ def fit_codes(df: DataFrame, c: str) -> dict[str, int]:
 
 
 def code_table(df: DataFrame, c: str) -> DataFrame:
-    """``value, code`` of a column of any number of values: ranked within ranges of leading characters."""
-    values = df.select(F.coalesce(c, F.lit("nan")).alias("value")).distinct().withColumn("range", F.substring("value", 1, 2))
+    """``value, code`` of a column of any number of values: ranked within ranges between sampled ones."""
+    values = df.select(F.coalesce(c, F.lit("nan")).alias("value")).distinct()
+    values = between(values, "value", sampled(values, "value"))
     counts = values.groupBy("range").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy("value")) - 1
     return values.withColumn("rank", rank).join(before(counts, [], ["n"]), "range").select("value", (F.col("rank") + F.col("before_n")).cast("int").alias("code"))

@@ -34,7 +34,7 @@ def mean_importance(by_fold: DataFrame) -> DataFrame:
 def theme_summary(importances: DataFrame, digits: int = 6) -> DataFrame:
     total = importances.agg(F.sum("mean_importance").alias("total"))
     by = importances.groupBy(theme().alias("theme")).agg(F.count("*").alias("n_features"), F.sum("mean_importance").alias("s"))
-    return by.crossJoin(total).select("theme", "n_features", F.round("s", digits).alias("importance"), F.round(F.col("s") / F.col("total"), digits).alias("share"))  # total: one row
+    return by.crossJoin(total).select("theme", "n_features", F.round("s", digits).alias("importance"), F.round(F.try_divide("s", "total"), digits).alias("share"))  # total: one row
 
 
 def segment_summary(values: DataFrame, columns: list[str], by: str, digits: int = 6) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Metrics of scored rows ``y`` (0 or 1) and ``p``, calibration bins and threshold sweeps."""
+"""Metrics of scored rows ``y`` (0 or 1) and ``p``, calibration bins and threshold sweeps.
+
+``evaluate`` and ``auc`` leave out rows without a label or a score (null or NaN).
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.operators.ranks import as_rows, before, coarse, exact_percentiles
+from tideline.operators.ranks import as_rows, before, exact_percentiles, present, ranged
 
 #: The clip of probabilities in the log loss and the weights of the composite score.
 TINY, LOSS, RANK = 1e-15, 0.6, 0.4
@@ -25,13 +28,18 @@ def brier(p: str = "p") -> Column:
     return F.avg((F.col(p) - F.col("y")) * (F.col(p) - F.col("y")))
 
 
+def known(scored: DataFrame) -> DataFrame:
+    """The rows that have a label and a score."""
+    return scored.where(F.col("y").isNotNull() & present("p"))
+
+
 def auc(scored: DataFrame, *by: str) -> DataFrame:
     """``by, auc``: ties count half; null where a class is absent.
 
     Rows are summed up by score, then by range of scores; a running count is kept inside a range alone.
     """
     n1, n0 = F.sum("y").cast("double"), F.sum(1 - F.col("y")).cast("double")
-    scores = scored.groupBy(*by, "p").agg(n1.alias("n1"), n0.alias("n0")).withColumn("range", coarse("p"))
+    scores = ranged(known(scored).groupBy(*by, "p").agg(n1.alias("n1"), n0.alias("n0")), [*by], "p")
     below = before(scores.groupBy(*by, "range").agg(F.sum("n0").alias("n0")), [*by], ["n0"])
     inside = Window.partitionBy(*by, "range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("n0").over(inside), F.lit(0.0)) + F.col("n0") / 2
@@ -45,6 +53,7 @@ def composite(loss: Column, area: Column) -> Column:
 
 def evaluate(scored: DataFrame, *by: str, digits: int = 6) -> DataFrame:
     """Log loss, AUC, Brier score and composite, by group."""
+    scored = known(scored)
     sums = scored.groupBy(*by).agg(F.count("*").alias("n"), log_loss().alias("logloss"), brier().alias("brier"))
     area = auc(scored, *by)
     both = sums.join(area, list(by)) if by else sums.crossJoin(area)  # one row each

@@ -256,6 +256,6 @@ def diversity(scored: DataFrame, models: list[str], digits: int = 6) -> DataFram
 
 
 def rank_trials(trials: DataFrame, digits: int = 4) -> DataFrame:
-    """Trials by score with their gain over trial 0 in percent."""
-    base = trials.where("trial = 0").select(F.col("score").alias("base")).limit(1)
-    return trials.crossJoin(base).select("trial", "score", F.round((F.col("base") - F.col("score")) / F.col("base") * 100, digits).alias("gain")).orderBy(F.col("score").asc_nulls_last(), "trial")  # base: one row
+    """Trials by score with their gain over trial 0 in percent: null without that trial, or where its score is 0."""
+    base = trials.where("trial = 0").agg(F.min("score").alias("base"))
+    return trials.crossJoin(base).select("trial", "score", F.round(F.try_divide(F.col("base") - F.col("score"), "base") * 100, digits).alias("gain")).orderBy(F.col("score").asc_nulls_last(), "trial")  # base: one row

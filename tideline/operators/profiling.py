@@ -30,9 +30,9 @@ def describe(df: DataFrame, columns: list[str], digits: int = 4, shares: tuple[f
 
 
 def sample_skewness(c: str) -> Column:
-    """Bias-corrected skewness, from the population one."""
+    """Bias-corrected skewness, from the population one; null for fewer than three values."""
     n = F.count(c).cast("double")
-    return F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.try_divide(F.skewness(c) * F.sqrt(n * (n - 1)), n - 2)
 
 
 def summary(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:

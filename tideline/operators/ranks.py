@@ -1,7 +1,11 @@
-"""Exact ranks over many tasks: values are counted by coarse ranges first, and ranked only inside a range.
+"""Exact ranks over many tasks: distinct values fall into ranges between splitters that are taken from the values.
 
-Equal values become one row with a count, so ties cost nothing. A range holds the values within 1.6 percent of each
-other; its rows are sorted in one task, all values of a column never are. NaN and null count as missing.
+Equal values become one row with a count first, so ties cost nothing. The splitters are quantiles of a group's distinct
+values from a bounded sketch, of a stated error, so a range holds at most ``1 / RANGES + 2 / SKETCH`` of them however
+narrow, skewed or far apart they are. A range's rows are sorted in one task, all values of a group never are.
+
+NaN and null count as missing. Infinities are values like others, at the ends: a percentile
+between one and a finite value is the infinity, between both it is NaN.
 """
 
 from __future__ import annotations
@@ -10,39 +14,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges for each factor e of a value.
-STEPS = 64
+#: Ranges of a group (a square: they are found in two steps), and the sketch's accuracy.
+SIDE, SKETCH = 32, 8192
+RANGES = SIDE * SIDE
+
+
+def present(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+
+
+def _under(splitters: Column, v: str) -> Column:
+    return F.size(F.filter(splitters, lambda s: s < F.col(v)))
+
+
+def ranged(values: DataFrame, by: list[str], c: str) -> DataFrame:
+    """Adds ``range``, from 0, to rows of distinct values: those of a lower range are lower.
+
+    What is joined is an array of ``RANGES`` - 1 splitters for each group.
+    """
+    shares = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    found = values.groupBy(*by).agg(F.percentile_approx(F.col(c).cast("double"), shares, SKETCH).alias("__s"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.slice("__s", i * SIDE + 1, F.lit(SIDE - 1)))
+    heads = F.transform(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda i: F.element_at("__s", (i * SIDE).cast("int")))
+    found = found.select(*by, heads.alias("__heads"), rows.alias("__rows"))
+    met = values.join(found, by) if by else values.crossJoin(found)  # without groups it is one row
+    met = met.withColumn("__row", _under(F.col("__heads"), c))
+    return met.withColumn("range", F.col("__row") * SIDE + _under(F.col("__rows")[F.col("__row")], c)).drop("__heads", "__rows", "__row")
+
+
+def sampled(values: DataFrame, c: str) -> list:
+    """Splitters between distinct values of any type that sorts: ``RANGES`` - 1 of them by the order of their hashes, sorted."""
+    rows = values.select(c).orderBy(F.xxhash64(c), c).limit(RANGES - 1).collect()
+    return sorted(r[0] for r in rows)
 
 
-def coarse(c: str) -> Column:
-    """An order-preserving number of a value's range: by sign and logarithm of its size."""
-    size = F.floor((F.ln(F.abs(c)) + 746) * STEPS) + 1
-    return F.when(F.col(c) > 0, size).when(F.col(c) < 0, -size).otherwise(F.lit(0)).cast("long")
+def between(values: DataFrame, c: str, splitters: list) -> DataFrame:
+    """Adds ``range``, from 0, by ``splitters`` that are stated in the plan."""
+    if not splitters:
+        return values.withColumn("range", F.lit(0))
+    heads = F.array(*map(F.lit, splitters[SIDE - 1 :: SIDE])) if len(splitters) >= SIDE else F.slice(F.array(F.lit(splitters[0])), 1, 0)
+    rows = F.array(*(F.array(*map(F.lit, splitters[k : k + SIDE - 1])) if splitters[k : k + SIDE - 1] else F.slice(F.array(F.lit(splitters[0])), 1, 0) for k in range(0, len(splitters) + 1, SIDE)))
+    met = values.withColumn("__row", _under(heads, c))
+    return met.withColumn("range", F.col("__row") * SIDE + _under(rows[F.col("__row")], c)).drop("__row")
 
 
 def before(counts: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Adds ``before_x`` for each of ``columns``: its sum over lower ranges of the group; ``counts`` has a row a range."""
+    """Adds ``before_x`` for each of ``columns``: its sum over lower ranges of the group; a group has ``RANGES`` rows at most."""
     w = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(*by, "range", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{c}") for c in columns))
 
 
 def exact_percentiles(rows: DataFrame, shares: tuple[float, ...]) -> DataFrame:
     """``feature, q``: percentiles (linear between values) of rows (feature, value), at each of ``shares``."""
-    values = rows.where("value is not null and not isnan(value)").groupBy("feature", "value").agg(F.count("*").alias("n")).withColumn("range", coarse("value"))
+    values = rows.where(present("value")).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    values = ranged(values, ["feature"], "value")
     ranges = values.groupBy("feature", "range").agg(F.sum("n").alias("n"))
-    placed = ranges.join(before(ranges, ["feature"], ["n"]), ["feature", "range"])
+    group = Window.partitionBy("feature")  # RANGES rows at most
+    lower = F.coalesce(F.sum("n").over(group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranges.select("feature", "range", "n", lower.alias("before_n"), F.sum("n").over(group).alias("total"))
     # the two ranks beside each percentile, and the range that holds each of them
     at = F.expr("inline(array(" + ", ".join(f"named_struct('share', {k}, 'at', {s!r}D * (total - 1))" for k, s in enumerate(shares)) + "))")
-    wanted = ranges.groupBy("feature").agg(F.sum("n").alias("total")).select("feature", at)
-    wanted = wanted.select("feature", "share", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
-    held = placed.join(wanted, "feature").where("rank >= before_n and rank < before_n + n").select("feature", "range", "share", "at", "rank", "before_n")
+    held = placed.select("feature", "range", "n", "before_n", at).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where("rank >= before_n and rank < before_n + n")
+    wanted = held.groupBy("feature", "range", "before_n").agg(F.collect_list(F.struct("share", "at", "rank")).alias("wanted"))
     inside = Window.partitionBy("feature", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    near = values.join(held.select("feature", "range", "before_n").distinct(), ["feature", "range"])
-    near = near.select("feature", "range", "value", "n", (F.col("before_n") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first"))
-    found = near.join(held.drop("before_n"), ["feature", "range"]).where("rank >= first and rank < first + n")
+    near = values.join(wanted, ["feature", "range"])
+    near = near.select("feature", "value", "n", "wanted", (F.col("before_n") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first"))
+    found = near.select("feature", "value", "n", "first", F.inline("wanted")).where("rank >= first and rank < first + n")
     ends = found.groupBy("feature", "share", "at").agg(F.min_by("value", "rank").alias("lo"), F.max_by("value", "rank").alias("hi"))
-    each = ends.select("feature", F.struct("share", (F.col("lo") + (F.col("at") - F.floor("at")) * (F.col("hi") - F.col("lo"))).alias("v")).alias("s"))
-    return each.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("q"))
+    part = F.col("at") - F.floor("at")
+    stays = (part == 0) | (F.col("lo") == F.col("hi")) | (F.col("lo") == float("-inf")) & (F.col("hi") != float("inf"))
+    between = F.when(stays, F.col("lo")).otherwise(F.col("lo") + part * (F.col("hi") - F.col("lo")))
+    return ends.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("share", between.alias("v")))), lambda s: s["v"]).alias("q"))
 
 
 def as_rows(df: DataFrame, columns: list[str]) -> DataFrame:

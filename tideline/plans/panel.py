@@ -56,7 +56,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zero_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``feature, zero_rate`` of the 168 transaction columns, counted in the long panel: no wide row is made."""
+    """``feature, zero_rate`` of the 168 transaction columns, counted in the long panel: no wide row is made; null without customers."""
     cells = (*MEASURES, "entities")
     filled = long_panel(spark, sf_dir).groupBy("m", "grp").agg(*(F.count_if(F.col(c) != 0).alias(c) for c in cells))
     every = spark.range(6).select((F.col("id") + 1).cast("int").alias("m")).join(spark.range(len(GROUPS)).select(F.col("id").cast("int").alias("grp")), how="cross")  # 42 rows
@@ -64,7 +64,7 @@ def zero_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = every.join(filled, ["m", "grp"], "left").fillna(0, [*cells]).unpivot(["m", "grp"], [*cells], "cell", "filled").crossJoin(n)  # one row
     names, entity = F.array(*map(F.lit, GROUPS)), F.array(*(F.lit(ENTITIES[g]) for g in GROUPS))
     cell = F.when(F.col("cell") == "entities", entity[F.col("grp")]).otherwise(F.col("cell"))
-    return rows.select(F.concat(F.lit("m"), "m", F.lit("_"), names[F.col("grp")], F.lit("_"), cell).alias("feature"), ((F.col("customers") - F.col("filled")) / F.col("customers")).alias("zero_rate"))
+    return rows.select(F.concat(F.lit("m"), "m", F.lit("_"), names[F.col("grp")], F.lit("_"), cell).alias("feature"), F.try_divide(F.col("customers") - F.col("filled"), "customers").alias("zero_rate"))
 
 
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
