@@ -109,7 +109,7 @@ def test_same_trees_as_plain(data, s):
     margins, parts = plain(b, y, s, s.trees)
     got = np.full(len(y), model.base)
     for t, want, leaves in zip(model.trees, margins, parts, strict=True):
-        at = t.leaf(b.astype("u1"))
+        at = t.leaf(b)
         assert {frozenset(np.nonzero(at == k)[0].tolist()) for k in set(at.tolist())} == leaves
         got += np.array(t.value)[at]
         assert np.allclose(got, want, rtol=0, atol=1e-12)
@@ -136,17 +136,18 @@ def test_folds_and_patience(data, monkeypatch):
         stopped.append(end)
     assert min(stopped) < s.trees  # overfits at this rate, so it does stop
     oof = {r.id: r.p for r in boosting.out_of_fold(data, models).collect()}
-    m = models[1].margins(bins_of(x, models[1].edges).astype("u1"))
+    m = models[1].margins(bins_of(x, models[1].edges))
     assert all(oof[i] == pytest.approx(1 / (1 + math.exp(-m[i])), abs=1e-12) for i in range(len(y)) if fold[i] == 1)
 
 
 def test_samples(data):
     """Samples of rows and columns are the same on other partitions, and about as large as asked for."""
-    s = Boosting(trees=3, leaves=5, bins=10, subsample=0.6, colsample=0.5)
+    s = Boosting(trees=3, leaves=5, bins=10, subsample=0.6, sample_every=2, colsample=0.5, colsample_level=0.5)
     edges = boosting.fit_edges(data, NAMES, s.bins)
     a, b = boosting.fit(data, NAMES, s, edges=edges)[0], boosting.fit(data.repartition(7), NAMES, s, edges=edges)[0]
     assert a == b
     assert all(300 < t.cover[0] < 540 for t in a.trees)
+    assert a.trees[0].cover[0] == a.trees[1].cover[0] != a.trees[2].cover[0]
     assert all(len({f for f in t.feature if f >= 0}) <= 2 for t in a.trees)
 
 
@@ -168,6 +169,6 @@ def test_bad_input(spark, data):
     with pytest.raises(ValueError, match="one class"):
         boosting.fit(data.where("y = 1"), NAMES, Boosting(trees=1))
     with pytest.raises(ValueError, match="bins"):
-        boosting.fit(data, NAMES, Boosting(bins=300))
+        boosting.fit(data, NAMES, Boosting(bins=600))
     only = boosting.fit(data.select("id", "y", F.lit(1.0).alias("same")), ["same"], Boosting(trees=2))[0]
     assert [len(t.value) for t in only.trees] == [1, 1]

@@ -136,8 +136,16 @@ def test_models_and_artifacts(spark, tmp_path):
         scoring.score(data.drop("f2"), e)
     with pytest.raises(ValueError):
         scoring.score(data, scoring.Ensemble(["f1"], {"m": folds[:4]}, {"m": (1.0, 0.0)}, {"m": 1.0}))
-    stopped = models.cross_validate(data, ["f1", "f2"], models.Experiment("trees", "trees_symmetric", {"maxIter": 12, "maxDepth": 2}, n_folds=2, early_stopping=0.05))
-    assert all(1 <= m.getNumTrees < 12 for m in stopped.models) or all(m.getNumTrees <= 12 for m in stopped.models)
+    trees = models.Experiment("trees", "trees_symmetric", {"trees": 12, "depth": 3, "rate": 0.9}, n_folds=2, patience=2)
+    stopped = models.cross_validate(data, ["f1", "f2"], trees)
+    for m in stopped.models:  # two trees without a gain, or all twelve
+        assert len(m.trees) == m.best and len(m.losses) in (m.best + 2, 12)
+    assert any(len(m.losses) < 12 for m in stopped.models)
+    models.save_models(stopped.models, f"{tmp_path}/trees")
+    assert models.load_models(models.load_trees, f"{tmp_path}/trees", 2) == stopped.models
+    p = {r.id: r.p for r in models.score_folds(stopped.models, data, ["f1", "f2"]).collect()}
+    assert len(p) == 240 and {r[0] for r in stopped.importance} == {"f1", "f2"}
+    stopped.release()
     tables.write_artifacts(spark, f"{tmp_path}/runs", "baseline", "m", "run_1", {"oof": result.oof}, {"n": 240})
     tables.write_artifacts(spark, f"{tmp_path}/runs", "baseline", "m", "run_2", {"oof": result.oof.limit(3)}, {"n": 3})
     assert tables.read_artifacts(spark, f"{tmp_path}/runs", "oof", ("stage_2", "baseline")).count() == 3

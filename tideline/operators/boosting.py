@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from tideline.plans.settled import settled
 
-#: Gradients' unit; rows of a batch; features of a block; tasks whose sums meet first; trees between two writes of margins.
-UNIT, ROWS, BLOCK, TASKS, WRITE = 1 << 26, 8192, 32, 64, 16
+#: Gradients' unit; rows of a batch; features of a block; tasks whose sums meet first; trees between two writes of margins;
+#: leaves of a model that a pass sums up at most, so that the driver holds no more at once.
+UNIT, ROWS, BLOCK, TASKS, WRITE, ASK = 1 << 26, 8192, 32, 64, 16, 32
 
 
 @dataclass(frozen=True)
@@ -48,16 +49,18 @@ class Boosting:
     l1: float = 0.0
     l2: float = 1.0
     subsample: float = 1.0
+    sample_every: int = 1
     colsample: float = 1.0
+    colsample_level: float = 1.0
     bins: int = 64
     positive_weight: float = 1.0
     patience: int | None = None
     seed: int = 42
 
     def check(self) -> None:
-        if not (self.trees >= 1 and 0 < self.rate <= 1 and self.leaves >= 2 and 1 <= self.depth <= 60 and 3 <= self.bins <= 256):
-            raise ValueError("trees >= 1, 0 < rate <= 1, leaves >= 2, a depth of 1 to 60 and 3 to 256 bins are needed")
-        if not (0 < self.subsample <= 1 and 0 < self.colsample <= 1 and self.l1 >= 0 and self.l2 >= 0 and self.min_gain >= 0):
+        if not (self.trees >= 1 and 0 < self.rate <= 1 and self.leaves >= 2 and 1 <= self.depth <= 60 and 3 <= self.bins <= 512 and self.sample_every >= 1):
+            raise ValueError("trees >= 1, 0 < rate <= 1, leaves >= 2, a depth of 1 to 60 and 3 to 512 bins are needed")
+        if not (0 < self.subsample <= 1 and 0 < self.colsample <= 1 and 0 < self.colsample_level <= 1 and self.l1 >= 0 and self.l2 >= 0 and self.min_gain >= 0):
             raise ValueError("samples lie in (0, 1], penalties aren't negative")
         if self.symmetric and self.depth > 10:
             raise ValueError("symmetric trees have ten levels at most")
@@ -148,7 +151,7 @@ def numbered(columns: Sequence[str]) -> list[Column]:
 
 def binned(batch: pa.RecordBatch, edges: Sequence[Sequence[float]]) -> np.ndarray:
     """The bins of a batch of ``numbered`` columns, a row each: 0 for missing values."""
-    out = np.zeros((batch.num_rows, len(edges)), "u1")
+    out = np.zeros((batch.num_rows, len(edges)), "<u2")
     for k, e in enumerate(edges):
         x = np.asarray(batch.column(f"c{k}").fill_null(math.nan))
         out[:, k] = np.where(np.isnan(x), 0, 1 + np.searchsorted(e, x))
@@ -211,7 +214,7 @@ def losses(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _read(batch: pa.RecordBatch, n_features: int, n_models: int):
     as_rows = lambda c, kind, n: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(-1, n)
     h, y, fold = (np.asarray(batch.column(c)) for c in ("h", "y", "fold"))
-    return h, y, fold, as_rows("x", "u1", n_features), as_rows("margins", "f8", n_models)
+    return h, y, fold, as_rows("x", "<u2", n_features), as_rows("margins", "f8", n_models)
 
 
 def _slices(batches):
@@ -241,7 +244,7 @@ def _pass(requests: dict[int, Request], n_features: int, n_models: int, s: Boost
                     sums[k, -1] = sums.get((k, -1), 0) + found
                 if not r.wanted:
                     continue
-                rows = np.nonzero((fold != k) & sampled(h, r.number, s.subsample, s.seed))[0]
+                rows = np.nonzero((fold != k) & sampled(h, r.number // s.sample_every, s.subsample, s.seed))[0]
                 own = x[rows]
                 g, w = gradients(m[rows], y[rows], s.positive_weight)
                 at, own = r.growing.leaf(own), own[:, r.features]
@@ -331,8 +334,8 @@ class _Leaf:
 class _Growing:
     """A tree between passes: ``request`` names the leaves to sum up, ``accept`` takes their sums."""
 
-    def __init__(self, s: Boosting, features: list[int]):
-        self.s, self.features, self.tree, self.done = s, features, Tree(), False
+    def __init__(self, s: Boosting, features: list[int], number: int):
+        self.s, self.features, self.number, self.tree, self.done = s, features, number, Tree(), False
         self.tree.add(0.0, 0)
         self.root: _Leaf | None = None
         self.asked: list[tuple[_Leaf, _Leaf]] = []
@@ -356,6 +359,7 @@ class _Growing:
             parent = small.parent
             small.hist = self._shaped(found[small.node])
             big.hist = parent.hist - small.hist
+            parent.hist = None
             self._judged(small)
             self._judged(big)
         self.asked = []
@@ -364,9 +368,17 @@ class _Growing:
     def _set(self, leaf: _Leaf) -> None:
         self.tree.value[leaf.node], self.tree.cover[leaf.node] = leaf_value(int(leaf.sums[0]), int(leaf.sums[1]), self.s), int(leaf.sums[2])
 
+    def _gains(self, leaf: _Leaf) -> np.ndarray:
+        gains = _gains(leaf.hist, self.s)
+        if self.s.colsample_level < 1:
+            rng = np.random.default_rng([self.s.seed, self.number, len(leaf.path)])
+            seen = rng.permutation(len(gains))[: max(1, round(self.s.colsample_level * len(gains)))]
+            gains[np.setdiff1d(np.arange(len(gains)), seen)] = -np.inf
+        return gains
+
     def _judged(self, leaf: _Leaf) -> None:
         """The leaf's best split, if it gains anything."""
-        gains = _gains(leaf.hist, self.s)
+        gains = self._gains(leaf)
         k = int(gains.argmax())
         f, b = divmod(k, gains.shape[1])
         leaf.split = (float(gains[f, b]), f, b) if gains[f, b] > max(1e-9, 2 * self.s.min_gain) else None
@@ -404,7 +416,7 @@ class _Growing:
             self.open += children
             self.leaves += 1
         order = ready() if self.leaves < s.leaves else []
-        for leaf in order[: s.leaves - self.leaves]:
+        for leaf in order[: min(ASK, s.leaves - self.leaves)]:
             if leaf.children is None and len(leaf.path) + 1 < s.depth:
                 gain, f, b = leaf.split
                 self._opened(leaf, f, b, gain)
@@ -434,7 +446,7 @@ class _Level(_Growing):
         pass
 
     def _grow(self) -> None:
-        gains = sum(_gains(leaf.hist, self.s) for leaf in self.open)
+        gains = sum(self._gains(leaf) for leaf in self.open)
         f, b = divmod(int(gains.argmax()), gains.shape[1])
         deep = len(self.open[0].path)
         if deep >= self.s.depth or gains[f, b] <= max(1e-9, 2 * self.s.min_gain):
@@ -467,7 +479,7 @@ class _Fit:
     def start(self) -> None:
         number = len(self.model.trees)
         features = [self.uses[k] for k in _features(len(self.uses), self.s, number)]
-        self.growing = (_Level if self.s.symmetric else _Growing)(self.s, features)
+        self.growing = (_Level if self.s.symmetric else _Growing)(self.s, features, number)
 
     def request(self) -> Request:
         number = len(self.model.trees)

@@ -1,28 +1,32 @@
-"""Learners of ``pyspark.ml`` under one registry, cross-validated training and tuning.
+"""Learners under one registry, cross-validated training and tuning.
 
-Scores can't equal those of other libraries' learners: these are Spark's own gradient-boosted trees, logistic regression
-and perceptron.
+Trees are this library's own (``boosting``): leaf-wise, depth-wise, and oblivious ones over ordered codes of categories.
+Logistic regression and the perceptron are ``pyspark.ml``'s. Scores can't equal those of other libraries' learners.
 """
 
 from __future__ import annotations
 
 import json
 import traceback
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators import boosting, search, target_codes
+from tideline.operators.boosting import Boosting
 from tideline.operators.learning import cross_platt, folds
 from tideline.operators.metrics import evaluate
 from tideline.operators.profiling import correlations
+from tideline.operators.search import Dim
+from tideline.sources.runs import exists
 
 @dataclass
 class Experiment:
-    """One model's settings."""
+    """One model's settings. ``categories`` are columns that symmetric trees see as ordered target statistics."""
 
     name: str
     kind: str
@@ -32,28 +36,36 @@ class Experiment:
     n_folds: int = 5
     seed: int = 42
     balanced: bool = False
-    early_stopping: float | None = None
+    patience: int | None = None
+    categories: tuple[str, ...] = ()
 
     def check(self) -> None:
-        if self.kind not in LEARNERS:
-            raise ValueError(f"kind must be one of {sorted(LEARNERS)}")
-        if self.kind in ("logistic", "perceptron") and not self.scaled:
+        if self.kind not in KINDS:
+            raise ValueError(f"kind must be one of {sorted(KINDS)}")
+        if self.kind in LEARNERS and not self.scaled:
             raise ValueError(f"{self.kind} needs scaled features")
         if self.n_folds < 2:
             raise ValueError("two folds at least")
-        if self.early_stopping is not None and not self.kind.startswith("trees"):
+        if self.positive_weight <= 0:
+            raise ValueError("a weight is above 0")
+        if self.kind in LEARNERS and self.patience is not None:
             raise ValueError("only trees stop early")
+        if self.categories and self.kind != "trees_symmetric":
+            raise ValueError("only symmetric trees take categories")
         if self.kind == "perceptron" and (self.balanced or self.positive_weight != 1.0):
             raise ValueError("the perceptron takes no weights")
+        if self.kind in TREES:
+            self.boosting(self.positive_weight).check()
 
-
-def _trees(**defaults):
-    def make(n_features: int, seed: int, **params):
-        from pyspark.ml.classification import GBTClassifier
-
-        return GBTClassifier(labelCol="y", weightCol="w", seed=seed, **(defaults | params))
-
-    return make
+    def boosting(self, weight: float) -> Boosting:
+        """The settings of trees, over the kind's defaults; an unknown name is an error."""
+        params = TREES[self.kind] | self.params
+        policy = params.pop("grow", None)
+        if policy == "depth" or (policy is None and self.kind == "trees_depthwise"):
+            params["leaves"] = 2 ** params["depth"]
+        if unknown := params.keys() - {f.name for f in fields(Boosting)}:
+            raise ValueError(f"trees have no {sorted(unknown)}")
+        return Boosting(**params, positive_weight=weight, patience=self.patience, seed=self.seed)
 
 
 def _logistic(n_features: int, seed: int, **params):
@@ -68,13 +80,14 @@ def _perceptron(n_features: int, seed: int, **params):
     return MultilayerPerceptronClassifier(labelCol="y", seed=seed, layers=[n_features, *params.pop("hidden", [16]), 2], **({"maxIter": 100} | params))
 
 
-LEARNERS: dict[str, Callable] = {
-    "trees_leafwise": _trees(maxDepth=6, maxIter=40, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=50),
-    "trees_depthwise": _trees(maxDepth=5, maxIter=40, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
-    "trees_symmetric": _trees(maxDepth=4, maxIter=60, stepSize=0.1),
-    "logistic": _logistic,
-    "perceptron": _perceptron,
+#: Learners of ``pyspark.ml``, and the defaults of this library's trees.
+LEARNERS: dict[str, Callable] = {"logistic": _logistic, "perceptron": _perceptron}
+TREES: dict[str, dict[str, Any]] = {
+    "trees_leafwise": {"trees": 100, "rate": 0.05, "leaves": 31, "min_rows": 50, "subsample": 0.8, "colsample": 0.8, "l1": 0.5},
+    "trees_depthwise": {"trees": 100, "rate": 0.05, "depth": 5, "min_rows": 1, "min_weight": 1.0, "subsample": 0.8, "colsample": 0.8},
+    "trees_symmetric": {"trees": 100, "rate": 0.05, "depth": 6, "symmetric": True, "l2": 3.0},
 }
+KINDS = {*LEARNERS, *TREES}
 
 
 def _vectors(df: DataFrame, columns: list[str], positive_weight: float) -> DataFrame:
@@ -92,11 +105,16 @@ def probability(model, df: DataFrame) -> DataFrame:
 
 
 def importances(model, columns: list[str]) -> list[float]:
-    """Of trees, or absolute coefficients; zeros where a model has none."""
-    found = getattr(model, "featureImportances", None)
-    if found is None and getattr(model, "coefficients", None) is not None:
+    """Shares of gain of trees (a category's codes under its name), or absolute coefficients; zeros where a model has none."""
+    if isinstance(model, boosting.Model):
+        by = dict.fromkeys(columns, 0.0)
+        for c, v in zip(model.columns, model.importances(), strict=True):
+            of = c if c in by else c.rsplit("|", 1)[0]
+            by[of] += v
+        return list(by.values())
+    if getattr(model, "coefficients", None) is not None:
         return np.abs(model.coefficients.toArray()).tolist()
-    return found.toArray().tolist() if found is not None else [0.0] * len(columns)
+    return [0.0] * len(columns)
 
 
 @dataclass
@@ -118,28 +136,37 @@ class Result:
 
 
 def cross_validate(data: DataFrame, columns: list[str], e: Experiment, stop: Callable[[list[float]], bool] | None = None) -> Result:
-    """Trains on all folds but one, scores that one; ``data`` has id, y and the columns.
+    """Trains on all folds but one, scores that one; ``data`` has id, y and the columns (and the experiment's categories).
 
     ``stop`` is asked after each fold but the last, with the composite scores of the folds so far; if it says so, the
-    result is pruned and has those folds alone.
+    result is pruned and has those folds alone. Trees of all folds grow at once, so for them it spares no work.
     """
     e.check()
     weight = e.positive_weight
     if e.balanced:
         n = {r.y: r.n for r in data.groupBy("y").agg(F.count("*").alias("n")).collect()}
         weight = n.get(0, 1) / max(n.get(1, 1), 1)
-    x = _vectors(folds(data, e.n_folds, e.seed), columns, weight).select("id", "y", "w", "fold", "features").persist()
-    parts, models, importance, steps, pruned = [], [], [], [], False
+    dealt = folds(data, e.n_folds, e.seed)
+    names = [*columns, *e.categories]
+    parts, models, importance, steps, pruned, cached = [], [], [], [], False, None
+    if e.kind in TREES:
+        s, full = e.boosting(weight), dealt
+        if e.categories:
+            models, full = target_codes.fit_symmetric(dealt, columns, e.categories, s, e.n_folds)
+        else:
+            models = boosting.fit(dealt, columns, s, e.n_folds)
+        cached = boosting.out_of_fold(full, models).persist()
+        scored = lambda k: cached.where(F.col("fold") == k)
+    else:
+        cached = _vectors(dealt, columns, weight).select("id", "y", "w", "fold", "features").persist()
+
+        def scored(k: int) -> DataFrame:
+            models.append(LEARNERS[e.kind](len(columns), e.seed, **e.params).fit(cached.where(F.col("fold") != k)))
+            return probability(models[k], cached.where(F.col("fold") == k)).select("id", "fold", "y", "p")
+
     for k in range(e.n_folds):
-        learner = LEARNERS[e.kind](len(columns), e.seed, **e.params)
-        train = x.where(F.col("fold") != k)
-        if e.early_stopping is not None:  # the fold's rows tell when further trees bring nothing
-            learner = learner.copy({learner.validationIndicatorCol: "held", learner.validationTol: e.early_stopping})
-            train = x.withColumn("held", F.col("fold") == k)
-        model = learner.fit(train)
-        models.append(model)
-        parts.append(probability(model, x.where(F.col("fold") == k)).select("id", "fold", "y", "p"))
-        importance += [(c, float(v), k) for c, v in zip(columns, importances(model, columns), strict=True)]
+        parts.append(scored(k))
+        importance += [(c, float(v), k) for c, v in zip(names, importances(models[k], names), strict=True)]
         if stop and k + 1 < e.n_folds:
             steps.append(evaluate(parts[-1]).first().composite)
             if pruned := stop(steps):
@@ -147,30 +174,57 @@ def cross_validate(data: DataFrame, columns: list[str], e: Experiment, stop: Cal
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
-    return Result(oof, models, evaluate(oof, "fold"), importance, steps, pruned, x)
+    return Result(oof, models, evaluate(oof, "fold"), importance, steps, pruned, cached)
 
 
-def save_models(models: list, path: str) -> None:
+def save_models(models: list, path: str, spark: SparkSession | None = None) -> None:
     """A folder for each fold's model."""
     for k, m in enumerate(models):
-        m.write().overwrite().save(f"{path}/fold_{k}")
+        if isinstance(m, boosting.Model):
+            (spark or SparkSession.active()).createDataFrame([(m.dumps(),)], "model string").write.mode("overwrite").parquet(f"{path}/fold_{k}")
+        else:
+            m.write().overwrite().save(f"{path}/fold_{k}")
+
+
+def load_trees(path: str) -> boosting.Model:
+    """A tree model, as ``load_models`` takes a loader."""
+    return boosting.Model.loads(SparkSession.active().read.parquet(path).first().model)
 
 
 def load_models(load: Callable[[str], Any], path: str, n_folds: int = 5) -> list:
-    """Exactly ``n_folds`` models; one that is missing is an error. ``load`` is a model class's loader."""
-    out = []
-    for k in range(n_folds):
+    """Exactly ``n_folds`` models; one that is missing is an error. ``load`` is a model class's loader, or ``load_trees``."""
+    spark = SparkSession.active()
+    if missing := [k for k in range(n_folds) if not exists(spark, f"{path}/fold_{k}")]:
+        raise FileNotFoundError(f"{path} has no model of folds {missing}; {n_folds} are needed")
+    return [load(f"{path}/fold_{k}") for k in range(n_folds)]
+
+
+def preflight(data: DataFrame, columns: list[str], experiments: list[Experiment]) -> dict[str, str]:
+    """What is wrong with experiments before any of them runs, by name: settings, names that come again, missing columns, a fold without both classes."""
+    least = data.where(F.col("y").isin(0, 1)).groupBy("y").count().agg(F.count("*").alias("classes"), F.min("count").alias("rows")).first()
+    out: dict[str, str] = {}
+    for k, e in enumerate(experiments):
         try:
-            out.append(load(f"{path}/fold_{k}"))
-        except Exception as error:
-            raise FileNotFoundError(f"{path} has no model of fold {k}; {n_folds} are needed") from error
+            e.check()
+            if e.name in (x.name for x in experiments[:k]):
+                raise ValueError("an earlier experiment has this name")
+            if gone := [c for c in (*columns, *e.categories, "id", "y") if c not in data.columns]:
+                raise ValueError(f"no columns {gone}")
+            if least.classes < 2 or least.rows < e.n_folds:
+                raise ValueError(f"{e.n_folds} folds need as many rows of both classes")
+        except ValueError as error:
+            out[e.name] = str(error)
     return out
 
 
 def run_experiments(data: DataFrame, columns: list[str], experiments: list[Experiment]) -> dict[str, Result | str]:
-    """One model after the other; a failure is kept as text and doesn't stop the others."""
+    """One model after the other; what ``preflight`` rejects doesn't start, a failure is kept as text and stops no other."""
+    wrong = preflight(data, columns, experiments)
     out: dict[str, Result | str] = {}
     for e in experiments:
+        if e.name in wrong:
+            out.setdefault(e.name, wrong[e.name])
+            continue
         try:
             out[e.name] = cross_validate(data, columns, e)
         except Exception:
@@ -178,21 +232,42 @@ def run_experiments(data: DataFrame, columns: list[str], experiments: list[Exper
     return out
 
 
-def score_folds(models: list, df: DataFrame, columns: list[str]) -> DataFrame:
-    """The mean probability of a model's folds, by id; every fold scores the same rows in one projection each."""
-    x = _vectors(df.withColumn("y", F.lit(0)), columns, 1.0)
-    for i, m in enumerate(models):
-        x = probability(m, x).withColumnRenamed("p", f"p{i}")
-    return x.select("id", (sum(F.col(f"p{i}") for i in range(len(models))) / len(models)).alias("p"))
+def summary(results: dict[str, Result | str]) -> list[dict[str, Any]]:
+    """A row for each experiment: whether it ran, its mean scores over folds, or its error."""
+    rows = []
+    for name, r in results.items():
+        if isinstance(r, str):
+            rows.append({"name": name, "ok": False, "error": r.strip().splitlines()[-1], "logloss": None, "auc": None, "composite": None, "folds": 0})
+        else:
+            mean = r.by_fold.agg(*(F.avg(c).alias(c) for c in ("logloss", "auc", "composite")), F.count("*").alias("folds")).first()
+            rows.append({"name": name, "ok": True, "error": None, **mean.asDict()})
+    return rows
 
 
-#: A search space: name -> (low, high, kind); the dimensions that Spark's learners have.
-SPACES = {"trees_depthwise": {"maxDepth": (2, 6, "int"), "maxIter": (10, 40, "int"), "stepSize": (0.01, 0.3, "log")}, "logistic": {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": (0.0, 1.0, "float")}}
+def score_folds(models: list, df: DataFrame, columns: list[str]) -> DataFrame:
+    """The mean probability of a model's folds, by id: trees in one pass, others in a projection each."""
+    if isinstance(models[0], boosting.Model):
+        x = boosting.predict(df, models)
+    else:
+        x = _vectors(df.withColumn("y", F.lit(0)), columns, 1.0)
+        for i, m in enumerate(models):
+            x = probability(m, x).withColumnRenamed("p", f"p{i}")
+    return x.select("id", (sum(F.col(f"p{i}") for i in range(len(models))) / len(models)).alias("p"))
 
 
-def sample(space: Mapping[str, tuple], rng: np.random.Generator) -> dict[str, Any]:
-    draw = {"int": lambda a, b: int(rng.integers(a, b + 1)), "float": lambda a, b: float(rng.uniform(a, b)), "log": lambda a, b: float(np.exp(rng.uniform(np.log(a), np.log(b))))}
-    return {name: draw[kind](a, b) for name, (a, b, kind) in space.items()}
+#: Search spaces: the twelve dimensions of leaf-wise trees, the thirteen of depth-wise ones, and those of the logistic model.
+SPACES: dict[str, search.Space] = {
+    "trees_leafwise": {
+        "rate": Dim("log", 0.005, 0.1), "trees": Dim("int", 500, 3000, step=100), "leaves": Dim("log_int", 16, 256), "depth": Dim("int", 2, 13), "min_rows": Dim("log_int", 10, 200), "min_weight": Dim("log", 1e-4, 1e-1),
+        "subsample": Dim("float", 0.5, 1.0), "sample_every": Dim("int", 1, 5), "colsample": Dim("float", 0.5, 1.0), "l1": Dim("log", 1e-3, 10.0), "l2": Dim("log", 1e-3, 10.0), "bins": Dim("choice", choices=(127, 255, 511)),
+    },
+    "trees_depthwise": {
+        "grow": Dim("choice", choices=("depth", "leaf")), "rate": Dim("log", 0.005, 0.1), "trees": Dim("int", 500, 3000, step=100), "depth": Dim("int", 3, 10), "min_weight": Dim("log", 5.0, 100.0), "min_gain": Dim("float", 0.0, 5.0),
+        "leaves": Dim("log_int", 16, 256, when=("grow", "leaf")), "subsample": Dim("float", 0.5, 1.0), "colsample": Dim("float", 0.5, 1.0), "colsample_level": Dim("float", 0.5, 1.0), "l1": Dim("log", 1e-3, 10.0), "l2": Dim("log", 1e-3, 10.0),
+        "bins": Dim("choice", choices=(128, 256, 512)),
+    },
+    "logistic": {"regParam": Dim("log", 1e-4, 1.0), "elasticNetParam": Dim("float", 0.0, 1.0)},
+}
 
 
 def behind(steps: list[float], earlier: list[list[float]], startup: int = 5, warm: int = 2) -> bool:
@@ -205,38 +280,55 @@ def behind(steps: list[float], earlier: list[list[float]], startup: int = 5, war
     return k >= warm and len(peers) >= startup and min(steps) > float(np.median(peers))
 
 
-def tune(data: DataFrame, columns: list[str], e: Experiment, trials: int = 10, earlier: list[dict] | None = None, startup: int = 5, warm: int = 2) -> list[dict]:
-    """Random search on the calibrated pooled composite, the default settings first; ``earlier`` trials are resumed.
-
-    A trial that falls ``behind`` is given up after its fold: it has its ``steps`` (composite by fold) and no score.
+def trial(data: DataFrame, columns: list[str], e: Experiment, number: int, before: list[dict], startup: int = 5, warm: int = 2, space: search.Space | None = None) -> dict:
+    """One trial: the experiment's own settings as trial 0, else a proposal from the trials before; its score is the
+    calibrated pooled composite. A trial that falls ``behind`` is given up after its fold: it has its ``steps`` (composite
+    by fold) and no score.
     """
-    rng, out = np.random.default_rng(e.seed), list(earlier or [])
-    for k in range(trials):
-        params = {} if k == 0 else sample(SPACES[e.kind], rng)
-        if k < len(out):
-            continue
-        before = [t["steps"] for t in out if t["score"] is not None and t.get("steps")]
-        result = cross_validate(data, columns, replace(e, params=e.params | params), lambda steps, before=before: behind(steps, before, startup, warm))
+    params = {} if number == 0 else search.propose(space or SPACES[e.kind], [{**t, "params": json.loads(t["params"])} for t in before if t["trial"]], number, e.seed)
+    peers = [t["steps"] for t in before if t["score"] is not None and t.get("steps")]
+    result = cross_validate(data, columns, replace(e, params=e.params | params), lambda steps: behind(steps, peers, startup, warm))
+    try:
         score = None
         if not result.pruned:
             calibrated, _ = cross_platt(result.oof)
             score = evaluate(calibrated.drop("p").withColumnRenamed("calibrated", "p")).first().composite
+    finally:
         result.release()
-        out.append({"trial": k, "score": score, "params": json.dumps(params, sort_keys=True), "steps": result.steps})
+    return {"trial": number, "score": score, "params": json.dumps(params, sort_keys=True), "steps": result.steps}
+
+
+def tune(data: DataFrame, columns: list[str], e: Experiment, trials: int = 10, earlier: list[dict] | None = None, startup: int = 5, warm: int = 2, space: search.Space | None = None) -> list[dict]:
+    """A Parzen search of so many trials, the experiment's own settings first; ``earlier`` trials are resumed."""
+    out = list(earlier or [])
+    for k in range(len(out), trials):
+        out.append(trial(data, columns, e, k, out, startup, warm, space))
     return out
 
 
+def tune_shared(data: DataFrame, columns: list[str], e: Experiment, study, trials: int, **options) -> list[dict]:
+    """Works on a ``runs.Study`` that other drivers may work on too, until each of ``trials`` has a result or a holder."""
+    while (k := study.claim(trials)) is not None:
+        found = trial(data, columns, e, k, [t for t in stored_trials(study) if t["trial"] < k], **options)
+        study.finish(k, found["score"], {"settings": found["params"]}, found["steps"])
+    return stored_trials(study)
+
+
+def stored_trials(study) -> list[dict]:
+    """A study's results as ``tune`` gives them."""
+    return [{"trial": t["trial"], "score": t["score"], "params": t["params"]["settings"], "steps": t["steps"]} for t in study.results()]
+
+
 def append_trials(trials: DataFrame, path: str) -> None:
     trials.write.mode("append").parquet(path)
 
 
 def next_trial(spark, path: str) -> int:
-    """The number at which a stored search goes on; 0 where nothing is stored."""
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:
+    """The number at which a stored search goes on: 0 where nothing is stored; what can't be read is an error."""
+    if not exists(spark, path):
         return 0
-    return (stored.agg(F.max("trial").alias("m")).first().m or 0) + 1
+    last = spark.read.parquet(path).agg(F.max("trial").alias("m")).first().m
+    return 0 if last is None else last + 1
 
 
 def tuned(e: Experiment, trials: list[dict]) -> Experiment:
