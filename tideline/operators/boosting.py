@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from contextlib import ExitStack
 from dataclasses import asdict, dataclass, field
 
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.plans.settled import settled
 
@@ -566,6 +567,32 @@ def _scored(models: list[Model]):
     return run
 
 
+def _fold_means(models: list[tuple[list[Model], list[int]]], kept: list[str]):
+    def run(batches):
+        for batch in _slices(batches):
+            out = []
+            for own, places in models:
+                x = binned(batch.select([f"c{k}" for k in places]).rename_columns([f"c{k}" for k in range(len(places))]), own[0].edges)
+                out.append(pa.array(sum(1 / (1 + np.exp(-m.margins(x))) for m in own) / len(own)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *out], names=[*kept, *(f"m{k}" for k in range(len(out)))])
+
+    return run
+
+
+def fold_means(df: DataFrame, models: Mapping[str, Sequence[Model]], keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` and each model's mean probability over its folds, under the model's name: one pass for all."""
+    columns = list(dict.fromkeys(c for own in models.values() for c in own[0].columns))
+    at = {c: k for k, c in enumerate(columns)}
+    for name, own in models.items():
+        if any(m.columns != own[0].columns or m.edges != own[0].edges for m in own):
+            raise ValueError(f"the folds of {name} don't share columns and edges")
+    kept = [f"k{k}" for k in range(len(keep))]
+    x = df.select(*(F.col("`" + c.replace("`", "``") + "`").alias(k) for c, k in zip(keep, kept, strict=True)), *numbered(columns))
+    schema = T.StructType([*x.schema.fields[: len(kept)], *(T.StructField(f"m{k}", T.DoubleType()) for k in range(len(models)))])
+    out = x.mapInArrow(_fold_means([(list(own), [at[c] for c in own[0].columns]) for own in models.values()], kept), schema)
+    return out.toDF(*keep, *models)
+
+
 def predict(df: DataFrame, models: list[Model]) -> DataFrame:
     """``id, p0, p1, ...``: each model's probability; the models share columns and edges (those of one fit)."""
     columns = models[0].columns

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A feature's theme is the first one with a word that its name holds.
 THEMES = (
@@ -47,6 +48,13 @@ def top_features(importances: DataFrame, k: int) -> DataFrame:
     return importances.orderBy(F.desc("mean_importance"), "feature").limit(k)
 
 
+def subsets(importances: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """``k, rank, feature, theme, mean_importance``: the ``k`` strongest features for each size."""
+    most = top_features(importances, max(sizes))
+    first = most.select(F.row_number().over(Window.orderBy(F.desc("mean_importance"), "feature")).alias("rank"), "feature", theme().alias("theme"), "mean_importance")  # as many rows as the largest size
+    return first.withColumn("k", F.explode(F.array(*map(F.lit, sizes)))).where("rank <= k").select("k", "rank", "feature", "theme", "mean_importance")
+
+
 def mean_absolute(values: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """``feature, mean_importance``: mean absolute values of columns (such as attributions)."""
     row = values.agg(*(F.round(F.avg(F.abs(c)), digits).alias(c) for c in columns))
@@ -59,8 +67,6 @@ def permutation_importance(data: DataFrame, columns: list[str], score: Callable[
     Values go to other rows by rank: both sides are numbered in hash ranges and joined by range and rank, so nothing is
     sorted in one task. Rows of a range without a counterpart keep their value.
     """
-    from pyspark.sql.window import Window
-
     base, out = metric(score(data)), []
     ranges = max(64, data.count() // rows_a_range)
     for i, c in enumerate(columns):

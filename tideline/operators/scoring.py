@@ -1,18 +1,25 @@
-"""Offline scoring and ensembles: fold models to calibrated, weighted, checked scores, and the strategies' table."""
+"""Offline scoring and ensembles: fold models to calibrated, weighted, checked scores, and the strategies' table.
+
+Fold models are logistic ones, as column expressions, and boosted trees. All of them score a row in one pass over the
+frame: expressions first, trees on the same Arrow batches behind them. An ensemble is published as one run and read back
+from its manifest alone.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import learning
+from tideline.operators import boosting, learning
 from tideline.operators.contract import align
 from tideline.operators.metrics import evaluate
 from tideline.operators.serving import risk_tier
+from tideline.sources import runs
 
 
 @dataclass(frozen=True)
@@ -35,7 +42,7 @@ class Ensemble:
     """Fold models, calibrators (slope, intercept) and weights by model, and the contract of columns."""
 
     columns: Sequence[str]
-    folds: Mapping[str, Sequence[Linear]]
+    folds: Mapping[str, Sequence[Linear | boosting.Model]]
     calibrators: Mapping[str, tuple[float, float]]
     weights: Mapping[str, float]
     n_folds: int = 5
@@ -45,17 +52,57 @@ class Ensemble:
             raise ValueError(f"{self.n_folds} folds are needed: {wrong}")
         if missing := [m for m in self.weights if m not in self.folds or m not in self.calibrators]:
             raise ValueError(f"no folds or calibrator of {missing}")
+        if mixed := [m for m, f in self.folds.items() if len({type(x) for x in f}) > 1]:
+            raise ValueError(f"folds of several kinds: {mixed}")
+        needed = {c for f in self.folds.values() for x in f for c in (x.columns if isinstance(x, boosting.Model) else x.weights)}
+        if unknown := needed - {*self.columns}:
+            raise ValueError(f"columns that aren't in the contract: {sorted(unknown)}")
 
 
 def score(df: DataFrame, e: Ensemble, key: str = "id") -> DataFrame:
     """``key``, each model's calibrated score, the blend ``p`` and its ``tier``; a missing column is an error."""
     e.check()
     x = align(df, [*e.columns], (key,), strict=True)
-    x = x.select(key, *((sum(f.probability() for f in folds) / len(folds)).alias(m) for m, folds in e.folds.items()))
+    trees = {m: f for m, f in e.folds.items() if isinstance(f[0], boosting.Model)}
+    linear = {m: sum(f.probability() for f in folds) / len(folds) for m, folds in e.folds.items() if m not in trees}
+    if trees:
+        names = list(dict.fromkeys(c for f in trees.values() for c in f[0].columns))
+        at = {c: f"__t{k}" for k, c in enumerate(names)}  # a feature may share its name with a model
+        x = x.select(key, *(F.col("`" + c.replace("`", "``") + "`").alias(k) for c, k in at.items()), *(p.alias(m) for m, p in linear.items()))
+        renamed = {m: [replace(t, columns=[at[c] for c in t.columns]) for t in f] for m, f in trees.items()}
+        x = boosting.fold_means(x, renamed, [key, *linear])
+    else:
+        x = x.select(key, *(p.alias(m) for m, p in linear.items()))
     x = x.select(key, *(learning.apply_platt(m, *e.calibrators[m]).alias(m) for m in e.folds))
     return x.withColumn("p", learning.blend(e.weights, [*e.folds])).withColumn("tier", risk_tier("p"))
 
 
+def publish(spark: SparkSession, root: str, stage: str, name: str, run: str, e: Ensemble) -> str:
+    """An ensemble as a run: a row for each fold model, calibrators and weights; it must be whole."""
+    e.check()
+    folds = [(m, k, "trees" if isinstance(f, boosting.Model) else "linear", f.dumps() if isinstance(f, boosting.Model) else json.dumps(asdict(f))) for m, own in e.folds.items() for k, f in enumerate(own)]
+    tables = {
+        "folds": spark.createDataFrame(folds, "model string, fold int, kind string, body string"),
+        "calibrators": spark.createDataFrame([(m, *map(float, c)) for m, c in e.calibrators.items()], "model string, slope double, intercept double"),
+        "weights": spark.createDataFrame([(m, float(w)) for m, w in e.weights.items()], "model string, weight double"),
+    }
+    return runs.publish(spark, root, stage, name, run, tables, {"columns": [*e.columns], "n_folds": e.n_folds, "models": [*e.folds]})
+
+
+def load(spark: SparkSession, root: str, name: str, stages: tuple[str, ...]) -> Ensemble:
+    """The last published ensemble of a name; tables that aren't those of its manifest, or folds that lack, are an error."""
+    found = runs.latest(spark, root, stages).get(name)
+    if found is None:
+        raise FileNotFoundError(f"{root} has no published run of {name} in {stages}")
+    table = lambda t: runs.read(spark, found, t).collect()
+    rows = sorted(table("folds"), key=lambda r: r.fold)
+    body = {"trees": boosting.Model.loads, "linear": lambda s: Linear(**json.loads(s))}
+    folds = {m: [body[r.kind](r.body) for r in rows if r.model == m] for m in found["facts"]["models"]}
+    e = Ensemble(found["facts"]["columns"], folds, {r.model: (r.slope, r.intercept) for r in table("calibrators")}, {r.model: r.weight for r in table("weights")}, found["facts"]["n_folds"])
+    e.check()
+    return e
+
+
 def submission(scored: DataFrame, key: str = "id") -> DataFrame:
     """The scored file: the same score for each of its three targets."""
     return scored.select(F.col(key).alias("ID"), *(F.col("p").alias(c) for c in ("Target", "TargetLogLoss", "TargetRAUC")))
@@ -85,6 +132,16 @@ def ablation(scored: DataFrame, models: Sequence[str], at_least: int = 2, digits
     return evaluate(scored.select("y", F.explode(p).alias("x")).select("y", "x.subset", "x.p"), "subset", digits=digits)
 
 
+def augmented(scored: DataFrame, models: Sequence[str], extra: Sequence[str], c: float = 0.05) -> DataFrame:
+    """``features`` (plain, augmented) and metrics of out-of-fold stacking without and with ``extra`` columns, scaled to
+    a mean of 0 and a deviation of 1."""
+    row = scored.agg(*(f(x).alias(f"{x}|{k}") for x in extra for k, f in enumerate((F.avg, F.stddev_pop)))).first()
+    scaled = scored.withColumns({x: (F.col(x) - row[f"{x}|0"]) / (row[f"{x}|1"] or 1.0) for x in extra})
+    rows = learning.stack(scored, models, c).select("y", F.col("stacked").alias("p"), F.lit("plain").alias("features"))
+    more = learning.stack(scaled, models, c, extra).select("y", F.col("stacked").alias("p"), F.lit("augmented").alias("features"))
+    return evaluate(rows.unionByName(more), "features")
+
+
 def stacking_by_c(scored: DataFrame, models: Sequence[str], settings: Sequence[float] = (0.10, 0.05, 0.01)) -> DataFrame:
     """Metrics of out-of-fold stacking at several strengths of regularisation."""
     rows = None

@@ -424,3 +424,4 @@ def series_features_wide(spark, sf_dir):
 
 
 import tideline.queries_more  # noqa: E402,F401  (registers its queries here)
+import tideline.queries_models  # noqa: E402,F401
