@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import contract, domain, encoding, importance, learning, metrics, models, profiling, serving
+from tideline.operators import contract, domain, encoding, importance, isotonic, learning, metrics, models, profiling, serving
 from tideline.operators import series as series_ops
 from tideline.plans import panel, schema
 from tideline.sources import tables
@@ -110,8 +110,8 @@ def test_learning(spark):
     assert mean[0] == pytest.approx(mean[1], abs=1e-6)
     weights = learning.optimise_weights(df, ["a", "b"])
     assert sum(weights.values()) == pytest.approx(1) and weights["a"] > 0.9
-    isotonic = learning.fit_isotonic(df).transform(df.withColumn("y", F.col("y").cast("double"))).select("p", "calibrated").orderBy("p").collect()
-    assert all(a.calibrated <= b.calibrated + 1e-12 for a, b in zip(isotonic, isotonic[1:], strict=False))
+    monotone = isotonic.apply(df, isotonic.fit(df)).select("p", "calibrated").orderBy("p").collect()
+    assert len(monotone) == 600 and all(a.calibrated <= b.calibrated for a, b in zip(monotone, monotone[1:], strict=False))
     with pytest.raises(ValueError):
         learning.blend({"a": 1.0, "gone": 1.0}, ["a", "b"])
     best = learning.pick(spark.createDataFrame([(0, "x", 0.2), (1, "y", 0.1), (2, "z", 0.1)], "seq int, name string, score double")).first()

@@ -68,13 +68,6 @@ def cross_platt(scored: DataFrame, c: float = 1e10) -> tuple[DataFrame, tuple[fl
     return scored.withColumn("calibrated", out), fit_platt(scored, c)
 
 
-def fit_isotonic(scored: DataFrame):
-    """Spark's isotonic regression; scores out of the fitted range take the nearest end."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    return IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="calibrated").fit(scored.select(F.col("p").cast("double").alias("p"), F.col("y").cast("double").alias("y")))
-
-
 def temperature_grid(scored: DataFrame, low: float = 0.5, high: float = 3.0, n: int = 50, digits: int = 6) -> DataFrame:
     """Log loss of sigmoid(logit(p) / T) on a grid of T: all columns of one aggregation."""
     grid = [low + (high - low) * i / (n - 1) for i in range(n)]

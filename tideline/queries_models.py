@@ -11,11 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import attributions, importance, learning, models, scoring
+from tideline.operators import attributions, importance, isotonic, learning, models, scoring
 from tideline.operators.models import Experiment
 from tideline.plans.panel import customers
 from tideline.plans.settled import shared_dir
-from tideline.queries import _training, query
+from tideline.queries import _SCORED, _training, query, scored
 
 #: What every kind of tree is trained with here.
 _LEAF = Experiment("leafwise", "trees_leafwise", {"trees": 12, "rate": 0.3, "leaves": 15, "min_rows": 10}, balanced=True, patience=4)
@@ -31,6 +31,21 @@ def training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     return data.join(customers(spark, sf_dir).select("id", "segment", "earning_pattern"), "id"), columns
 
 
+_PAVA = f"""with {_SCORED}, d as (select floor(p * 256) / 256 as p, count(*) as n, sum(y) as s from e group by 1),
+  c as (select p, n, row_number() over (order by p) as i, sum(n) over (order by p) as n_to, sum(s) over (order by p) as s_to from d),
+  pairs as (select a.i as a, b.i as b, (b.s_to - coalesce(z.s_to, 0)) / (b.n_to - coalesce(z.n_to, 0))::double as mean from c a join c b on b.i >= a.i left join c z on z.i = a.i - 1),
+  least_mean as (select a, b, min(mean) over (partition by a order by b rows between current row and unbounded following) as m from pairs),
+  fitted as (select b as i, max(m) as rate from least_mean group by b)
+  select min(p) as lo, max(p) as hi, sum(n)::bigint as n, round(rate, 6) as rate from c join fitted using (i) group by rate"""
+
+
+@query(_PAVA)
+def isotonic_pools(spark, sf_dir):
+    """Pools of the isotonic fit of the events' scores, in steps of 1/256; the SQL has its min-max form."""
+    rows = scored(spark, sf_dir).select("y", (F.floor(F.col("p") * 256) / 256).alias("p"))
+    return isotonic.fit(rows).select("lo", "hi", "n", F.round("rate", 6).alias("rate"))
+
+
 @query()
 def boosted_by_fold(spark, sf_dir):
     """``kind, fold`` and metrics of out-of-fold scores, for leaf-wise, depth-wise and symmetric trees."""
