@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline import frame_sql
 from tideline.operators import features, importance, learning, metrics, models, profiling, scoring, serving
 from tideline.operators.series import raw_names
 from tideline.plans.panel import customers, series, table, wide_panel
@@ -185,6 +186,16 @@ def features_full(spark, sf_dir):
     return features.build_features(*parts, features.fit_features(*parts))
 
 
+@query(frame_sql.SQL)
+def features_profile(spark, sf_dir):
+    """``feature, n, mean`` of every column that the frame adds to the panel: values and mean (from 1e6 on its decimal logarithm, with its sign)."""
+    frame = features_full(spark, sf_dir)
+    old = set(wide_panel(spark, sf_dir).columns)
+    rows = profiling.long(frame, [c for c in frame.columns if c not in old])
+    mean = F.avg("value")
+    return rows.groupBy("feature").agg(F.count("value").alias("n"), F.when(F.abs(mean) < 1_000_000, F.round(mean, 3)).otherwise(F.signum(mean) * F.round(F.log10(F.abs(mean)), 6)).alias("mean"))
+
+
 @query(_over("select 'rows' as fact, count(*) as n from customer union all select 'least_features', 600"))
 def features_full_size(spark, sf_dir):
     """Rows of the feature frame, and whether it has the 600 features that it must have at least."""
