@@ -7,9 +7,9 @@ import threading
 import numpy as np
 import pytest
 
-from tideline.operators import models, search
+from tideline.operators import contract, models, search
 from tideline.operators.search import Dim
-from tideline.sources import runs
+from tideline.sources import runs, tables
 
 SPACE = {"x": Dim("float", -5, 5), "n": Dim("log_int", 1, 1000), "rate": Dim("log", 1e-4, 1.0), "kind": Dim("choice", choices=("a", "b", "c")), "extra": Dim("int", 0, 100, step=10, when=("kind", "b"))}
 
@@ -210,3 +210,53 @@ def test_preflight(spark):
     assert "folds" in wrong["c"]
     rows = models.summary({"c": wrong["c"]})
     assert [(r["name"], r["ok"], r["folds"]) for r in rows] == [("c", False, 0)]
+
+
+def test_rows_to_score_keep_their_order(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    kinds = T.StructType([T.StructField("ID", T.StringType()), T.StructField("age", T.DoubleType())])
+    path = tmp_path / "in.csv"
+    path.write_text("ID,age\n" + "".join(f"c{k * 7919 % 1000},{k}\n" for k in range(300)))
+    with pytest.warns(UserWarning, match="300 rows, not 30000"):
+        df = tables.load_test(spark, str(path), kinds, "ID", 30_000)
+    assert [r.age for r in df.repartition(5).orderBy("row").collect()] == list(range(300))
+    path.write_text("ID,age\nc1,1\nc1,2\n")
+    with pytest.raises(ValueError, match="repeat"):
+        tables.load_test(spark, str(path), kinds, "ID")
+
+
+def test_out_of_fold_scores_are_required(spark):
+    good = [(i, m, int(i % 7 == 0), 0.1 + i / 1000) for i in range(140) for m in ("a", "b")]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, model string, y int, p double")
+    tables.require_oof(frame(good), ["a", "b"], 140)
+    for rows, wrong in ((good[1:], "139 rows, not 140"), ([*good[2:], (0, "a", 1, None), (0, "b", 1, 0.2)], "missing"), ([*good[2:], (0, "a", 1, 1.5), (0, "b", 1, 0.2)], "outside"), ([(i, m, 1, p) for i, m, _, p in good], "base rate")):
+        with pytest.raises(ValueError, match=wrong):
+            tables.require_oof(frame(rows), ["a", "b"], 140)
+    with pytest.raises(ValueError, match="c: no scores"):
+        tables.require_oof(frame(good), ["a", "c"])
+
+
+def test_settings_go_in_order(spark):
+    assert contract.options() == {"clip_quantiles": (0.001, 0.999), "enable_clipping": True, "scale_features": False}
+    config = {"preprocessing": {"clip_quantiles": [0.1, 0.9], "other": 1}}
+    assert contract.options(config, clip_quantiles=(0.2, 0.8), scale_features=True) == {"clip_quantiles": (0.1, 0.9), "enable_clipping": True, "scale_features": True}
+    with pytest.raises(ValueError, match="in order"):
+        contract.options(clip_quantiles=(0.9, 0.1))
+    with pytest.raises(ValueError, match="no settings"):
+        contract.options(clip=1)
+    df = spark.createDataFrame([(i, float(i)) for i in range(101)], "id long, x double")
+    assert contract.Preprocessing.fit(df, ["x"], config=config).clip == {"x": (10.0, 90.0)}
+    off = contract.Preprocessing.fit(df, ["x"], scaled=False, config={"preprocessing": {"enable_clipping": False, "scale_features": True}})
+    assert off.clip == {}
+    assert off.scale["x"][0] == 50.0
+
+
+def test_tracked_rows(spark):
+    rows = tables.tracked("tuning", "run_1", {"best": {"score": 0.2, "params": {"rate": 0.1, "grow": "leaf"}}, "ok": True, "none": None}, [{"fold": 0, "auc": 0.8}, {"fold": 1, "auc": 0.6}], "cv_")
+    found = {(r[2], r[3], r[4]): r[5] if r[2] == "metric" else r[6] for r in rows}
+    assert found == {
+        ("metric", "cv_best.score", None): 0.2, ("metric", "cv_best.params.rate", None): 0.1, ("param", "cv_best.params.grow", None): "leaf", ("param", "cv_ok", None): "true",
+        ("metric", "cv_auc_fold", 0): 0.8, ("metric", "cv_auc_fold", 1): 0.6, ("metric", "cv_auc_mean", None): pytest.approx(0.7), ("metric", "cv_auc_std", None): pytest.approx(0.1),
+    }
+    assert spark.createDataFrame(rows, tables.TRACKED).count() == len(rows)

@@ -7,7 +7,9 @@ projection with literals, so any later frame, even of one row, gets the same col
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +97,23 @@ class FeatureSpec:
         return cls(**json.loads(spark.read.parquet(path).first().spec))
 
 
+#: What the fit of preprocessing takes where neither a configuration nor the caller says otherwise.
+DEFAULTS = {"clip_quantiles": CLIP, "enable_clipping": True, "scale_features": False}
+
+
+def options(config: Mapping[str, Any] | None = None, **given: Any) -> dict[str, Any]:
+    """Settings of the fit: a configuration's section ``preprocessing`` goes before the caller's arguments, these before
+    the defaults. What isn't a setting there is left out; as an argument it is an error."""
+    if unknown := given.keys() - DEFAULTS.keys():
+        raise ValueError(f"no settings {sorted(unknown)}")
+    section = (config or {}).get("preprocessing") or {}
+    out = DEFAULTS | given | {k: v for k, v in section.items() if k in DEFAULTS}
+    lo, hi = map(float, out["clip_quantiles"])
+    if not 0 <= lo < hi <= 1:
+        raise ValueError(f"clip_quantiles {lo}, {hi} aren't shares in order")
+    return out | {"clip_quantiles": (lo, hi)}
+
+
 @dataclass
 class Preprocessing:
     """Fitted state of preprocessing: the contract of columns, clip bounds and scale."""
@@ -104,16 +123,18 @@ class Preprocessing:
     scale: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], scaled: bool = False, approximate: bool = False) -> Preprocessing:
+    def fit(cls, df: DataFrame, columns: list[str], scaled: bool = False, approximate: bool = False, config: Mapping[str, Any] | None = None) -> Preprocessing:
+        """``config`` may hold a section ``preprocessing`` whose settings go before the arguments (``options``)."""
+        chosen = options(config, scale_features=scaled)
         if not columns:
             if df.isEmpty():
                 raise ValueError("an empty frame can't be fitted")
             return cls()
         with settled(df.select(*map(clean, columns))) as x:
-            return cls._fit(x, columns, scaled, approximate)
+            return cls._fit(x, columns, chosen, approximate)
 
     @classmethod
-    def _fit(cls, x: DataFrame, columns: list[str], scaled: bool, approximate: bool) -> Preprocessing:
+    def _fit(cls, x: DataFrame, columns: list[str], chosen: Mapping[str, Any], approximate: bool) -> Preprocessing:
         row = x.agg(F.count("*").alias("|n"), *(f(c).alias(f"{c}|{k}") for c in columns for k, f in enumerate((F.min, F.max, F.approx_count_distinct)))).first()
         if not row["|n"]:
             raise ValueError("an empty frame can't be fitted")
@@ -122,9 +143,9 @@ class Preprocessing:
         near = [c for c in kept if few[c] <= 3 * FEW]  # only near the gate are values counted exactly
         exact = x.agg(*(F.count_distinct(c).alias(c) for c in near)).first() if near else {}
         many = [c for c in kept if c not in near or exact[c] > FEW]
-        clip = {c: (p[0], p[1]) for c, p in _percentiles(x, many, CLIP, approximate).items() if p[0] < p[1]}
-        self = cls(kept, clip)
-        if scaled:
+        bounds = _percentiles(x, many if chosen["enable_clipping"] else [], chosen["clip_quantiles"], approximate)
+        self = cls(kept, {c: (p[0], p[1]) for c, p in bounds.items() if p[0] < p[1]})
+        if chosen["scale_features"]:
             row = self._clipped(x).agg(*(f(c).alias(f"{c}|{k}") for c in kept for k, f in enumerate((F.avg, F.stddev_pop)))).first()
             self.scale = {c: (row[f"{c}|0"], row[f"{c}|1"] or 1.0) for c in kept}
         return self

@@ -9,7 +9,9 @@ from tideline import frame_sql
 from tideline.operators import features, importance, learning, metrics, models, profiling, scoring, serving
 from tideline.operators.series import raw_names
 from tideline.plans.panel import customers, series, table, wide_panel
-from tideline.queries import _AUC, _FOLD, _LINES, _LL, _SCORED, _over, _wide, query, scored
+from tideline.plans.panel import zero_rates as zero_rate_rows
+from tideline.plans.schema import ENTITIES, GROUPS
+from tideline.queries import _AUC, _FOLD, _LINES, _LL, _NAMES, _SCORED, _over, _rows_of, _wide, query, scored
 from tideline.sources import tables
 
 _ABC = ["a", "b", "c"]
@@ -33,6 +35,37 @@ def names_matching(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in _FEATURES], "feature string").where(F.col("feature").rlike("vol|avg_txn|unique"))
 
 
+_RATE = _over(_rows_of(_NAMES, "avg(cast({c} = 0 as int)) as zero_rate"), _wide(_NAMES))
+
+
+@query(f"select feature, round(zero_rate, 6) as zero_rate from ({_RATE}) where regexp_matches(feature, 'vol|unique|senders')")
+def zero_rates_matching(spark, sf_dir):
+    """Zero rates of the panel's columns whose names match a pattern."""
+    rates = zero_rate_rows(spark, sf_dir).where(F.col("feature").rlike("vol|unique|senders"))
+    return rates.withColumn("zero_rate", F.round("zero_rate", 6))
+
+
+@query(f"select split_part(feature, '_', 1) as prefix, count(*) as n, round(avg(zero_rate), 6) as zero_rate from ({_RATE}) group by 1")
+def zero_rates_by_prefix(spark, sf_dir):
+    """The panel's columns by what their names begin with: how many, and their mean zero rate."""
+    by = zero_rate_rows(spark, sf_dir).groupBy(F.split("feature", "_")[0].alias("prefix"))
+    return by.agg(F.count("*").alias("n"), F.round(F.avg("zero_rate"), 6).alias("zero_rate"))
+
+
+_BUSY = f"""used as (select id % 2 as half, m, g, unnest([{{'x': 'total_value', 'n': count_if(total_value > 0)}}, {{'x': 'volume', 'n': count_if(volume > 0)}}, {{'x': 'highest_amount', 'n': count_if(highest_amount > 0)}}, {{'x': {[*ENTITIES.values()]!r}[list_position({[*ENTITIES]!r}, {[*GROUPS]!r}[g + 1])], 'n': count_if(entities > 0)}}], recursive := true) from long group by 1, 2, 3),
+  busy as (select half, 'm' || m || '_' || {[*GROUPS]!r}[g + 1] || '_' || x as feature from used join (select c_custkey % 2 as half, count(*) as customers from customer group by 1) using (half) where n > 0.21 * customers)"""
+
+
+@query(_over("select case any_value(half) when 0 then 'even' else 'odd' end as side, feature from busy group by feature having count(*) = 1", _BUSY))
+def busy_columns_difference(spark, sf_dir):
+    """Transaction columns that over 21 % of one half of the customers use (even or odd ids), and no such share of the other."""
+    names = [*_NAMES]
+    used = wide_panel(spark, sf_dir).groupBy((F.col("ID").cast("long") % 2).alias("half")).agg(F.count("*").alias("customers"), *(F.count_if(F.col(c) > 0).alias(c) for c in names))
+    busy = used.unpivot(["half", "customers"], names, "feature", "n").where("n > 0.21 * customers")
+    sides = busy.groupBy("feature").agg(F.collect_set("half").alias("halves")).where("size(halves) = 1")
+    return sides.select(F.when(F.col("halves")[0] == 0, "even").otherwise("odd").alias("side"), "feature")
+
+
 @query("select event_id as id, event_type from events order by md5('42:' || event_id), event_id limit 100")
 def seeded_sample(spark, sf_dir):
     """A sample of exactly 100 rows, the same for a seed on any cluster."""

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import warnings
+from collections.abc import Iterable, Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +61,17 @@ def load_pair(spark: SparkSession, train: str, test: str, schema: T.StructType,
     return both
 
 
+def load_test(spark: SparkSession, path: str, schema: T.StructType, key: str, expected: int | None = None) -> DataFrame:
+    """Rows to be scored, validated, with their place in the file as ``row`` (rising, with gaps), so that a scored file
+    can keep their order. Another number of rows than ``expected`` is a warning: the data may have been renewed.
+    """
+    df = read_csv(spark, path, schema)
+    n = validate(df, key)["rows"]
+    if expected is not None and n != expected:
+        warnings.warn(f"{path} has {n} rows, not {expected}", stacklevel=2)
+    return df.withColumn("row", F.monotonically_increasing_id())
+
+
 def write_csv(df: DataFrame, path: str, dry_run: bool = False) -> None:
     """A scored file: one part, as it is handed in; a dry run writes nothing."""
     if not dry_run:
@@ -84,6 +98,24 @@ def check_oof(oof: DataFrame) -> DataFrame:
     )
 
 
+#: The band of the base rate of out-of-fold labels.
+BASE_RATE = (0.13, 0.17)
+
+
+def require_oof(oof: DataFrame, models: Iterable[str], expected: int | None = None, band: tuple[float, float] = BASE_RATE) -> None:
+    """Raises unless each model has a valid score for as many rows (``expected``, or those of the model with most), and
+    the base rate of the labels lies in the band."""
+    found = {r.model: r for r in check_oof(oof).collect()}  # a row for each model
+    n = expected if expected is not None else max((r.n for r in found.values()), default=0)
+    wrong = [f"{m}: no scores" for m in models if m not in found]
+    for m, r in sorted(found.items()):
+        wrong += [f"{m}: {r.n} rows, not {n}"] if r.n != n else []
+        wrong += [f"{m}: {r[c]} scores {what}" for c, what in (("n_missing", "missing"), ("n_infinite", "infinite"), ("n_outside", "outside 0 to 1")) if r[c]]
+        wrong += [f"{m}: a base rate of {r.base_rate}"] if r.base_rate is None or not band[0] <= r.base_rate <= band[1] else []
+    if wrong:
+        raise ValueError("; ".join(wrong))
+
+
 def key_difference(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str] = ("left", "right")) -> DataFrame:
     """``side, n``: distinct keys that only one table has."""
     only = lambda a, b, name: a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n")
@@ -101,6 +133,34 @@ def metric_rows(experiment: str, run: str, values: dict[str, float], spark: Spar
     return spark.createDataFrame([(experiment, run, k, float(v)) for k, v in values.items()], "experiment string, run string, key string, value double")
 
 
+def tracked(experiment: str, run: str, values: Mapping[str, Any], folds: Iterable[Mapping[str, Any]] = (), prefix: str = "") -> list[tuple]:
+    """Rows (experiment, run, kind, key, step, value, text) of what a run has to tell: numbers are metrics, other values are
+    parameters, nested ones have dotted keys; ``folds`` give a metric's value by step, its mean and its deviation."""
+    out: list[tuple] = []
+
+    def add(key: str, value: Any) -> None:
+        if isinstance(value, Mapping):
+            for k, v in value.items():
+                add(f"{key}.{k}" if key else str(k), v)
+        elif isinstance(value, (int, float)) and not isinstance(value, bool):
+            out.append((experiment, run, "metric", prefix + key, None, float(value), None))
+        elif value is not None:
+            out.append((experiment, run, "param", prefix + key, None, None, value if isinstance(value, str) else json.dumps(value)))
+
+    add("", values)
+    folds = list(folds)
+    for key in dict.fromkeys(k for f in folds for k in f if k != "fold"):
+        by = {f["fold"]: float(f[key]) for f in folds if f.get(key) is not None}
+        out += [(experiment, run, "metric", f"{prefix}{key}_fold", step, v, None) for step, v in sorted(by.items())]
+        if by:
+            mean = sum(by.values()) / len(by)
+            out += [(experiment, run, "metric", f"{prefix}{key}_mean", None, mean, None), (experiment, run, "metric", f"{prefix}{key}_std", None, (sum((v - mean) ** 2 for v in by.values()) / len(by)) ** 0.5, None)]
+    return out
+
+
+TRACKED = "experiment string, run string, kind string, key string, step int, value double, text string"
+
+
 def read_json(path: str) -> dict:
     """A small JSON file of a driver's run; nothing where there is none or it isn't JSON."""
     try:
