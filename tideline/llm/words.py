@@ -57,7 +57,7 @@ def tokenizer(path: str):
 class _Bounded(dict):
     """A cache that a Python worker keeps between tasks; ``limit`` bounds its entries and so its memory."""
 
-    limit = 800_000
+    limit = 250_000
 
     def __init__(self, path: str):
         super().__init__()
