@@ -10,7 +10,7 @@ them with a probability of at most 2 * (1 - s ** 2) ** tuples, 5.4e-6 for s = 0.
 2. Tuples that only one node has can't meet another: nodes without a shared tuple in both collections drop out.
 3. Each table has a leader; the nodes that share a table with a leader are its group. Members of large groups are
    compared with the leader first, and those that are linked with it need no comparison among each other.
-4. What is left of a group is compared in blocks of bounded size, on full sets; a block gives the links that join
+4. What is left of a group is compared in blocks of bounded size (nodes and shingles), on full sets; a block gives the links that join
    components, not its pairs. Linked sets are alike in size, so a large group is parted by classes of size, and blocks
    meet within a class and with the next one only. No link between different texts is lost, and no group is in one task.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import batch_from, batch_of, id_and_text, row_key, sliced, written
 from tideline.llm.hashing import WordHashes, mix
 
-#: Minhashes of a tuple; tuples of either collection; nodes of a block.
-WIDTH, TUPLES, BLOCK = 2, 10, 256
+#: Minhashes of a tuple; tuples of either collection; nodes of a block, and their shingles in sum.
+WIDTH, TUPLES, BLOCK, SHINGLES = 2, 10, 256, 1 << 19
 _SIGNED = "key binary, doc_id long, n_shingles long, node binary, a array<long>, b array<long>"
 _WORDS = WordHashes()
 
@@ -166,7 +166,8 @@ def compared(groups: DataFrame, counts: DataFrame, found: DataFrame, sets: DataF
     large = F.col("n") > BLOCK
     klass = F.when(large, F.floor(F.ln("size") / (np.log(100 / percent) * (1 + 1e-9)))).otherwise(0).cast("int")
     placed = written(placed.withColumns({"side": F.when(large & (F.col("component") == F.col("leaders")), 1).otherwise(0), "klass": klass}), "placed")
-    sizes = placed.groupBy("leader", "klass").agg(*(F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / BLOCK).cast("int").alias(f"blocks{s}") for s in (0, 1)))
+    own = lambda s, x: F.sum(F.when(F.col("side") == s, x).otherwise(0))
+    sizes = placed.groupBy("leader", "klass").agg(*(F.ceil(F.greatest(own(s, F.lit(1)) / BLOCK, own(s, F.col("size")) / SHINGLES)).cast("int").alias(f"blocks{s}") for s in (0, 1)))
     sizes = written(sizes, "sizes")
     beside = sizes.select("leader", F.explode(F.array(*(F.col("klass") + d for d in (-1, 0, 1)))).alias("klass"), F.struct(F.col("klass").alias("k"), "blocks0", "blocks1").alias("s"))
     around = written(beside.groupBy("leader", "klass").agg(F.collect_list("s").alias("around")).join(sizes, ["leader", "klass"]), "around")  # three classes at most
