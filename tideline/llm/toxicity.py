@@ -163,13 +163,17 @@ class _Found(dict):
 
     def __init__(self, cost: np.ndarray, kept: dict[str, int] | None):
         super().__init__()
-        self.cost, self.kept = cost, kept
+        self.cost, self.kept, self.old = cost, kept, {}
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) >= 150_000:
+        out = self.old.get(word)
+        if out is None:
+            found = list(dict.fromkeys(f for plain in readings(word, self.cost) for f in features(plain)))
+            out = tuple(found if self.kept is None else (self.kept[f] for f in found if f in self.kept))
+        if len(self) >= 150_000:  # the words so far become the older ones; what comes again moves back
+            self.old = dict(self)
             self.clear()
-        found = list(dict.fromkeys(f for plain in readings(word, self.cost) for f in features(plain)))
-        self[word] = out = tuple(found if self.kept is None else (self.kept[f] for f in found if f in self.kept))
+        self[word] = out
         return out
 
     def text(self, text: str) -> set:

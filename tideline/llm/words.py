@@ -55,19 +55,27 @@ def tokenizer(path: str):
 
 
 class _Bounded(dict):
-    """A cache that a Python worker keeps between tasks; ``limit`` bounds its entries and so its memory."""
+    """A cache that a Python worker keeps between tasks; ``limit`` bounds its entries and so its memory.
 
-    limit = 250_000
+    Entries have two generations: when the new one holds half of the limit it becomes the old one, and what is asked for
+    again moves back. So frequent words stay, and only rare ones are encoded anew.
+    """
+
+    limit = 400_000
 
     def __init__(self, path: str):
         super().__init__()
-        self.path = path
+        self.path, self.old = path, {}
 
     def __missing__(self, x: str) -> bytes:
-        if len(self) >= self.limit:
+        found = self.old.get(x)
+        if found is None:
+            found = self.make(x)
+        if 2 * len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        self[x] = out = self.make(x)
-        return out
+        self[x] = found
+        return found
 
 
 class _Parts(_Bounded):
