@@ -151,3 +151,12 @@ def test_levels(spark):
     assert {r.call_id: r.level for r in found.collect()} == plain_levels(parents | {"free": []}) and found.count() == len(plain_levels(parents)) + 1
     assert found._jdf.queryExecution().optimizedPlan().toString().count("\n") < 60
     assert chat.levels(spark.createDataFrame([], "call_id string, depends_on array<string>")).count() == 0
+
+
+def test_every_turn_has_a_row(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "q\n"), (1, 2, "assistant", "a"), (1, 4, "assistant", None), (1, 5, "user", ""), (1, 5, "user", ""), (2, 1, None, "x"), (None, 1, "user", "y"), (3, None, "assistant", "z")]
+    rows = chat.turn_rows(spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, call_id string")).collect()
+    found = sorted((str(r.conv_id), str(r.turn), r.kind, str(r.call_id), r.linked) for r in rows)
+    assert found == sorted([("1", "0", "text", "None", False), ("1", "1", "call", "1:1", True), ("1", "2", "result", "1:1", True), ("1", "4", "result", "1:3", False), ("1", "5", "call", "1:5", False), ("1", "5", "call", "1:5", False), ("2", "1", "text", "None", False), ("None", "1", "call", "None", False), ("3", "None", "result", "None", False)])
+    assert next(r.json for r in rows if r.turn == 1 and r.conv_id == 1) == '{"content":"q\\n","role":"user"}'
+    assert next(r.json for r in rows if r.conv_id == 2) == '{"content":"x","role":null}'

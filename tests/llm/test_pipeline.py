@@ -59,7 +59,8 @@ def test_passages(spark):
 def test_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, SF)
-        assert out.columns == odd.columns and out.count() >= 0
+        assert out.columns == odd.columns
+        assert out.count() == {"toxicity": 9, "near_duplicates": 5, "repeated_passages": 9}.get(name, out.count())
         assert stage(spark, odd.limit(0), SF).count() == 0
     near = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
     found = sorted((str(r.doc_id), r.text) for r in near.select("doc_id", F.substring("text", 1, 3).alias("text")).fillna("", ["text"]).collect())

@@ -188,3 +188,31 @@ def test_broken():
     assert [*gif.read_gif(b"GIF89a" + b"\xff" * 4 + head[10:] + good)] == []
     wide = good[:8] + struct.pack("<BHHHHB", 0x2C, 0, 0, 65535, 65535, 0) + good[18:]
     assert [*gif.read_gif(head + wide)] == []
+
+
+def test_ablations(spark):
+    """Every policy's rules by counting rows of the ledger."""
+    texts = ["few words", "x " * 60, " ".join(f"w{k} #" for k in range(40)), "\n".join(["same line of some words"] * 9 + [f"line {k} with words" for k in range(9)]), " ".join(f"good{k} word" for k in range(30)), None, "A" * 3000]
+    docs = spark.createDataFrame([(k % 5, t, 1) for k, t in enumerate(texts * 3)], "doc_id long, text string, failures int").repartition(2)
+    entries = [{r for i, r in enumerate(rules.RULES) if x.failures >> i & 1} for x in rules.ledger(docs).collect()]
+    want = set()
+    for policy, names in rules.POLICIES.items():
+        for r in names:
+            own = [e & {*names} for e in entries]
+            want.add((policy, r, sum(r in e for e in own), sum(e == {r} for e in own), sum(bool(e) for e in own)))
+    assert {tuple(r) for r in rules.ablations(docs).collect()} == want
+    assert rules.ablations(docs.limit(0)).count() == 0
+
+
+def test_stored_frames(spark, tmp_path):
+    texts = [(1, "a" * 64), (2, None), (3, "b" * (gif.WIDTH * gif.ROWS + 5)), (3, "b" * (gif.WIDTH * gif.ROWS + 5))]
+    media = gif.store_texts(spark.createDataFrame(texts, "doc_id long, text string"))
+    odd = spark.createDataFrame([(9, 0, b"no gif"), (8, 0, None)], media.schema)
+    rows = gif.store_frames(media.unionByName(odd), "doc_id", "media", f"file://{tmp_path}/frames").collect()
+    assert sorted((r.id, r.frame, r.start_ms) for r in rows) == [(1, 0, 0), (2, 0, 0), (3, 0, 0), (3, 0, 0), (3, 1, 100), (3, 1, 100)]
+    assert all(sum(r.histogram) == r.width * r.height and r.delay_ms == 100 for r in rows)
+    grey = np.full((1, 64, 3), ord("a"), "u1")
+    assert next(r for r in rows if r.id == 1).canvas_sha256 == hashlib.sha256(grey.tobytes()).hexdigest()
+    assert len({r.canvas_sha256 for r in rows if r.id == 3}) == 2
+    again = spark.read.parquet(f"file://{tmp_path}/frames")
+    assert again.count() == 6

@@ -9,7 +9,9 @@ What is shuffled is each block's distinct words and the word numbers of the docu
 A block is named by its content and split twice, once for its words and once for its numbers, so nothing is stored in
 between; ``docs`` must give the same rows in the same partitions each time, as a table does. If it doesn't, a block's
 answers are missing and the task fails: no wrong ids are returned.
-Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated rows.
+Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated rows; a very long text is one
+row of its block and is encoded whole. Empty tables give no rows. Of equal words in several blocks each block gets the
+same answer, so ties don't matter. Only doc_id and text are read, so no other column can clash.
 """
 
 from __future__ import annotations

@@ -150,6 +150,32 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def turn_rows(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, kind, call_id, linked, json`` of every turn: none is left out.
+
+    A user's turn is a ``call``, an assistant's a ``result`` of the call one turn before; other turns (a system's, those
+    without a role) are ``text``. ``call_id`` is the call that a turn is or answers, null for text and for turns without
+    a conversation or number; ``linked`` says whether the other side of the call is there. ``json`` is the turn's message
+    with sorted keys. Repeated turns have a row each.
+    """
+    turns = turns.select("conv_id", "turn", "role", "text")
+    kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("text")
+    own = lambda back: F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string")))
+    rows = turns.withColumn("kind", kind).withColumn("call_id", F.when(F.col("kind") == "call", own(0)).when(F.col("kind") == "result", own(1)))
+    sides = rows.where("call_id is not null").groupBy("call_id").agg((F.count_if(F.col("kind") == "call") > 0).alias("called"), (F.count_if(F.col("kind") == "result") > 0).alias("answered"))
+    linked = F.when(F.col("kind") == "call", F.col("answered")).when(F.col("kind") == "result", F.col("called"))
+    message = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
+    return rows.join(sides, "call_id", "left").select("conv_id", "turn", "role", "kind", "call_id", F.coalesce(linked, F.lit(False)).alias("linked"), message.alias("json"))
+
+
+TURNS_SQL = """
+with t as (select conv_id, turn, role, text, case role when 'user' then 'call' when 'assistant' then 'result' else 'text' end as kind,
+  case role when 'user' then conv_id || ':' || turn when 'assistant' then conv_id || ':' || (turn - 1) end as call_id from conversations)
+select conv_id, turn, role, kind, call_id,
+  coalesce(case kind when 'call' then call_id in (select call_id from t where kind = 'result' and call_id is not null) when 'result' then call_id in (select call_id from t where kind = 'call' and call_id is not null) end, false) as linked,
+  '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}' as json from t
+"""
+
 #: The same over the table ``conversations``; questions follow one another at a distance of two turns.
 SQL = """
 with calls as (select conv_id, turn, conv_id || ':' || turn as call_id, text from conversations where role = 'user'),

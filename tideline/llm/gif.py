@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import batch_of, id_and_text
+from tideline.llm.common import batch_of, id_and_text, sliced, written
 
 #: Samples of a row, and rows of a frame at most: longer payloads take more frames.
 WIDTH, ROWS, DELAY = 64, 4096, 10
@@ -247,21 +247,34 @@ def histogram(pixels: np.ndarray) -> list[int]:
 
 # ---------------------------------------------------------------- columns
 
-_FRAMES = "id long, frame int, start_ms long, delay_ms long, disposal int, width int, height int, histogram array<long>"
+_FRAMES = "id long, frame int, start_ms long, delay_ms long, disposal int, width int, height int, canvas_sha256 string, histogram array<long>"
 _STORED = "doc_id long, n_bytes long, media binary"
 _READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, histogram array<long>"
 
 
 def frames(df: DataFrame, id_column: str, media: str) -> DataFrame:
-    """A row for each shown frame of the GIFs in a binary column; null and broken media have none."""
+    """A row for each shown frame of the GIFs in a binary column: its time, what its canvas shows (a digest and a colour
+    histogram). Null and broken media have none; repeated rows have theirs each."""
 
     def run(batches):
-        for batch in batches:
-            yield batch_of(_FRAMES, [(i, k, f.start_ms, f.delay_ms, f.disposal, f.canvas.shape[1], f.canvas.shape[0], histogram(f.canvas)) for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, f in enumerate(read_gif(data or b""))])
+        for batch in sliced(batches, 16):  # media are decoded frame by frame
+            yield batch_of(_FRAMES, [(i, k, f.start_ms, f.delay_ms, f.disposal, f.canvas.shape[1], f.canvas.shape[0], hashlib.sha256(np.ascontiguousarray(f.canvas).tobytes()).hexdigest(), histogram(f.canvas)) for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, f in enumerate(read_gif(data or b""))])
 
     return df.select(F.col(id_column).cast("long"), F.col(media)).mapInArrow(run, _FRAMES)
 
 
+def store_frames(df: DataFrame, id_column: str, media: str, path: str | None = None) -> DataFrame:
+    """``frames`` as a stored table, read back: timed frames with their histograms, which later jobs read without decoding.
+
+    ``path`` is where it stays; without one it lies in the shared folder until the application ends.
+    """
+    found = frames(df, id_column, media)
+    if path is None:
+        return written(found, "frames")
+    found.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(found.schema).parquet(path)
+
+
 def _store(batches):
     for batch in batches:
         rows = []

@@ -14,7 +14,9 @@ them with a probability of at most 2 * (1 - s ** 2) ** tuples, 5.4e-6 for s = 0.
    components, not its pairs. Linked sets are alike in size, so a large group is parted by classes of size, and blocks
    meet within a class and with the next one only. No link between different texts is lost, and no group is in one task.
 
-Null and empty texts, and texts without words, have no set and no links. Repeated rows have equal sets.
+Null and empty texts, and texts without words, have no set and no links. Repeated rows have equal sets. Very long texts
+have large sets, which are compared whole; blocks are bounded by their shingles. Empty tables give no rows. Ties: of
+equal ranks the lesser node leads. Only doc_id and text are read, so no other column can clash.
 """
 
 from __future__ import annotations

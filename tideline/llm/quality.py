@@ -6,7 +6,7 @@ logistic curve learned with them turns that share and its square root into the s
 
 The field is learned from a bounded sample of labelled rows (SAMPLE); in training a line has its document's label.
 Null and empty texts are one empty line. Repeated rows get equal scores; a very long text is one long chain, read whole.
-Empty tables give no rows; without labels every score is one half. Clashing columns: as in ``toxicity``.
+Ties between a label's two values keep the higher one. Empty tables give no rows; without labels every score is one half. Clashing columns: as in ``toxicity``.
 """
 
 from __future__ import annotations

@@ -77,9 +77,21 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ablations(documents(spark, sf_dir))
+
+
+def gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.store_frames(gif.store_texts(documents(spark, sf_dir)), "doc_id", "media")
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_rules, op5_toxicity, op6_gif, op7_attribution, op8_chat, op9_packing, op10_suffixes, op11_codes, op12_manifest, op13_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_rules, op5_toxicity, op6_gif, op7_attribution, op8_chat, op9_packing, op10_suffixes, op11_codes, op12_manifest, op13_decontamination, rules_ablation, gif_frames, chat_turns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rules": rules.SQL, "op8_chat": chat.SQL, "op11_codes": codes.SQL, "op12_manifest": manifest.SQL, "op13_decontamination": decontaminate.SQL}
+    return {"op4_rules": rules.SQL, "op8_chat": chat.SQL, "rules_ablation": rules.ABLATION_SQL, "chat_turns": chat.TURNS_SQL, "op11_codes": codes.SQL, "op12_manifest": manifest.SQL, "op13_decontamination": decontaminate.SQL}

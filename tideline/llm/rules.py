@@ -4,7 +4,9 @@ Every document is measured once and every rule is evaluated once; the ledger kee
 each failed rule. A policy is a versioned set of rules: applying it, or asking what each of its rules does alone, reads
 bits and never the texts again.
 
-Null and empty texts have no words and fail ``few_words``; repeated rows give repeated rows.
+Null and empty texts have no words and fail ``few_words``; repeated rows give repeated rows. Very long texts are measured
+whole, one at a time. Empty tables give an empty ledger and an ablation without rows. There are no ties: every rule is
+judged on its own. Only doc_id and text are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import batch_from, id_and_text
+from tideline.llm.common import batch_from, id_and_text, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
 _SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
@@ -128,8 +130,18 @@ def verdicts(docs: DataFrame, policy: str = "v2") -> DataFrame:
     return ledger(docs).withColumns({"base_failed": fails("base"), "kept": ~fails("base") & ~fails(policy)})
 
 
+def ablations(docs: DataFrame) -> DataFrame:
+    """``policy, rule, n_failed, n_only, n_rejected`` of every policy's rules: the texts are read once, for the ledger."""
+    entries = written(ledger(docs).select("failures"), "ledger")
+    out = None
+    for policy in POLICIES:
+        rows = ablation(entries, policy).select(F.lit(policy).alias("policy"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 #: ``n_repeat_words`` by counting every window's text; the verdict's other rules as in RULES and POLICIES["v2"].
-SQL = r"""
+_MEASURED = r"""
 with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
 w as (select row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
@@ -142,9 +154,29 @@ m as (select w.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transf
         (length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')))::bigint as n_letters,
         (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::bigint as n_capitals
       from w left join rep using (row))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+"""
+SQL = _MEASURED + r"""select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 4 * n_symbols > n_words or (10 * n_dup_lines > 3 * n_lines and n_dup_lines > 2)
     or word_chars < 2 * n_words or word_chars > 40 * n_words or (2 * n_capitals > n_letters and n_letters > 100)) as kept
 from m
 """
+
+_FAILED = {
+    "few_words": "n_words < 20", "repeated_words": "100 * n_repeat_words > 30 * n_words", "many_symbols": "4 * n_symbols > n_words", "duplicate_lines": "10 * n_dup_lines > 3 * n_lines and n_dup_lines > 2",
+    "word_length": "word_chars < 2 * n_words or word_chars > 40 * n_words", "capitals": "2 * n_capitals > n_letters and n_letters > 100",
+}
+
+
+def _ablation_sql() -> str:
+    """Each rule judged on its own, without bits; a rule alone rejects what no other rule of its policy does."""
+    rows = []
+    for policy, names in POLICIES.items():
+        any_of = " or ".join(f"({_FAILED[r]})" for r in names)
+        for r in names:
+            others = " or ".join(f"({_FAILED[o]})" for o in names if o != r)
+            rows.append(f"select '{policy}' as policy, '{r}' as rule, count(*) filter ({_FAILED[r]}) as n_failed, count(*) filter (({_FAILED[r]}) and not ({others})) as n_only, count(*) filter ({any_of}) as n_rejected from m")
+    return _MEASURED + " union all ".join(rows)
+
+
+ABLATION_SQL = _ablation_sql()
