@@ -80,3 +80,12 @@ def test_fold_means_of_several_fits(spark, made):
     b = {r.id: r.p for r in models.score_folds(other, data, []).collect()}
     assert len(rows) == 150
     assert all(r.m0 == pytest.approx(a[r.id]) and r.b == pytest.approx(b[r.id]) for r in rows)
+
+
+@pytest.mark.skipif("LONG" not in __import__("os").environ, reason="minutes of planning over 900 columns; set LONG to run it")
+def test_whole_frame(spark, tmp_path):
+    root = f"file://{tmp_path}/runs"
+    queries_models.train_frame(spark, SF, root)
+    rows = queries_models.score_frame(spark, SF, root).collect()
+    assert len(rows) == 150
+    assert all(0 < r.p < 1 and r.tier in ("low", "medium", "high") for r in rows)

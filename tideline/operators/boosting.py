@@ -567,30 +567,44 @@ def _scored(models: list[Model]):
     return run
 
 
-def _fold_means(models: list[tuple[list[Model], list[int]]], kept: list[str]):
+def _fold_means(models: list[tuple[list[Model], list[int]]], lines: list[tuple[np.ndarray, np.ndarray, list[int]]], kept: list[str]):
     def run(batches):
         for batch in _slices(batches):
             out = []
             for own, places in models:
                 x = binned(batch.select([f"c{k}" for k in places]).rename_columns([f"c{k}" for k in range(len(places))]), own[0].edges)
                 out.append(pa.array(sum(1 / (1 + np.exp(-m.margins(x))) for m in own) / len(own)))
+            for weights, intercepts, places in lines:
+                z = np.tile(intercepts, (batch.num_rows, 1))
+                for k, w in zip(places, weights, strict=True):  # column by column: sums don't depend on the batch
+                    z += np.asarray(batch.column(f"c{k}").fill_null(math.nan))[:, None] * w
+                p = (1 / (1 + np.exp(-z))).mean(1)
+                out.append(pa.array(p, mask=np.isnan(p)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *out], names=[*kept, *(f"m{k}" for k in range(len(out)))])
 
     return run
 
 
-def fold_means(df: DataFrame, models: Mapping[str, Sequence[Model]], keep: Sequence[str]) -> DataFrame:
-    """The columns ``keep`` and each model's mean probability over its folds, under the model's name: one pass for all."""
-    columns = list(dict.fromkeys(c for own in models.values() for c in own[0].columns))
+def fold_means(df: DataFrame, models: Mapping[str, Sequence[Model]], keep: Sequence[str], lines: Mapping[str, Sequence[tuple[Mapping[str, float], float]]] | None = None) -> DataFrame:
+    """The columns ``keep`` and each model's mean probability over its folds, under the model's name: one pass for all.
+
+    ``lines`` are logistic models: weights by column and an intercept for each fold; a missing value makes their score null.
+    """
+    lines = lines or {}
+    columns = list(dict.fromkeys([*(c for own in models.values() for c in own[0].columns), *(c for own in lines.values() for w, _ in own for c in w)]))
     at = {c: k for k, c in enumerate(columns)}
     for name, own in models.items():
         if any(m.columns != own[0].columns or m.edges != own[0].edges for m in own):
             raise ValueError(f"the folds of {name} don't share columns and edges")
     kept = [f"k{k}" for k in range(len(keep))]
     x = df.select(*(F.col("`" + c.replace("`", "``") + "`").alias(k) for c, k in zip(keep, kept, strict=True)), *numbered(columns))
-    schema = T.StructType([*x.schema.fields[: len(kept)], *(T.StructField(f"m{k}", T.DoubleType()) for k in range(len(models)))])
-    out = x.mapInArrow(_fold_means([(list(own), [at[c] for c in own[0].columns]) for own in models.values()], kept), schema)
-    return out.toDF(*keep, *models)
+    schema = T.StructType([*x.schema.fields[: len(kept)], *(T.StructField(f"m{k}", T.DoubleType()) for k in range(len(models) + len(lines)))])
+    straight = []
+    for own in lines.values():
+        names = list(dict.fromkeys(c for w, _ in own for c in w))
+        straight.append((np.array([[w.get(c, 0.0) for w, _ in own] for c in names]), np.array([b for _, b in own]), [at[c] for c in names]))
+    out = x.mapInArrow(_fold_means([(list(own), [at[c] for c in own[0].columns]) for own in models.values()], straight, kept), schema)
+    return out.toDF(*keep, *models, *lines)
 
 
 def predict(df: DataFrame, models: list[Model]) -> DataFrame:

@@ -141,7 +141,8 @@ class Preprocessing:
         kept = [c for c in columns if row[f"{c}|0"] != row[f"{c}|1"]]
         few = {c: row[f"{c}|2"] for c in kept}
         near = [c for c in kept if few[c] <= 3 * FEW]  # only near the gate are values counted exactly
-        exact = x.agg(*(F.count_distinct(c).alias(c) for c in near)).first() if near else {}
+        distinct = as_rows(x, near).distinct().groupBy("feature").agg(F.count("value").alias("n")).collect() if near else []
+        exact = {r.feature: r.n for r in distinct}  # a row for each column
         many = [c for c in kept if c not in near or exact[c] > FEW]
         bounds = _percentiles(x, many if chosen["enable_clipping"] else [], chosen["clip_quantiles"], approximate)
         self = cls(kept, {c: (p[0], p[1]) for c, p in bounds.items() if p[0] < p[1]})
@@ -164,13 +165,20 @@ class Preprocessing:
             raise AssertionError("columns differ from the contract")
         return out
 
+    def dumps(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def loads(cls, text: str) -> Preprocessing:
+        found = json.loads(text)
+        return cls(found["columns"], {c: tuple(b) for c, b in found["clip"].items()}, {c: tuple(b) for c, b in found["scale"].items()})
+
     def save(self, spark, path: str) -> None:
-        spark.createDataFrame([(json.dumps(asdict(self)),)], "spec string").write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(self.dumps(),)], "spec string").write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark, path: str) -> Preprocessing:
-        found = json.loads(spark.read.parquet(path).first().spec)
-        return cls(found["columns"], {c: tuple(b) for c, b in found["clip"].items()}, {c: tuple(b) for c, b in found["scale"].items()})
+        return cls.loads(spark.read.parquet(path).first().spec)
 
 
 def align(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), strict: bool = False) -> DataFrame:

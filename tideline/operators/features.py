@@ -22,13 +22,20 @@ class FrameSpec:
     flags: list[str]
     clean: FeatureSpec
 
+    def dumps(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def loads(cls, text: str) -> FrameSpec:
+        found = json.loads(text)
+        return cls(found["codes"], found["flags"], FeatureSpec(**found["clean"]))
+
     def save(self, spark, path: str) -> None:
-        spark.createDataFrame([(json.dumps(asdict(self)),)], "spec string").write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(self.dumps(),)], "spec string").write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark, path: str) -> FrameSpec:
-        found = json.loads(spark.read.parquet(path).first().spec)
-        return cls(found["codes"], found["flags"], FeatureSpec(**found["clean"]))
+        return cls.loads(spark.read.parquet(path).first().spec)
 
 
 def raw_features(by_series: DataFrame, customers: DataFrame, wide: DataFrame, codes: dict[str, int], flags: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Offline scoring and ensembles: fold models to calibrated, weighted, checked scores, and the strategies' table.
 
-Fold models are logistic ones, as column expressions, and boosted trees. All of them score a row in one pass over the
-frame: expressions first, trees on the same Arrow batches behind them. An ensemble is published as one run and read back
+Fold models are logistic ones and boosted trees. Logistic ones alone are column expressions; with trees among them, all
+models score a row in one pass of Arrow batches over the frame. An ensemble is published as one run and read back
 from its manifest alone.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tideline.operators import boosting, learning
 from tideline.operators.contract import align
 from tideline.operators.metrics import evaluate
-from tideline.operators.serving import risk_tier
+from tideline.operators.serving import risk_tier, submission_checks
 from tideline.sources import runs
 
 
@@ -64,21 +64,17 @@ def score(df: DataFrame, e: Ensemble, key: str = "id") -> DataFrame:
     e.check()
     x = align(df, [*e.columns], (key,), strict=True)
     trees = {m: f for m, f in e.folds.items() if isinstance(f[0], boosting.Model)}
-    linear = {m: sum(f.probability() for f in folds) / len(folds) for m, folds in e.folds.items() if m not in trees}
     if trees:
-        names = list(dict.fromkeys(c for f in trees.values() for c in f[0].columns))
-        at = {c: f"__t{k}" for k, c in enumerate(names)}  # a feature may share its name with a model
-        x = x.select(key, *(F.col("`" + c.replace("`", "``") + "`").alias(k) for c, k in at.items()), *(p.alias(m) for m, p in linear.items()))
-        renamed = {m: [replace(t, columns=[at[c] for c in t.columns]) for t in f] for m, f in trees.items()}
-        x = boosting.fold_means(x, renamed, [key, *linear])
+        x = boosting.fold_means(x, trees, [key], {m: [(f.weights, f.intercept) for f in own] for m, own in e.folds.items() if m not in trees})
     else:
-        x = x.select(key, *(p.alias(m) for m, p in linear.items()))
+        x = x.select(key, *((sum(f.probability() for f in folds) / len(folds)).alias(m) for m, folds in e.folds.items()))
     x = x.select(key, *(learning.apply_platt(m, *e.calibrators[m]).alias(m) for m in e.folds))
     return x.withColumn("p", learning.blend(e.weights, [*e.folds])).withColumn("tier", risk_tier("p"))
 
 
-def publish(spark: SparkSession, root: str, stage: str, name: str, run: str, e: Ensemble) -> str:
-    """An ensemble as a run: a row for each fold model, calibrators and weights; it must be whole."""
+def publish(spark: SparkSession, root: str, stage: str, name: str, run: str, e: Ensemble, texts: Mapping[str, str] | None = None) -> str:
+    """An ensemble as a run: a row for each fold model, calibrators and weights; it must be whole. ``texts`` go with it, such
+    as the specifications that its columns are made by."""
     e.check()
     folds = [(m, k, "trees" if isinstance(f, boosting.Model) else "linear", f.dumps() if isinstance(f, boosting.Model) else json.dumps(asdict(f))) for m, own in e.folds.items() for k, f in enumerate(own)]
     tables = {
@@ -86,11 +82,17 @@ def publish(spark: SparkSession, root: str, stage: str, name: str, run: str, e:
         "calibrators": spark.createDataFrame([(m, *map(float, c)) for m, c in e.calibrators.items()], "model string, slope double, intercept double"),
         "weights": spark.createDataFrame([(m, float(w)) for m, w in e.weights.items()], "model string, weight double"),
     }
+    tables["texts"] = spark.createDataFrame([*(texts or {}).items()], "name string, body string")
     return runs.publish(spark, root, stage, name, run, tables, {"columns": [*e.columns], "n_folds": e.n_folds, "models": [*e.folds]})
 
 
 def load(spark: SparkSession, root: str, name: str, stages: tuple[str, ...]) -> Ensemble:
-    """The last published ensemble of a name; tables that aren't those of its manifest, or folds that lack, are an error."""
+    return load_with(spark, root, name, stages)[0]
+
+
+def load_with(spark: SparkSession, root: str, name: str, stages: tuple[str, ...]) -> tuple[Ensemble, dict[str, str]]:
+    """The last published ensemble of a name and its texts; tables that aren't those of its manifest, or folds that lack,
+    are an error."""
     found = runs.latest(spark, root, stages).get(name)
     if found is None:
         raise FileNotFoundError(f"{root} has no published run of {name} in {stages}")
@@ -100,7 +102,16 @@ def load(spark: SparkSession, root: str, name: str, stages: tuple[str, ...]) ->
     folds = {m: [body[r.kind](r.body) for r in rows if r.model == m] for m in found["facts"]["models"]}
     e = Ensemble(found["facts"]["columns"], folds, {r.model: (r.slope, r.intercept) for r in table("calibrators")}, {r.model: r.weight for r in table("weights")}, found["facts"]["n_folds"])
     e.check()
-    return e
+    return e, {r.name: r.body for r in table("texts")}
+
+
+def checked_submission(scored: DataFrame, expected: int, key: str = "id") -> DataFrame:
+    """``submission``, once it has passed all checks of a scored file; what fails is named in the error."""
+    out = submission(scored, key)
+    row = submission_checks(out, expected).first()
+    if wrong := [c for c, ok in row.asDict().items() if not ok]:
+        raise ValueError(f"the scored file fails {wrong}")
+    return out
 
 
 def submission(scored: DataFrame, key: str = "id") -> DataFrame:

@@ -21,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder until the application ends: for frames that are returned to a caller."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kept/{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def settled(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` (of one column at least) as a table in the shared folder, for the length of a ``with``.

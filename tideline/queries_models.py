@@ -11,16 +11,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import attributions, importance, isotonic, learning, models, scoring
+from tideline.operators import attributions, contract, features, importance, isotonic, learning, models, scoring
 from tideline.operators.models import Experiment
-from tideline.plans.panel import customers
-from tideline.plans.settled import shared_dir
+from tideline.plans.panel import customers, table
+from tideline.plans.settled import kept, shared_dir
 from tideline.queries import _SCORED, _training, query, scored
+from tideline.queries_more import _frame as frame_parts
 
 #: What every kind of tree is trained with here.
-_LEAF = Experiment("leafwise", "trees_leafwise", {"trees": 12, "rate": 0.3, "leaves": 15, "min_rows": 10}, balanced=True, patience=4)
-_DEPTH = Experiment("depthwise", "trees_depthwise", {"trees": 12, "rate": 0.3, "depth": 4}, balanced=True, patience=4)
-_EVEN = Experiment("symmetric", "trees_symmetric", {"trees": 12, "rate": 0.3, "depth": 4}, balanced=True, patience=4, categories=("segment", "earning_pattern"))
+_LEAF = Experiment("leafwise", "trees_leafwise", {"trees": 8, "rate": 0.3, "leaves": 15, "min_rows": 10}, balanced=True, patience=3)
+_DEPTH = Experiment("depthwise", "trees_depthwise", {"trees": 8, "rate": 0.3, "depth": 4}, balanced=True, patience=3)
+_EVEN = Experiment("symmetric", "trees_symmetric", {"trees": 8, "rate": 0.3, "depth": 4}, balanced=True, patience=3, categories=("segment", "earning_pattern"))
 _LINE = Experiment("logistic", "logistic", {"maxIter": 200}, scaled=True, balanced=True)
 KINDS = (_LEAF, _DEPTH, _EVEN)
 
@@ -28,7 +29,7 @@ KINDS = (_LEAF, _DEPTH, _EVEN)
 def training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """``id, y``, the cleaned cash flow and balance features and two categories of every customer, and the features' names."""
     data, columns = _training(spark, sf_dir)
-    return data.join(customers(spark, sf_dir).select("id", "segment", "earning_pattern"), "id"), columns
+    return kept(data.join(customers(spark, sf_dir).select("id", "segment", "earning_pattern"), "id")), columns
 
 
 _PAVA = f"""with {_SCORED}, d as (select floor(p * 256) / 256 as p, count(*) as n, sum(y) as s from e group by 1),
@@ -119,3 +120,46 @@ def scoring_trees(spark, sf_dir):
     root = f"{shared_dir(spark)}/published/{uuid.uuid4().hex}"
     scoring.publish(spark, root, "baseline", "ensemble", "run_1", found)
     return scoring.score(data, scoring.load(spark, root, "ensemble", ("stage_2", "baseline")))
+
+
+# ---------------------------------------------------------------- the scoring path over the whole frame
+
+_WHOLE = (
+    Experiment("leafwise", "trees_leafwise", {"trees": 6, "rate": 0.3, "leaves": 15, "min_rows": 10}, balanced=True),
+    Experiment("depthwise", "trees_depthwise", {"trees": 6, "rate": 0.3, "depth": 4}, balanced=True),
+    Experiment("symmetric", "trees_symmetric", {"trees": 6, "rate": 0.3, "depth": 4}, balanced=True),
+    Experiment("logistic", "logistic", {"maxIter": 30}, scaled=True, balanced=True),
+    Experiment("ridge", "logistic", {"maxIter": 30, "elasticNetParam": 0.0, "regParam": 0.1}, scaled=True),
+)
+
+
+def train_frame(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Fits the whole feature frame and its contract, trains five kinds of models by five folds, calibrates and publishes."""
+    parts = frame_parts(spark, sf_dir)
+    spec = features.fit_features(*parts)
+    frame = kept(_numbers(features.build_features(*parts, spec)))
+    pre = contract.Preprocessing.fit(frame, [c for c in frame.columns if c != "id"], scaled=True)
+    y = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "cast(c_acctbal < 1000 as int) as y")
+    data = kept(pre.transform(frame).join(y, "id"))
+    folds, calibrators = {}, {}
+    for e in _WHOLE:
+        found = models.cross_validate(data, pre.columns, e)
+        folds[e.name] = found.models if e.kind in models.TREES else [scoring.Linear.of(m, pre.columns) for m in found.models]
+        calibrators[e.name] = learning.fit_platt(found.oof)
+        found.release()
+    whole = scoring.Ensemble(pre.columns, folds, calibrators, {"leafwise": 0.3, "depthwise": 0.25, "symmetric": 0.25, "logistic": 0.1, "ridge": 0.1})
+    scoring.publish(spark, root, "baseline", "frame", "run_1", whole, {"frame": spec.dumps(), "contract": pre.dumps()})
+
+
+def _numbers(frame: DataFrame) -> DataFrame:
+    return frame.select(F.col("ID").cast("long").alias("id"), *(c for c, kind in frame.dtypes if c != "ID" and kind != "string"))
+
+
+def score_frame(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """Every customer's scores by what is published at ``root``: frame, contract, 25 fold models, calibration, blend, checks."""
+    whole, texts = scoring.load_with(spark, root, "frame", ("stage_2", "baseline"))
+    spec, pre = features.FrameSpec.loads(texts["frame"]), contract.Preprocessing.loads(texts["contract"])
+    frame = kept(_numbers(features.build_features(*frame_parts(spark, sf_dir), spec)))  # planned once, read by one pass of all models
+    scored = kept(scoring.score(pre.transform(frame), whole))
+    scoring.checked_submission(scored, frame.count())
+    return scored
