@@ -116,3 +116,25 @@ def test_packing_documents(spark, tok):
 
 def test_odd_white_space():
     assert chunks("a\x1cb c\n") == ["a\x1cb", "c"]
+
+
+def test_frequent_words_stay_cached():
+    """What is asked for again and again is made once, and the cache stays within its limit."""
+    from tideline.llm import words
+
+    made = []
+
+    class Counted(words._Bounded):
+        limit = 8
+
+        def make(self, x):
+            made.append(x)
+            return x.encode()
+
+    cache = Counted("path")
+    for k in range(200):
+        assert cache["hot"] == b"hot"
+        assert cache[f"rare{k}"] == f"rare{k}".encode()
+        assert len(cache) + len(cache.old) <= 8
+    assert made.count("hot") == 1
+    assert len(made) == 201
