@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import unicodedata
 
-import numpy as np
-
 from tideline.llm.common import _SPACES
 
 _ODD = re.compile("[\\x1c-\\x1f]")
@@ -54,6 +53,10 @@ def tokenizer(path: str):
     return tok
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Bounded(dict):
     """A cache that a Python worker keeps between tasks; ``limit`` bounds its entries and so its memory.
 
@@ -61,7 +64,7 @@ class _Bounded(dict):
     again moves back. So frequent words stay, and only rare ones are encoded anew.
     """
 
-    limit = 400_000
+    limit = 600_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -83,7 +86,7 @@ class _Parts(_Bounded):
 
     def make(self, part: str) -> bytes:
         spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in tokenizer(self.path).model.tokenize(spelt)], "<u4").tobytes()
+        return _packed([t.id for t in tokenizer(self.path).model.tokenize(spelt)])
 
 
 class Ids(_Bounded):
@@ -94,9 +97,11 @@ class Ids(_Bounded):
         self.parts = _Parts(path)
 
     def make(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():  # its own only part
+            return self.parts.make(chunk.lower())
         if _LATIN(chunk) and "<|" not in chunk:
             return b"".join(map(self.parts.__getitem__, _PARTS(chunk.lower())))
-        return np.array(tokenizer(self.path).encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(tokenizer(self.path).encode(chunk, add_special_tokens=False).ids)
 
     def text(self, text: str) -> bytes:
         """The id bytes of a whole text."""
