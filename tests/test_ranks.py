@@ -114,3 +114,28 @@ def test_codes_of_alike_values(spark, n):
     df = spark.createDataFrame([(v,) for v in [*values, *values[:5], *([None] if n else [])]], "v string")
     got = {r.value: r.code for r in encoding.code_table(df, "v").collect()}
     assert got == {v: i for i, v in enumerate(sorted({*values, *(["nan"] if n else [])}))}
+
+
+def test_percentiles_of_columns_by_brackets(spark, monkeypatch):
+    """Values far beyond a sketch's state and ties: the same as by ranking every value, also where brackets miss."""
+    rng = np.random.default_rng(7)
+    x = {"a": rng.normal(size=30_000), "b": np.round(rng.exponential(size=30_000), 1), "c": np.concatenate([rng.random(29_000), np.full(1000, np.nan)])}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*x.values(), strict=True)], "a double, b double, c double").withColumn("d", F.lit(None).cast("double")).persist()
+    shares = (0.0, 0.001, 0.5, 0.99, 1.0)
+    want = {k: np.quantile(v[~np.isnan(v)], shares) for k, v in x.items()}
+    found = ranks.brackets(df, [*x, "d"], shares)
+    assert found.keys() == x.keys() and all(math.isfinite(e) for _, own in found.values() for side in own for e in side)
+    near = sum((v >= found["a"][1][2][0]) & (v <= found["a"][1][2][1]) for v in x["a"])
+    assert 0 < near < 0.02 * len(x["a"])  # a bracket holds few of the values
+    for given in (found, found | {"a": (30_000, [(5.0, 6.0)] * len(shares)), "b": (30_000, [(0.0, 0.0)] * len(shares))}):
+        got = {r.feature: list(r.q) for r in ranks.column_percentiles(df, [*x, "d"], shares, given).collect()}
+        assert got.keys() == want.keys()
+        for k, q in want.items():
+            assert got[k] == pytest.approx(q.tolist(), rel=1e-12, abs=1e-12), k
+
+
+def test_values_meet_splitters_without_a_shuffle_by_group(spark):
+    """The join with a group's splitters doesn't send all values of the group to one task."""
+    values = spark.range(1000).selectExpr("'x' as feature", "cast(id as double) as value")
+    plan = ranks.ranged(values, ["feature"], "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan

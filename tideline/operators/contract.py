@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.ranks import as_rows, exact_percentiles
+from tideline.operators.ranks import as_rows, column_percentiles
 from tideline.plans.settled import settled
 
 #: Features that are winsorised besides the clip of all ratios, and the cardinality up to which nothing is clipped.
@@ -47,7 +47,7 @@ def _percentiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], a
     if approximate:
         row = df.agg(*(F.percentile_approx(c, F.array(*map(F.lit, shares)), 100_000).alias(c) for c in columns)).first()
         return {c: list(row[c] or []) for c in columns}
-    found = {r.feature: list(r.q) for r in exact_percentiles(as_rows(df, columns), shares).collect()}  # a row for each column
+    found = {r.feature: list(r.q) for r in column_percentiles(df, columns, shares).collect()}  # a row for each column
     return {c: found.get(c, []) for c in columns}
 
 

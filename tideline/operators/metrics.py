@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.operators.ranks import as_rows, before, exact_percentiles, present, ranged
+from tideline.operators.ranks import as_rows, before, column_percentiles, exact_percentiles, present, ranged
 
 #: The clip of probabilities in the log loss and the weights of the composite score.
 TINY, LOSS, RANK = 1e-15, 0.6, 0.4
@@ -39,11 +39,11 @@ def auc(scored: DataFrame, *by: str) -> DataFrame:
     Rows are summed up by score, then by range of scores; a running count is kept inside a range alone.
     """
     n1, n0 = F.sum("y").cast("double"), F.sum(1 - F.col("y")).cast("double")
-    scores = ranged(known(scored).groupBy(*by, "p").agg(n1.alias("n1"), n0.alias("n0")), [*by], "p")
+    scores = ranged(known(scored).groupBy(*by, "p").agg(n1.alias("n1"), n0.alias("n0")), [*by], "p", known(scored))
     below = before(scores.groupBy(*by, "range").agg(F.sum("n0").alias("n0")), [*by], ["n0"])
     inside = Window.partitionBy(*by, "range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("n0").over(inside), F.lit(0.0)) + F.col("n0") / 2
-    pairs = scores.withColumn("ahead", ahead).join(below, [*by, "range"]).select(*by, "n1", "n0", (F.col("n1") * (F.col("before_n0") + F.col("ahead"))).alias("won"))
+    pairs = scores.withColumn("ahead", ahead).join(F.broadcast(below), [*by, "range"]).select(*by, "n1", "n0", (F.col("n1") * (F.col("before_n0") + F.col("ahead"))).alias("won"))
     return pairs.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("n1") * F.sum("n0")).alias("auc"))
 
 
@@ -83,7 +83,7 @@ def confusion(scored: DataFrame, steps: int = 50, digits: int = 6) -> DataFrame:
 
 def quantile_bins(scored: DataFrame, n: int = 5, digits: int = 6) -> DataFrame:
     """Bins between exact quantiles, closed on the right, the least value in the first: size and observed rate."""
-    found = exact_percentiles(as_rows(scored, ["p"]), tuple(k / n for k in range(1, n))).first()
+    found = column_percentiles(scored, ["p"], tuple(k / n for k in range(1, n))).first()
     edges = found.q if found else []
     b = sum((F.when(F.col("p") > F.lit(float(e)), 1).otherwise(0) for e in edges), F.lit(0))
     return scored.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("y"), digits).alias("rate"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.ranks import as_rows as long
-from tideline.operators.ranks import exact_percentiles
+from tideline.operators.ranks import column_percentiles
 
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def describe(df: DataFrame, columns: list[str], digits: int = 4, shares: tuple[f
     rows = long(df, columns)
     out = rows.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     names = [f"p{100 * s:g}".replace(".", "_") for s in shares]
-    out = out.join(exact_percentiles(rows, shares), "feature", "left")
+    out = out.join(F.broadcast(column_percentiles(df, columns, shares)), "feature", "left")
     return out.select("feature", "n", *(F.round(c, digits).alias(c) for c in ("mean", "std", "min", "max")), *(F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(names)))
 
 
@@ -48,10 +48,10 @@ def summary(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of values beyond 1.5 interquartile ranges from the quartiles: bounds first, then one pass."""
     x = long(df, columns).where("value is not null")
-    q = exact_percentiles(x, (0.25, 0.75)).select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = column_percentiles(df, columns, (0.25, 0.75)).select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     outside = (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)
-    return x.join(q, "feature").groupBy("feature").agg(F.round(F.avg(outside.cast("int")), 6).alias("outlier_rate"))
+    return x.join(F.broadcast(q), "feature").groupBy("feature").agg(F.round(F.avg(outside.cast("int")), 6).alias("outlier_rate"))
 
 
 def value_shares(df: DataFrame, c: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.series import SPARK, shown
-from tideline.operators.ranks import as_rows, exact_percentiles
+from tideline.operators.ranks import column_percentiles
 from tideline.plans.schema import GROUPS, INFLOW, OUTFLOW
 
 #: Bounds of the tiers, the slack of amounts, and the parameters of the balance-lag flag and of directions.
@@ -77,7 +77,7 @@ def score_report(scored: DataFrame, digits: int = 6) -> DataFrame:
     """Provenance figures of a scored file."""
     q = (0.1, 0.25, 0.5, 0.75, 0.9)
     out = scored.agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("min"), F.max("p").alias("max"), F.avg((F.col("p") > 0.3).cast("int")).alias("over_30"), F.avg((F.col("p") > 0.5).cast("int")).alias("over_50"))
-    out = out.join(exact_percentiles(as_rows(scored, ["p"]), q).select("q"), F.lit(True), "left")  # one row each, or none where no score is a number
+    out = out.join(column_percentiles(scored, ["p"], q).select("q"), F.lit(True), "left")  # one row each, or none where no score is a number
     return out.select("n", *(F.round(c, digits).alias(c) for c in ("mean", "std", "min", "max")), *(F.round(F.col("q")[i], digits).alias(f"p{int(100 * s)}") for i, s in enumerate(q)), F.round("over_30", digits).alias("over_30"), F.round("over_50", digits).alias("over_50"))
 
 
