@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.operators import logistic
 from tideline.operators.metrics import auc, composite, log_loss
+from tideline.operators.ranks import present
 
 #: The clip of final scores and the limits of drift checks.
 FINAL, WARN, FAIL, BASE_RATE = 1e-6, 0.05, 0.10, (0.13, 0.17)
@@ -28,7 +30,7 @@ def folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id", y: str = "
     before = Window.partitionBy(y).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 rows a class
     offsets = counts.select(y, "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     rank = F.row_number().over(Window.partitionBy(y, "__r").orderBy("__h", key))
-    return x.join(offsets, [y, "__r"]).withColumn("fold", F.pmod(F.col("__before") + rank - 1, F.lit(k)).cast("int")).drop("__h", "__r", "__before")
+    return x.join(F.broadcast(offsets), [y, "__r"]).withColumn("fold", F.pmod(F.col("__before") + rank - 1, F.lit(k)).cast("int")).drop("__h", "__r", "__before")
 
 
 def sigmoid(z: Column) -> Column:
@@ -43,29 +45,34 @@ def apply_platt(p: str, slope: float | None, intercept: float | None) -> Column:
 
 
 def fit_platt(scored: DataFrame, c: float = 1e10) -> tuple[float, float]:
-    """Slope and intercept by Newton's method: each step is one aggregation to five sums."""
-    slope, intercept = 0.0, 0.0
-    for _ in range(60):
-        q = sigmoid(F.col("p") * slope + intercept)
-        e, w = q - F.col("y"), q * (1 - q)
-        s = scored.agg(F.sum(e).alias("b"), F.sum(e * F.col("p")).alias("a"), F.sum(w).alias("bb"), F.sum(w * F.col("p")).alias("ab"), F.sum(w * F.col("p") * F.col("p")).alias("aa")).first()
-        if s.b is None:
-            raise ValueError("no rows to calibrate on")
-        h = np.array([[s.aa + 1 / c, s.ab], [s.ab, s.bb]]) + 1e-12 * np.eye(2)
-        step = np.linalg.solve(h, [s.a + slope / c, s.b])
-        slope, intercept = slope - step[0], intercept - step[1]
-        if np.abs(step).max() < 1e-10:
-            break
-    return float(slope), float(intercept)
+    """Slope and intercept by Newton's method: each step is one pass to six sums."""
+    return _platts(scored, [None], c)[0]
+
+
+def _platts(scored: DataFrame, left_out: Sequence[int | None], c: float) -> list[tuple[float, float]]:
+    """Slope and intercept without each of the folds, all of them in the same passes."""
+    rows = scored.where(present("p"))
+    found = logistic.fit(rows, ["p"], [logistic.Model(k, l2=1 / c, in_sum=True) for k in left_out], passes=60)
+    return [(m.coefficients[0], m.intercept) for m in found]
+
+
+def _folds_of(scored: DataFrame) -> list[int]:
+    return [r.fold for r in scored.select("fold").distinct().orderBy("fold").collect()]
+
+
+def _by_fold(of: Mapping[int, Column]) -> Column:
+    """A row's value by its fold."""
+    out = F.lit(None).cast("double")
+    for k, value in of.items():
+        out = F.when(F.col("fold") == k, value).otherwise(out)
+    return out
 
 
 def cross_platt(scored: DataFrame, c: float = 1e10) -> tuple[DataFrame, tuple[float, float]]:
     """``scored`` (with a column fold) with ``calibrated`` by a fit on the other folds, and a fit on all rows."""
-    found = [r.fold for r in scored.select("fold").distinct().orderBy("fold").collect()]
-    out = F.lit(None).cast("double")
-    for k in found:
-        out = F.when(F.col("fold") == k, apply_platt("p", *fit_platt(scored.where(F.col("fold") != k), c))).otherwise(out)
-    return scored.withColumn("calibrated", out), fit_platt(scored, c)
+    found = _folds_of(scored)
+    *by, whole = _platts(scored, [*found, None], c)
+    return scored.withColumn("calibrated", _by_fold({k: apply_platt("p", *of) for k, of in zip(found, by, strict=True)})), whole
 
 
 def temperature_grid(scored: DataFrame, low: float = 0.5, high: float = 3.0, n: int = 50, digits: int = 6) -> DataFrame:
@@ -150,29 +157,35 @@ class MetaModel:
 
 def fit_meta(scored: DataFrame, models: Sequence[str], c: float = 0.05, extra: Sequence[str] = ()) -> MetaModel:
     """The meta model of all rows of ``scored``; ``extra`` columns may stand beside the models."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    return _metas(scored, models, [(None, c)], extra)[0]
+
 
+def _metas(scored: DataFrame, models: Sequence[str], wanted: Sequence[tuple[int | None, float]], extra: Sequence[str]) -> list[MetaModel]:
+    """The meta models without a fold and of a strength, for each of ``wanted``: all of them in the same passes."""
     names = [*models, *extra]
-    x = VectorAssembler(inputCols=[*names, "spread"], outputCol="features").transform(scored.withColumn("spread", spread(names))).select("y", "features")
-    n = x.count()
-    fitted = LogisticRegression(labelCol="y", regParam=1 / (c * max(n, 1)), standardization=False, maxIter=1000, tol=1e-8).fit(x)
-    return MetaModel(tuple(names), tuple(fitted.coefficients.toArray().tolist()), float(fitted.intercept))
+    rows = scored.select("y", *(["fold"] if any(k is not None for k, _ in wanted) else []), *names, spread(names).alias("__spread"))
+    found = logistic.fit(rows, [*names, "__spread"], [logistic.Model(k, l2=1 / c, in_sum=True) for k, c in wanted], passes=1000)
+    return [MetaModel(tuple(names), tuple(m.coefficients), m.intercept) for m in found]
+
+
+def stacked_columns(scored: DataFrame, models: Sequence[str], settings: Sequence[float], extra: Sequence[str] = ()) -> list[Column]:
+    """For each strength, a row's score by the meta model of the other folds."""
+    found = _folds_of(scored)
+    fitted = iter(_metas(scored, models, [(k, c) for c in settings for k in found], extra))
+    return [_by_fold({k: next(fitted).score() for k in found}) for _ in settings]
 
 
 def stack(scored: DataFrame, models: Sequence[str], c: float = 0.05, extra: Sequence[str] = ()) -> DataFrame:
     """``scored`` (with a fold) and ``stacked``: each row's score by the meta model of the other folds."""
-    found = [r.fold for r in scored.select("fold").distinct().orderBy("fold").collect()]
-    out = F.lit(None).cast("double")
-    for k in found:
-        out = F.when(F.col("fold") == k, fit_meta(scored.where(F.col("fold") != k), models, c, extra).score()).otherwise(out)
-    return scored.withColumn("stacked", out)
+    return scored.withColumn("stacked", stacked_columns(scored, models, [c], extra)[0])
 
 
 def calibrated_stack(scored: DataFrame, models: Sequence[str], c: float = 0.05) -> DataFrame:
     """``stack`` and then a calibration of its scores by the other folds: ``stacked``, ``calibrated``."""
     stacked = stack(scored, models, c)
-    return stacked.join(cross_platt(stacked.select("id", "y", "fold", F.col("stacked").alias("p")))[0].select("id", "calibrated"), "id")
+    found = _folds_of(scored)
+    by = _platts(stacked.select("y", "fold", F.col("stacked").alias("p")), found, 1e10)
+    return stacked.withColumn("calibrated", _by_fold({k: apply_platt("stacked", *of) for k, of in zip(found, by, strict=True)}))
 
 
 def prediction_drift(scored: DataFrame, reference: DataFrame, digits: int = 6) -> DataFrame:

@@ -16,14 +16,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import boosting, search, target_codes
+from tideline.operators import boosting, logistic, search, target_codes
 from tideline.operators.boosting import Boosting
 from tideline.operators.learning import cross_platt, folds
 from tideline.operators.metrics import evaluate
 from tideline.operators.profiling import correlations
 from tideline.operators.search import Dim
+from tideline.plans.settled import kept
 from tideline.sources.runs import exists
 
+
 @dataclass
 class Experiment:
     """One model's settings. ``categories`` are columns that symmetric trees see as ordered target statistics."""
@@ -146,7 +148,7 @@ def cross_validate(data: DataFrame, columns: list[str], e: Experiment, stop: Cal
     if e.balanced:
         n = {r.y: r.n for r in data.groupBy("y").agg(F.count("*").alias("n")).collect()}
         weight = n.get(0, 1) / max(n.get(1, 1), 1)
-    dealt = folds(data, e.n_folds, e.seed)
+    dealt = kept(folds(data, e.n_folds, e.seed))  # read by every pass, so dealt once
     names = [*columns, *e.categories]
     parts, models, importance, steps, pruned, cached = [], [], [], [], False, None
     if e.kind in TREES:
@@ -160,8 +162,10 @@ def cross_validate(data: DataFrame, columns: list[str], e: Experiment, stop: Cal
     else:
         cached = _vectors(dealt, columns, weight).select("id", "y", "w", "fold", "features").persist()
 
+        together = _lines(dealt, columns, e, weight)
+
         def scored(k: int) -> DataFrame:
-            models.append(LEARNERS[e.kind](len(columns), e.seed, **e.params).fit(cached.where(F.col("fold") != k)))
+            models.append(together[k] if together else LEARNERS[e.kind](len(columns), e.seed, **e.params).fit(cached.where(F.col("fold") != k)))
             return probability(models[k], cached.where(F.col("fold") == k)).select("id", "fold", "y", "p")
 
     for k in range(e.n_folds):
@@ -177,6 +181,23 @@ def cross_validate(data: DataFrame, columns: list[str], e: Experiment, stop: Cal
     return Result(oof, models, evaluate(oof, "fold"), importance, steps, pruned, cached)
 
 
+def _lines(dealt: DataFrame, columns: list[str], e: Experiment, weight: float) -> list | None:
+    """The folds' logistic models, trained in the same passes, as models of ``pyspark.ml``: the minimum of the same loss as
+    its own learner's; None for wide frames, whose curvature is too large, and settings beyond the penalty."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.common import _py2java
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.wrapper import JavaWrapper
+
+    s = {"elasticNetParam": 0.5, "regParam": 0.01, "maxIter": 100} | e.params
+    if e.kind != "logistic" or len(columns) > logistic.WIDE or s.keys() - {"elasticNetParam", "regParam", "maxIter"}:
+        return None
+    l1, l2 = s["regParam"] * s["elasticNetParam"], s["regParam"] * (1 - s["elasticNetParam"])
+    found = logistic.fit(dealt, columns, [logistic.Model(k, l1, l2) for k in range(e.n_folds)], weight, s["maxIter"])
+    sc = dealt.sparkSession.sparkContext
+    return [LogisticRegressionModel(JavaWrapper._new_java_obj("org.apache.spark.ml.classification.LogisticRegressionModel", f"logistic_{k}", _py2java(sc, Vectors.dense(m.coefficients)), m.intercept)) for k, m in enumerate(found)]
+
+
 def save_models(models: list, path: str, spark: SparkSession | None = None) -> None:
     """A folder for each fold's model."""
     for k, m in enumerate(models):

@@ -155,8 +155,6 @@ def augmented(scored: DataFrame, models: Sequence[str], extra: Sequence[str], c:
 
 def stacking_by_c(scored: DataFrame, models: Sequence[str], settings: Sequence[float] = (0.10, 0.05, 0.01)) -> DataFrame:
     """Metrics of out-of-fold stacking at several strengths of regularisation."""
-    rows = None
-    for c in settings:
-        one = learning.stack(scored, models, c).select("y", F.col("stacked").alias("p"), F.lit(c).alias("c"))
-        rows = one if rows is None else rows.unionByName(one)
-    return evaluate(rows, "c")
+    columns = learning.stacked_columns(scored, models, settings)
+    rows = F.array(*(F.struct(F.lit(c).alias("c"), p.alias("p")) for c, p in zip(settings, columns, strict=True)))
+    return evaluate(scored.select("y", F.inline(rows)), "c")

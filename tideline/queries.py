@@ -13,6 +13,7 @@ from tideline.operators import series as series_ops
 from tideline.plans import panel
 from tideline.plans.panel import customers, series, table, wide_panel
 from tideline.plans.schema import ENTITIES, GROUPS, INFLOW, MONTHS
+from tideline.plans.settled import kept
 from tideline.sources import tables
 from tideline.streaming.panel import cells
 
@@ -388,14 +389,19 @@ def trial_ranking(spark, sf_dir):
 # ---------------------------------------------------------------- learning (rows only)
 
 
+def dealt(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The scored rows' id, y, ``columns`` and fold as a table: folds are dealt once, not by every pass."""
+    return kept(learning.folds(scored(spark, sf_dir).select("id", "y", *columns)))
+
+
 @query()
 def platt_cross_validated(spark, sf_dir):
-    return learning.cross_platt(learning.folds(scored(spark, sf_dir)))[0].select("id", "fold", "y", F.round("calibrated", 6).alias("calibrated"))
+    return learning.cross_platt(dealt(spark, sf_dir, "p"))[0].select("id", "fold", "y", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query()
 def stacked_scores(spark, sf_dir):
-    return learning.stack(learning.folds(scored(spark, sf_dir)), ["a", "b", "c"]).select("id", "fold", "y", F.round("stacked", 6).alias("stacked"))
+    return learning.stack(dealt(spark, sf_dir, "a", "b", "c"), ["a", "b", "c"]).select("id", "fold", "y", F.round("stacked", 6).alias("stacked"))
 
 
 @query()
@@ -405,7 +411,8 @@ def optimised_weights(spark, sf_dir):
 
 
 def _training(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    f = domain.block(customers(spark, sf_dir), "cashflow").join(domain.block(customers(spark, sf_dir), "balance"), "id")
+    staged, made = domain.stage(customers(spark, sf_dir)), {c: f for b in ("cashflow", "balance") for c, f in domain.BLOCKS[b](domain.SPARK).items()}
+    f = kept(staged.selectExpr("id", *(f"{f} as {c}" for c, f in made.items())))
     columns = [c for c in f.columns if c != "id"]
     spec = contract.Preprocessing.fit(f, columns, scaled=True)
     y = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "cast(c_acctbal < 1000 as int) as y")
@@ -415,7 +422,7 @@ def _training(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 @query()
 def cross_validated_model(spark, sf_dir):
     data, columns = _training(spark, sf_dir)
-    return models.cross_validate(data, columns, models.Experiment("plain", "logistic", {"maxIter": 2000}, scaled=True, balanced=True)).by_fold
+    return models.cross_validate(kept(data), columns, models.Experiment("plain", "logistic", {"maxIter": 2000}, scaled=True, balanced=True)).by_fold
 
 
 @query()

@@ -11,7 +11,7 @@ from tideline.operators.series import raw_names
 from tideline.plans.panel import customers, series, table, wide_panel
 from tideline.plans.panel import zero_rates as zero_rate_rows
 from tideline.plans.schema import ENTITIES, GROUPS
-from tideline.queries import _AUC, _FOLD, _LINES, _LL, _NAMES, _SCORED, _over, _rows_of, _wide, query, scored
+from tideline.queries import _AUC, _FOLD, _LINES, _LL, _NAMES, _SCORED, _over, _rows_of, _wide, dealt, query, scored
 from tideline.sources import tables
 
 _ABC = ["a", "b", "c"]
@@ -168,12 +168,12 @@ def ensemble_ablation(spark, sf_dir):
 
 @query()
 def ensemble_strategies(spark, sf_dir):
-    return scoring.strategies(learning.folds(scored(spark, sf_dir)), _ABC)
+    return scoring.strategies(dealt(spark, sf_dir, *_ABC), _ABC)
 
 
 @query()
 def stacking_by_c(spark, sf_dir):
-    return scoring.stacking_by_c(learning.folds(scored(spark, sf_dir)), _ABC)
+    return scoring.stacking_by_c(dealt(spark, sf_dir, *_ABC), _ABC)
 
 
 _SCORE_COLUMNS = ("m1_deposit_total_value", "m1_withdraw_total_value", "m6_paybill_volume", "m3_mm_send_highest_amount")
