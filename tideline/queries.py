@@ -180,7 +180,7 @@ _BOUND = ", ".join(f"case when quantile_cont({c}, 0.99) > 0 then quantile_cont({
 
 @query(_over("select id, " + ", ".join(f"{shown(f'least({c}, coalesce(b_{c}, {c}))' if 'ratio' in c else c)} as {c}" for c in _RATIOS) + " from f, b", f"{_CASHFLOW}, b as (select {_BOUND} from f)"))
 def ratio_clip_p99(spark, sf_dir):
-    f = domain.block(customers(spark, sf_dir), "cashflow").select("id", *_RATIOS)
+    f = kept(domain.block(customers(spark, sf_dir), "cashflow").select("id", *_RATIOS))
     clipped = contract.upper(f, contract.fit_ratio_clip(f, [c for c in _RATIOS if contract.RATIO in c]))
     return clipped.selectExpr("id", *(f"{shown(c)} as {c}" for c in _RATIOS))
 
@@ -190,7 +190,7 @@ _WINSOR = ("withdraw_deposit_ratio", "spend_to_inflow")
 
 @query(_over("select id, " + ", ".join(f"{shown(f'least({c}, w_{c})' if c in _WINSOR else c)} as {c}" for c in _RATIOS) + " from g, v", f"{_CASHFLOW}, b as (select {_BOUND} from f), g as (select id, " + ", ".join(f"{f'least({c}, coalesce(b_{c}, {c}))' if 'ratio' in c else c} as {c}" for c in _RATIOS) + " from f, b), v as (select " + ", ".join(f"quantile_cont({c}, 0.99) as w_{c}" for c in _WINSOR) + " from g)"))
 def winsor_two_pass(spark, sf_dir):
-    f = domain.block(customers(spark, sf_dir), "cashflow").select("id", *_RATIOS)
+    f = kept(domain.block(customers(spark, sf_dir), "cashflow").select("id", *_RATIOS))
     spec = contract.FeatureSpec.fit(f, [*_RATIOS], _WINSOR)
     return spec.transform(f).selectExpr("id", *(f"{shown(c)} as {c}" for c in _RATIOS))
 
@@ -210,7 +210,7 @@ _CLIPPED = "k as (select id, " + ", ".join(f"case when b.n_{c} > 10 and b.lo_{c}
 
 @query(_over("select cast(id as varchar) as ID, " + ", ".join(f"round((k.{c} - m_{c}) / s_{c}, 4) as {c}" for c in _PRE) + " from k, (select " + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _PRE) + " from k)", f"{_WIDE}, {_CLIPPED}"))
 def standardise(spark, sf_dir):
-    wide = wide_panel(spark, sf_dir).select("ID", *_PRE)
+    wide = kept(wide_panel(spark, sf_dir).select("ID", *_PRE))
     spec = contract.Preprocessing.fit(wide, [*_PRE], scaled=True)
     return spec.transform(wide, ("ID",)).select("ID", *(F.round(c, 4).alias(c) for c in spec.columns))
 
