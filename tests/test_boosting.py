@@ -172,3 +172,13 @@ def test_bad_input(spark, data):
         boosting.fit(data, NAMES, Boosting(bins=600))
     only = boosting.fit(data.select("id", "y", F.lit(1.0).alias("same")), ["same"], Boosting(trees=2))[0]
     assert [len(t.value) for t in only.trees] == [1, 1]
+
+
+def test_out_of_fold_scores_need_no_join(spark):
+    """Fold and label travel with the row through the models: nothing is shuffled or sent to the driver for a join."""
+    rows = spark.range(200).selectExpr("id", "cast(id % 2 as int) as y", "cast(id % 5 as int) as fold", "cast(id % 7 + id % 2 as double) as a")
+    found = boosting.fit(rows, ["a"], boosting.Boosting(trees=1, min_rows=1), 5)
+    scored = boosting.out_of_fold(rows, found)
+    assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: (r.fold, r.y) for r in scored.collect()}
+    assert got == {k: (k % 5, k % 2) for k in range(200)}

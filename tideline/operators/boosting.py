@@ -557,12 +557,12 @@ def fit(data: DataFrame, columns: Sequence[str], s: Boosting, n_folds: int = 0,
 # ---------------------------------------------------------------- scores
 
 
-def _scored(models: list[Model]):
+def _scored(models: list[Model], kept: Sequence[str]):
     def run(batches):
         for batch in _slices(batches):
             x = binned(batch, models[0].edges)
             p = [1 / (1 + np.exp(-m.margins(x))) for m in models]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, p)], names=["id", *(f"p{k}" for k in range(len(models)))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, p)], names=[*kept, *(f"p{k}" for k in range(len(models)))])
 
     return run
 
@@ -607,17 +607,18 @@ def fold_means(df: DataFrame, models: Mapping[str, Sequence[Model]], keep: Seque
     return out.toDF(*keep, *models, *lines)
 
 
-def predict(df: DataFrame, models: list[Model]) -> DataFrame:
-    """``id, p0, p1, ...``: each model's probability; the models share columns and edges (those of one fit)."""
+def predict(df: DataFrame, models: list[Model], keep: Sequence[str] = ("id",)) -> DataFrame:
+    """The columns ``keep`` and ``p0, p1, ...``: each model's probability; the models share columns and edges (those of one fit)."""
     columns = models[0].columns
     if any(m.columns != columns or m.edges != models[0].edges for m in models):
         raise ValueError("the models don't share columns and edges")
-    kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", *numbered(columns)).mapInArrow(_scored(models), ", ".join([f"id {kind}", *(f"p{k} double" for k in range(len(models)))]))
+    x = df.select(*keep, *numbered(columns))
+    schema = T.StructType([*x.schema.fields[: len(keep)], *(T.StructField(f"p{k}", T.DoubleType()) for k in range(len(models)))])
+    return x.mapInArrow(_scored(models, keep), schema)
 
 
 def out_of_fold(data: DataFrame, models: list[Model]) -> DataFrame:
     """``id, fold, y, p``: each row's score by the model that held it out."""
-    scored = predict(data, models).join(data.select("id", "fold", "y"), "id")
+    scored = predict(data, models, ("id", "fold", "y"))
     p = F.element_at(F.array(*(f"p{k}" for k in range(len(models)))), F.col("fold").cast("int") + 1)
     return scored.select("id", "fold", "y", p.alias("p"))
