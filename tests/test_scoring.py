@@ -8,7 +8,7 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from tideline import queries
-from tideline.operators import contract, features, importance, learning, metrics, models, ranks, scoring
+from tideline.operators import blends, contract, features, importance, learning, metrics, models, ranks, scoring
 from tideline.plans import panel
 from tideline.plans.schema import ENTITIES, GROUPS, INFLOW, OUTFLOW
 from tideline.sources import tables
@@ -187,3 +187,22 @@ def test_small_steps(spark, tmp_path):
     assert codes == {"a": 0, "ab": 1, "b": 2, "nan": 3}
     row = tables.request_frame(spark, {"ID": "x", "age": "41", "gender": "nan", "arpu": "bad"}, wide()).first()
     assert (row.ID, row.age, row.gender, row.arpu) == ("x", 41.0, None, None)
+
+
+def test_blends_are_scored_exactly_and_by_one_plan(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.random() < 0.4), *(float(x) for x in np.round(rng.random(3), 2))) for _ in range(700)]  # many ties
+    df = spark.createDataFrame([*rows, (1, None, 0.5, 0.5), (None, 0.1, 0.2, 0.3), (0, float("nan"), 0.5, 0.5)], "y int, a double, b double, c double").repartition(3)
+    candidates = [(1.0, 0.0, 0.0), (0.2, 0.3, 0.5), (0.0, 0.0, 0.0)]
+    y, x = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
+    with blends.scores(df, ["a", "b", "c"]) as held:
+        for w, found in zip(candidates, held.composites(candidates), strict=True):
+            p = np.clip(x[:, 0] * w[0] + x[:, 1] * w[1] + x[:, 2] * w[2], 1e-15, 1 - 1e-15)
+            won = (p[y == 1][:, None] > p[y == 0]).mean() + (p[y == 1][:, None] == p[y == 0]).mean() / 2
+            loss = -np.where(y == 1, np.log(p), np.log1p(-p)).mean()
+            assert abs(found - (0.6 * loss + 0.4 * (1 - won))) < 1e-10
+        assert held.table.count() == len(rows)
+    alone = spark.createDataFrame([(1, 0.5, 0.5)], "y int, a double, b double")
+    assert learning.composites(alone, ["a", "b"], [(0.5, 0.5)]) == [None]
+    with pytest.raises(ValueError, match="both classes"):
+        learning.optimise_weights(alone, ["a", "b"])

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.operators import logistic
-from tideline.operators.metrics import auc, composite, log_loss
+from tideline.operators import blends, logistic
 from tideline.operators.ranks import present
 
 #: The clip of final scores and the limits of drift checks.
@@ -107,13 +106,10 @@ def candidate_weights(k: int, n: int, seed: int = 42) -> list[tuple[float, ...]]
     return [tuple([1 / k] * k), *(tuple(float(i == j) for i in range(k)) for j in range(k)), *map(tuple, rng.dirichlet(np.ones(k), n).tolist())]
 
 
-def composites(scored: DataFrame, models: Sequence[str], candidates: Sequence[Sequence[float]]) -> list[float]:
-    """The composite score of each candidate's weighted average, all in two aggregations over candidate rows."""
-    p = [F.least(F.greatest(sum((F.col(m) * float(a) for m, a in zip(models, w, strict=True)), F.lit(0.0)), F.lit(1e-15)), F.lit(1 - 1e-15)) for w in candidates]
-    rows = scored.select("y", F.posexplode(F.array(*p)).alias("k", "p"))
-    found = rows.groupBy("k").agg(log_loss().alias("l")).join(auc(rows, "k"), "k").select("k", composite(F.col("l"), F.col("auc")).alias("c")).collect()
-    by = {r.k: r.c for r in found}
-    return [by[k] for k in range(len(candidates))]
+def composites(scored: DataFrame, models: Sequence[str], candidates: Sequence[Sequence[float]]) -> list[float | None]:
+    """The composite score of each candidate's weighted average, over the rows that have a label and all scores."""
+    with blends.scores(scored, models) as rows:
+        return rows.composites(candidates)
 
 
 def optimise_weights(scored: DataFrame, models: Sequence[str], n: int = 24, tolerance: float = 1e-8, rounds: int = 60, seed: int = 42) -> dict[str, float]:
@@ -125,20 +121,23 @@ def optimise_weights(scored: DataFrame, models: Sequence[str], n: int = 24, tole
     """
     k = len(models)
     starts = candidate_weights(k, max(1, n - k - 1), seed)
-    losses = composites(scored, models, starts)
-    least = min(losses)
-    best, step = np.array(starts[losses.index(least)]), 0.25
-    for _ in range(rounds):
-        ends = [np.eye(k)[i] * sign for i in range(k) for sign in (1, -1)]
-        moved = [np.maximum(best + step * (e if e.sum() > 0 else -(np.eye(k)[e.argmin()] - best)), 0) for e in ends]
-        moved = [m / m.sum() for m in moved if m.sum() > 1e-10]
-        losses = composites(scored, models, moved)
-        if least - min(losses) > tolerance:
-            least, best = min(losses), moved[losses.index(min(losses))]
-        else:
-            step /= 2
-            if step < 1e-4:
-                break
+    with blends.scores(scored, models) as rows:
+        losses = rows.composites(starts)
+        if None in losses:
+            raise ValueError("weights need rows of both classes")
+        least = min(losses)
+        best, step = np.array(starts[losses.index(least)]), 0.25
+        for _ in range(rounds):
+            ends = [np.eye(k)[i] * sign for i in range(k) for sign in (1, -1)]
+            moved = [np.maximum(best + step * (e if e.sum() > 0 else -(np.eye(k)[e.argmin()] - best)), 0) for e in ends]
+            moved = [m / m.sum() for m in moved if m.sum() > 1e-10]
+            losses = rows.composites(moved)
+            if least - min(losses) > tolerance:
+                least, best = min(losses), moved[losses.index(min(losses))]
+            else:
+                step /= 2
+                if step < 1e-4:
+                    break
     return dict(zip(models, best.tolist(), strict=True))
 
 
