@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline import queries
 from tideline.operators import blends, contract, features, importance, learning, metrics, models, ranks, scoring
+from tideline.operators import series as series_ops
 from tideline.plans import panel
 from tideline.plans.schema import ENTITIES, GROUPS, INFLOW, OUTFLOW
 from tideline.sources import tables
@@ -206,3 +207,11 @@ def test_blends_are_scored_exactly_and_by_one_plan(spark):
     assert learning.composites(alone, ["a", "b"], [(0.5, 0.5)]) == [None]
     with pytest.raises(ValueError, match="both classes"):
         learning.optimise_weights(alone, ["a", "b"])
+
+
+def test_series_of_a_group_that_lacks_are_null(spark):
+    one = [1.0, 2.0, 0.0, 4.0, 5.0, 6.0]
+    df = spark.createDataFrame([(k, "deposit", one, one, one) for k in range(2000)], "id long, grp string, val array<double>, vol array<double>, hi array<double>").repartition(3)
+    rows = series_ops.features_wide(df).collect()
+    assert sorted(r.id for r in rows) == list(range(2000))
+    assert {(r.deposit_mean, r.deposit_zero_streak, r.withdraw_mean, r.withdraw_zero_streak, r.withdraw_mean_log) for r in rows} == {(3.0, 0.0, None, None, None)}

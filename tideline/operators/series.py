@@ -1,19 +1,23 @@
 """Features of each series of the panel, in long rows: one row a customer, group and measure.
 
 Long rows keep plans small: 21 series share one set of formulas. ``features_wide`` turns them into one row a customer
-under the full names, with one aggregation by customer.
+under the full names. A customer's series are held in one row that is unfolded, so its long rows are neighbours and are
+put together again in the task that made them: no feature is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tideline.functions.series import BLOCKS, LOG_BLOCK, SPARK
-from tideline.plans.schema import series_names
+from tideline.plans.schema import GROUPS, series_names
 
 #: Array of each measure in the panel's series.
 ARRAYS = {"total_value": "val", "volume": "vol", "highest_amount": "hi"}
@@ -59,9 +63,58 @@ def log_names() -> dict[str, tuple[str, str, str]]:
 
 
 def features_wide(series: DataFrame) -> DataFrame:
-    """One row a customer with all raw and log features of the 21 series."""
-    rows = series.selectExpr("id", "grp", "inline(array(" + ", ".join(f"named_struct('array', '{a}', 'd', {a}, 'l', {SPARK.logged(a)})" for a in ARRAYS.values()) + "))")
-    raw = {c: f(SPARK, "d") for b in BLOCKS.values() for c, f in b.items()}
-    made = rows.selectExpr("id", "grp", "array", *(f"cast({f} as double) as {c}" for c, f in raw.items()), *(f"{f(SPARK, 'l')} as {c}_log" for c, f in LOG_BLOCK.items()))
-    names = {n: (a, g, c) for n, (a, g, c) in raw_names().items() if c != "recency_ratio_log"} | {n: (a, g, f"{c}_log") for n, (a, g, c) in log_names().items()}
-    return made.groupBy("id").agg(*(F.expr(f"max(case when array = '{a}' and grp = '{g}' then {c} end) as {n}") for n, (a, g, c) in names.items()))
+    """One row a customer with all raw and log features of the 21 series; those of a group that it lacks are null."""
+    return features_of(by_id(series))
+
+
+def by_id(series: DataFrame) -> DataFrame:
+    """``id`` and a struct of arrays for each group, null where the customer has no such row."""
+    return series.groupBy("id").agg(*(F.first(F.when(F.col("grp") == g, F.struct(*ARRAYS.values())), ignorenulls=True).alias(g) for g in GROUPS))
+
+
+def features_of(rows: DataFrame, numbers: Mapping[str, str] | None = None, keep: Sequence[str] = ("id",)) -> DataFrame:
+    """The columns ``keep``, then ``numbers`` (formulas by name, as doubles) and the features of the 21 series, from rows with
+    a struct of arrays for each group; the first of ``keep`` is the key."""
+    numbers = numbers or {}
+    series = [(a, g) for g in GROUPS for a in ARRAYS.values()]
+    carried = f"array({', '.join(f'n{k}' for k in range(len(numbers)))})" if numbers else "cast(null as array<double>)"
+    unfolded = ", ".join(f"named_struct('d', {g}.{a}, 'l', if({g}.{a} is null, null, {SPARK.logged(f'{g}.{a}')}), 'n', {carried if k == 0 else 'cast(null as array<double>)'})" for k, (a, g) in enumerate(series))
+    kept = [f"k{k}" for k in range(len(keep))]
+    # numbers are columns before they are an array: Spark then compiles them in parts
+    x = rows.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)), *GROUPS, *(F.expr(f"cast({f} as double)").alias(f"n{k}") for k, f in enumerate(numbers.values())))
+    x = x.selectExpr(*kept, f"inline(array({unfolded}))")
+    made = {c: f(SPARK, "d") for b in BLOCKS.values() for c, f in b.items()} | {f"{c}_log": f(SPARK, "l") for c, f in LOG_BLOCK.items()}
+    x = x.selectExpr(*kept, "n", *(f"if(d is null, null, cast({f} as double)) as f{k}" for k, f in enumerate(made.values())))
+    names = {n: of for n, of in raw_names().items() if of[2] != "recency_ratio_log"} | {n: (a, g, f"{c}_log") for n, (a, g, c) in log_names().items()}
+    places, of = {c: k for k, c in enumerate(made)}, {s: k for k, s in enumerate(series)}
+    found = [(places[c], of[a, g]) for a, g, c in names.values()]
+    schema = T.StructType([*x.schema.fields[: len(keep)], *(T.StructField(f"v{k}", T.DoubleType()) for k in range(len(numbers) + len(found)))])
+    return x.mapInArrow(_folded(len(keep), len(numbers), found, len(series)), schema).toDF(*keep, *numbers, *names)
+
+
+def _folded(n_kept: int, n_numbers: int, found: list[tuple[int, int]], n: int):
+    """Every ``n`` neighbouring rows become one: the features ``found`` by column and row, behind the first row's numbers."""
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([left, batch] if left else [batch]).combine_chunks()
+            whole = rows.num_rows // n
+            left = next(iter(rows.slice(whole * n).to_batches()), None)
+            if not whole:
+                continue
+            rows = rows.slice(0, whole * n)
+            columns = [c.chunk(0) for c in rows.columns]
+            first = pa.array(np.arange(whole) * n)
+            if columns[0].take(first) != columns[0].take(pa.array(np.arange(whole) * n + n - 1)):
+                raise ValueError("a customer's series aren't neighbours")
+            out = [c.take(first) for c in columns[:n_kept]]
+            values = columns[n_kept].take(first).flatten()
+            out += [values.take(pa.array(np.arange(whole) * n_numbers + k)) for k in range(n_numbers)]
+            at = [pa.array(np.arange(whole) * n + k) for k in range(n)]
+            out += [columns[n_kept + 1 + c].take(at[k]) for c, k in found]
+            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:n_kept], *(f"v{k}" for k in range(n_numbers + len(found)))])
+        if left:
+            raise ValueError("a customer's series aren't whole")
+
+    return run

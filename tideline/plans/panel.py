@@ -67,11 +67,16 @@ def zero_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("m"), "m", F.lit("_"), names[F.col("grp")], F.lit("_"), cell).alias("feature"), F.try_divide(F.col("customers") - F.col("filled"), "customers").alias("zero_rate"))
 
 
+def wide_columns() -> dict[str, str]:
+    """The panel's full names and their formulas over ``customers``."""
+    arrays = dict(zip((*MEASURES, "entities"), ("val", "vol", "hi", "ent"), strict=True))
+    out = {"ID": "cast(id as string)"} | {c: c for c in ("gender", "segment", "earning_pattern", "smartphone", "age", "arpu")} | {f"{m}_daily_avg_bal": f"bal[{i}]" for i, m in enumerate(MONTHS)}
+    return out | {f"{m}_{g}_{ENTITIES[g] if x == 'entities' else x}": f"{g}.{arrays[x]}[{i}]" for g in GROUPS for x in arrays for i, m in enumerate(MONTHS)}
+
+
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel under its full names: attributes, balances and 168 transaction columns."""
-    arrays = dict(zip((*MEASURES, "entities"), ("val", "vol", "hi", "ent"), strict=True))
-    columns = [f"{g}.{arrays[x]}[{i}] as {m}_{g}_{ENTITIES[g] if x == 'entities' else x}" for g in GROUPS for x in arrays for i, m in enumerate(MONTHS)]
-    return customers(spark, sf_dir).selectExpr("cast(id as string) as ID", "gender", "segment", "earning_pattern", "smartphone", "age", "arpu", *(f"bal[{i}] as {m}_daily_avg_bal" for i, m in enumerate(MONTHS)), *columns)
+    return customers(spark, sf_dir).selectExpr(*(f"{f} as {c}" for c, f in wide_columns().items()))
 
 
 _CELLS = ", ".join(f"[{', '.join(f'coalesce(max({c}) filter (m = {k}), 0)' for k in range(1, 7))}] as {a}" for a, c in (("val", "total_value"), ("vol", "volume"), ("hi", "highest_amount"), ("ent", "entities")))

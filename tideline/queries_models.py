@@ -16,7 +16,7 @@ from tideline.operators.models import Experiment
 from tideline.plans.panel import customers, table
 from tideline.plans.settled import kept, shared_dir
 from tideline.queries import _SCORED, _training, query, scored
-from tideline.queries_more import _frame as frame_parts
+from tideline.queries_more import _frame as frame_rows
 
 #: What every kind of tree is trained with here.
 _LEAF = Experiment("leafwise", "trees_leafwise", {"trees": 8, "rate": 0.3, "leaves": 15, "min_rows": 10}, balanced=True, patience=3)
@@ -135,9 +135,9 @@ _WHOLE = (
 
 def train_frame(spark: SparkSession, sf_dir: str, root: str) -> None:
     """Fits the whole feature frame and its contract, trains five kinds of models by five folds, calibrates and publishes."""
-    parts = frame_parts(spark, sf_dir)
-    spec = features.fit_features(*parts)
-    frame = kept(_numbers(features.build_features(*parts, spec)))
+    rows = frame_rows(spark, sf_dir)
+    spec = rows.fit()
+    frame = kept(_numbers(rows.build(spec)))
     pre = contract.Preprocessing.fit(frame, [c for c in frame.columns if c != "id"], scaled=True)
     y = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "cast(c_acctbal < 1000 as int) as y")
     data = kept(pre.transform(frame).join(y, "id"))
@@ -159,7 +159,7 @@ def score_frame(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     """Every customer's scores by what is published at ``root``: frame, contract, 25 fold models, calibration, blend, checks."""
     whole, texts = scoring.load_with(spark, root, "frame", ("stage_2", "baseline"))
     spec, pre = features.FrameSpec.loads(texts["frame"]), contract.Preprocessing.loads(texts["contract"])
-    frame = kept(_numbers(features.build_features(*frame_parts(spark, sf_dir), spec)))  # planned once, read by one pass of all models
+    frame = kept(_numbers(frame_rows(spark, sf_dir).build(spec)))  # planned once, read by one pass of all models
     scored = kept(scoring.score(pre.transform(frame), whole))
     scoring.checked_submission(scored, frame.count())
     return scored

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tideline import frame_sql
 from tideline.operators import features, importance, learning, metrics, models, profiling, scoring, serving
 from tideline.operators.series import raw_names
-from tideline.plans.panel import customers, series, table, wide_panel
+from tideline.plans.panel import customers, table, wide_columns, wide_panel
 from tideline.plans.panel import zero_rates as zero_rate_rows
 from tideline.plans.schema import ENTITIES, GROUPS
+from tideline.plans.settled import kept
 from tideline.queries import _AUC, _FOLD, _LINES, _LL, _NAMES, _SCORED, _over, _rows_of, _wide, dealt, query, scored
 from tideline.sources import tables
 
@@ -208,22 +209,23 @@ def experiment_rows(spark, sf_dir):
 # ---------------------------------------------------------------- the feature frame
 
 
-def _frame(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return series(spark, sf_dir), customers(spark, sf_dir), wide_panel(spark, sf_dir)
+def _frame(spark, sf_dir) -> features.Rows:
+    """The panel's customers as a table, as the frame's fit reads them several times."""
+    return features.Rows(kept(customers(spark, sf_dir)), wide_columns())
 
 
 @query()
 def features_full(spark, sf_dir):
     """All features of every customer behind the raw columns, cleaned by a specification that is fitted first."""
-    parts = _frame(spark, sf_dir)
-    return features.build_features(*parts, features.fit_features(*parts))
+    rows = _frame(spark, sf_dir)
+    return rows.build(rows.fit())
 
 
 @query(frame_sql.SQL)
 def features_profile(spark, sf_dir):
     """``feature, n, mean`` of every column that the frame adds to the panel: values and mean (from 1e6 on its decimal logarithm, with its sign)."""
     frame = features_full(spark, sf_dir)
-    old = set(wide_panel(spark, sf_dir).columns)
+    old = set(wide_columns())
     rows = profiling.long(frame, [c for c in frame.columns if c not in old])
     mean = F.avg("value")
     return rows.groupBy("feature").agg(F.count("value").alias("n"), F.when(F.abs(mean) < 1_000_000, F.round(mean, 3)).otherwise(F.signum(mean) * F.round(F.log10(F.abs(mean)), 6)).alias("mean"))
@@ -233,5 +235,5 @@ def features_profile(spark, sf_dir):
 def features_full_size(spark, sf_dir):
     """Rows of the feature frame, and whether it has the 600 features that it must have at least."""
     frame = features_full(spark, sf_dir)
-    made = len(frame.columns) - len(wide_panel(spark, sf_dir).columns)
+    made = len(frame.columns) - len(wide_columns())
     return frame.agg(F.count("*").alias("n")).select(F.lit("rows").alias("fact"), "n").unionAll(spark.range(1).select(F.lit("least_features"), F.lit(min(made, 600)).cast("long")))
