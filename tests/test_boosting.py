@@ -4,6 +4,7 @@ import heapq
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,35 @@ def test_out_of_fold_scores_need_no_join(spark):
     assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
     got = {r.id: (r.fold, r.y) for r in scored.collect()}
     assert got == {k: (k % 5, k % 2) for k in range(200)}
+
+
+def test_rows_meet_their_leaves():
+    """Masks lead to the leaf that a walk from the root finds: repeated features, bins beyond all splits, over 62 leaves, a lone leaf."""
+    rng = np.random.default_rng(7)
+    for leaves in (1, 2, 15, 62, 63, 200):
+        tree, ends = boosting.Tree(), [0]
+        tree.add(0.0, 0)
+        while len(ends) < leaves:
+            node = ends.pop(rng.integers(len(ends)))
+            ends += (a := tree.add(rng.normal(), 1)), (b := tree.add(rng.normal(), 1))
+            tree.split(node, int(rng.integers(4)), int(rng.integers(20)), a, b, 1.0)
+        x = rng.integers(0, 64, (300, 4)).astype("u1")
+        want = []
+        for row in x:
+            at = 0
+            while tree.feature[at] >= 0:
+                at = (tree.left if row[tree.feature[at]] <= tree.bin[at] else tree.right)[at]
+            want.append(at)
+        for given in (x, np.asfortranarray(x).astype("<u2")):
+            assert tree.leaf(given).tolist() == want
+        assert boosting.Routes(tree).values(x).tolist() == [tree.value[k] for k in want]
+
+
+def test_stored_rows_are_read_in_place():
+    """Bins and margins of a slice of a batch are views of its columns, from its own first row on."""
+    x, m = np.arange(35, dtype="u1").reshape(7, 5), np.linspace(0, 1, 14).reshape(7, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([0] * 7, pa.int32()), pa.array([1] * 7, pa.int32()), boosting._as_bytes(x), boosting._as_bytes(m)], names=["h", "y", "fold", "x", "margins"])
+    h, _, _, bins, margins = boosting._read(batch.slice(2, 4), 5, 2, "u1")
+    assert h.tolist() == [2, 3, 4, 5] and bins.tolist() == x[2:6].tolist() and margins.tolist() == m[2:6].tolist()
+    assert np.shares_memory(boosting._from_bytes(batch.column("x"), "u1", 5), np.frombuffer(batch.column("x").buffers()[2], "u1"))
+    assert [b.num_rows for b in boosting._slices([batch, batch.slice(0, 0)])] == [7]
