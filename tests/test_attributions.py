@@ -154,3 +154,14 @@ def test_symmetric_models_learn_from_categories(spark):
     assert all(f != 2 - k for k, m in enumerate(models) for t in m.trees for f in t.feature)  # a model sees its own codes alone
     oof = boosting.out_of_fold(full, models).agg(F.avg(F.when(F.col("y") == 1, F.col("p"))).alias("a"), F.avg(F.when(F.col("y") == 0, F.col("p"))).alias("b")).first()
     assert oof.a > oof.b + 0.2
+
+
+def test_patterns_weighed_beforehand_and_by_batch(monkeypatch):
+    """Paths whose patterns are all weighed once in a task give what those weighed by batch do, to the last bit."""
+    rng = np.random.default_rng(3)
+    tables = [[attributions.Path(float(rng.normal()), list(range(m)), [-1, *rng.integers(0, 4, m - 1).tolist()], [5, *rng.integers(4, 9, m - 1).tolist()], rng.uniform(0.1, 0.9, m).tolist()) for m in (1, 2, 5, 8)]]
+    x = rng.integers(0, 12, (500, 8))
+    assert [known is not None for *_, known in attributions.prepared(tables)] == [True, True, True, False]
+    got = attributions.attribute(x, tables, 8)
+    monkeypatch.setattr(attributions, "PATTERNS", 0)
+    assert np.array_equal(got, attributions.attribute(x, tables, 8))

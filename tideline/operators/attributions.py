@@ -2,7 +2,8 @@
 
 A tree is a table of its leaves' paths. On a path each feature is one interval of bins, with the share of training rows
 that its splits let through. For a row and a path it only matters which of the path's features the row satisfies, so the
-weights are found by dynamic programming once for each pattern of satisfied features that a batch has, for any depth.
+weights are found by dynamic programming once for each pattern of satisfied features: for all patterns of a path of up to
+seven features once in a task, for longer ones, of any depth, once for each pattern that a batch has.
 
 A row's attributions and the model's base value add up to its margin. Rows are independent: one pass, without a shuffle.
 """
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from tideline.operators.boosting import Model, Tree, _slices, binned, numbered
 
+#: Features of a path of which all patterns are weighed beforehand, once in a task: 128 at most.
+PATTERNS = 7
+
 
 @dataclass
 class Path:
@@ -72,18 +76,37 @@ def weights(satisfied: np.ndarray, share: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shares(p: Path, patterns: np.ndarray) -> np.ndarray:
+    """What each feature of a path (a row) gets in each pattern of satisfied features, given as bits."""
+    return np.ascontiguousarray((p.value * weights(patterns[:, None] >> np.arange(len(p.features)) & 1, np.array(p.share))).T)
+
+
+def prepared(tables: Sequence[Sequence[Path]]) -> list[tuple[Path, list[np.ndarray], np.ndarray | None]]:
+    """Paths with each feature's bit by bin and, for those of up to PATTERNS patterns, what features get in every one."""
+    out = []
+    for p in (p for tree in tables for p in tree if p.features):
+        bits = []
+        for j, (above, at_most) in enumerate(zip(p.above, p.at_most, strict=True)):
+            bins = np.arange(max(above, at_most) + 2)  # bins beyond are like the last one
+            bits.append(((bins > above) & (bins <= at_most)).astype(int) << j)
+        out.append((p, bits, _shares(p, np.arange(1 << len(p.features))) if len(p.features) <= PATTERNS else None))
+    return out
+
+
 def attribute(x: np.ndarray, tables: Sequence[Sequence[Path]], n_features: int) -> np.ndarray:
     """Attributions of rows of bins, a column for each feature."""
-    out = np.zeros((len(x), n_features))
-    for tree in tables:
-        for p in tree:
-            if not p.features:
-                continue
-            own = x[:, p.features].astype(int)
-            satisfied = (own > np.array(p.above)) & (own <= np.array(p.at_most))
-            bits = np.arange(len(p.features))
-            patterns, which = np.unique(satisfied @ (1 << bits), return_inverse=True)
-            out[:, p.features] += (p.value * weights(patterns[:, None] >> bits & 1, np.array(p.share)))[which]
+    return _added(x, prepared(tables), n_features)
+
+
+def _added(x: np.ndarray, ready: list[tuple[Path, list[np.ndarray], np.ndarray | None]], n_features: int) -> np.ndarray:
+    out = np.zeros((n_features, len(x))).T
+    for p, bits, known in ready:
+        code = sum(b.take(x[:, f], mode="clip") for f, b in zip(p.features, bits, strict=True))
+        if known is None:
+            patterns, code = np.unique(code, return_inverse=True)
+            known = _shares(p, patterns)
+        for f, share in zip(p.features, known, strict=True):
+            out[:, f] += share.take(code)
     return out
 
 
@@ -96,9 +119,10 @@ def _attributed(models: Sequence[Model]):
     tables, base = [[paths(t) for t in m.trees] for m in models], [base_value(m) for m in models]
 
     def run(batches):
+        ready = [prepared(t) for t in tables]
         for batch in _slices(batches):
             x = binned(batch, models[0].edges)
-            found = sum(attribute(x, t, len(models[0].columns)) for t in tables) / len(models)
+            found = sum(_added(x, r, len(models[0].columns)) for r in ready) / len(models)
             margin = sum(m.margins(x) for m in models) / len(models)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(len(x), sum(base) / len(base))), pa.array(margin), *map(pa.array, np.ascontiguousarray(found.T))], names=["id", "base", "margin", *(f"c{k}" for k in range(found.shape[1]))])
 
