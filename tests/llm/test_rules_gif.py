@@ -216,3 +216,30 @@ def test_stored_frames(spark, tmp_path):
     assert len({r.canvas_sha256 for r in rows if r.id == 3}) == 2
     again = spark.read.parquet(f"file://{tmp_path}/frames")
     assert again.count() == 6
+
+
+@pytest.mark.parametrize("size", [2, 8])
+def test_strings_by_places(size):
+    """Strings are taken from earlier places of the output as a table of strings would give them, and no further than asked for."""
+    clear, rng = 1 << size, random.Random(size)
+    for _ in range(200):
+        codes = [rng.randrange(clear)]
+        while len(codes) < 60:
+            codes.append(rng.choice([rng.randrange(clear), clear + 2 + rng.randrange(len(codes))]))
+        if rng.random() < 0.3:
+            codes[rng.randrange(1, 60)] = clear + 70  # names an entry that isn't there
+        table, want, last = [bytes([i]) for i in range(clear)] + [b"", b""], b"", b""
+        for c in codes:
+            if c > len(table):
+                break
+            entry = table[c] if c < len(table) else last + last[:1]
+            want += entry
+            if last:
+                table.append(last + entry[:1])
+            last = entry
+        out = bytearray(b"before")
+        gif._expand(np.array(codes), clear, out, 1 << 20)
+        assert bytes(out) == b"before" + want
+    out = bytearray()
+    gif._expand(np.array([0, *range(clear + 2, 4096)]), clear, out, 1000)  # stands for millions of bytes
+    assert 1000 <= len(out) < 1100

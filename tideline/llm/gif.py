@@ -59,9 +59,16 @@ def lzw(data: bytes) -> bytes:
                 after = clear + 2
     codes.append(np.array([*run, *([prefix] if prefix >= 0 else []), clear + 1]))
     widths.append(_widths(8)[: len(codes[-1])])
-    bit = np.arange(12)
-    bits = np.concatenate(codes)[:, None] >> bit & 1
-    return np.packbits(bits[bit < np.concatenate(widths)[:, None]].astype("u1"), bitorder="little").tobytes()
+    return _packed(np.concatenate(codes), np.concatenate(widths))
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of the given widths one behind the other, lowest bits first: each lies in three bytes, whose bits don't overlap."""
+    ends = np.cumsum(widths)
+    at = ends - widths
+    byte, value, size = at >> 3, codes << (at & 7), int(ends[-1] + 7 >> 3) + 2
+    out = sum(np.bincount(byte + k, value >> 8 * k & 255, size) for k in range(3))
+    return out[:-2].astype("u1").tobytes()
 
 
 def _codes(data: np.ndarray, start: int, widths: np.ndarray) -> np.ndarray:
@@ -86,48 +93,67 @@ def unlzw(data: bytes, size: int, n: int) -> bytes:
     padded = np.frombuffer(data + b"\0\0\0\0", "u1")
     out, at = bytearray(), 0
     while at < bits and len(out) < n:
-        widths = _widths(size)
+        all_widths = _widths(size)
+        widths = all_widths[: (bits - at) // (size + 1) + 1]
         codes = _codes(padded, at, widths)
         ends = at + np.cumsum(widths)
         codes = codes[: np.searchsorted(ends, bits, side="right")]
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         stop = int(stops[0]) if len(stops) else None
-        run = codes[:stop].tolist()
-        if stop is None and len(run) == len(widths):  # the table is full and stays so until a clear code
-            at_full, more = int(ends[-1]), []
+        run = [codes[:stop]]
+        if stop is None and len(codes) == len(all_widths):  # the table is full and stays so until a clear code
+            at_full = int(ends[-1])
             while stop is None and at_full + 12 <= bits:
                 part = _codes(padded, at_full, np.full(min(4096, (bits - at_full) // 12), 12))
                 found = np.flatnonzero((part == clear) | (part == clear + 1))
-                more += part[: found[0]].tolist() if len(found) else part.tolist()
+                run.append(part[: found[0]] if len(found) else part)
                 at_full += 12 * (int(found[0]) + 1 if len(found) else len(part))
                 stop = int(part[found[0]]) if len(found) else None
             last, following = stop, at_full
-            run += more
         else:
             last, following = (int(codes[stop]), int(ends[stop])) if stop is not None else (None, bits)
-        _expand(run, clear, out)
+        _expand(np.concatenate(run), clear, out, n)
         if last != clear:
             break
         at = following
     return bytes(out[:n]) + bytes(max(0, n - len(out)))
 
 
-def _expand(codes: list[int], clear: int, out: bytearray) -> None:
-    """Appends what the codes between two clear codes stand for: each adds an entry, the last string and a byte more."""
-    table = [bytes([i]) for i in range(clear)] + [b"", b""]
-    parts, last, add = [], b"", table.append
-    for code in codes:
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) < 4096 and last:  # the entry that this very code completes
-            entry = last + last[:1]
-        else:
-            break  # not a code that a writer may give here
-        parts.append(entry)
-        if last and len(table) < 4096:
-            add(last + entry[:1])
-        last = entry
-    out += b"".join(parts)
+def _expand(codes: np.ndarray, clear: int, out: bytearray, n: int) -> None:
+    """Appends what the codes between two clear codes stand for, until ``out`` has ``n`` bytes.
+
+    The entry that code ``k`` and its successor make is what is put out from the place of code ``k`` on, a byte longer than
+    that code's string. So a code that names it takes its bytes from there, and they from an earlier place, down to
+    single bytes: chains that are halved in each step, for lengths and for bytes.
+    """
+    codes = codes.astype("i4")
+    own = codes - (clear + 2)  # which code made the entry; below 0 for single bytes
+    wrong = np.flatnonzero(own >= np.arange(len(codes)))  # not a code that a writer may give here
+    codes, own = (x[: wrong[0] if len(wrong) else None] for x in (codes, own))
+    full = 4096 - (clear + 2)  # later codes make no entries
+    first = own[: full + 1]
+    named = first >= 0
+    length, up = named.astype("i4"), np.where(named, first, np.arange(len(first), dtype="i4"))
+    while length[up].any():
+        length, up = length + length[up], up[up]
+    length += 1
+    ends = np.cumsum(length, dtype="i4")
+    starts = ends - length
+    some = int(np.searchsorted(starts, n - len(out)))
+    total = int(ends[some - 1]) if some else 0
+    source = np.arange(total, dtype="i4") + np.repeat(np.where(named, starts[np.maximum(first, 0)], starts)[:some] - starts[:some], length[:some])
+    while not np.array_equal(again := source[source], source):
+        source = again
+    single = np.zeros(total, "u1")
+    single[starts[:some][~named[:some]]] = codes[: len(first)][:some][~named[:some]]
+    body = single[source].tobytes()
+    out += body
+    if some < len(first) or len(out) >= n:
+        return
+    for code, k in zip(codes[len(first) :].tolist(), own[len(first) :].tolist(), strict=True):
+        if len(out) >= n:
+            break
+        out += bytes([code]) if k < 0 else body[starts[k] : starts[k] + length[k] + 1]
 
 
 # ---------------------------------------------------------------- files
