@@ -1,8 +1,12 @@
 """The cross-group blocks against their definitions in NumPy, customer by customer; nothing of the library's formulas is used."""
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tideline import queries  # noqa: F401  before its parts
+from tideline import queries_more
 from tideline.operators import domain, encoding
 from tideline.plans.panel import customers, wide_panel, zero_rates
 
@@ -108,3 +112,14 @@ def test_zero_band(spark):
     columns = [c for c in wide.columns if "deposit" in c or "paybill" in c]
     found = encoding.in_band(zero_rates(spark, SF), columns)
     assert found == encoding.fit_zero_flags(wide, columns) and 0 < len(found) <= len(columns)
+
+
+def test_means_on_rounding_ties(spark):
+    """Means that lie on a tie of their third place are rounded as in the profile's SQL."""
+    values = [s * (k + 0.5) / 1000 for k in range(3000) for s in (1, -1)] + [0.0, 2.5e6, -1.2345675e9]
+    got = [r.mean for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i long, x double").select("i", queries_more._shown(F.col("x")).alias("mean")).orderBy("i").collect()]
+    con = duckdb.connect()
+    con.execute("create table t (i bigint, x double)")
+    con.executemany("insert into t values (?, ?)", [*enumerate(values)])
+    want = [r[0] for r in con.execute("select case when abs(x) < 1000000 then round(x, 3) else sign(x) * round(log10(abs(x)), 6) end from t order by i").fetchall()]
+    assert got == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline import frame_sql
@@ -221,14 +221,22 @@ def features_full(spark, sf_dir):
     return rows.build(rows.fit())
 
 
+def _rounded(c: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does, by way of the product; Spark's ``round`` goes by the shortest decimal and makes 0.5005 0.501, not 0.5."""
+    return F.round(c * float(10**digits)) / float(10**digits)
+
+
+def _shown(mean: Column) -> Column:
+    return F.when(F.abs(mean) < 1_000_000, _rounded(mean, 3)).otherwise(F.signum(mean) * _rounded(F.log10(F.abs(mean)), 6))
+
+
 @query(frame_sql.SQL)
 def features_profile(spark, sf_dir):
     """``feature, n, mean`` of every column that the frame adds to the panel: values and mean (from 1e6 on its decimal logarithm, with its sign)."""
     frame = features_full(spark, sf_dir)
     old = set(wide_columns())
     rows = profiling.long(frame, [c for c in frame.columns if c not in old])
-    mean = F.avg("value")
-    return rows.groupBy("feature").agg(F.count("value").alias("n"), F.when(F.abs(mean) < 1_000_000, F.round(mean, 3)).otherwise(F.signum(mean) * F.round(F.log10(F.abs(mean)), 6)).alias("mean"))
+    return rows.groupBy("feature").agg(F.count("value").alias("n"), _shown(F.avg("value")).alias("mean"))
 
 
 @query(_over("select 'rows' as fact, count(*) as n from customer union all select 'least_features', 600"))
