@@ -102,3 +102,17 @@ def test_many_copies(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(suffixes, "SMALL", 0)
     assert found(suffixes.digests(df, 100)) == brute(rows, 100)
+
+
+def test_small_buckets_share_files(spark, monkeypatch):
+    """Many buckets of few rows: tasks write a file for several of them, and what meets at their ends is still found."""
+    rows = make(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tables, write = [], suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, name: tables.append((name, write(df, name))) or tables[-1][1])
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        assert found(suffixes.digests(df, 60)) == brute(rows, 60)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [len(t.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism for name, t in tables if name == "ranked"] == [True] * 3
