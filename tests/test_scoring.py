@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
@@ -215,3 +216,28 @@ def test_series_of_a_group_that_lacks_are_null(spark):
     rows = series_ops.features_wide(df).collect()
     assert sorted(r.id for r in rows) == list(range(2000))
     assert {(r.deposit_mean, r.deposit_zero_streak, r.withdraw_mean, r.withdraw_zero_streak, r.withdraw_mean_log) for r in rows} == {(3.0, 0.0, None, None, None)}
+
+
+def test_tasks_that_make_features_have_a_bounded_number_of_customers(spark, monkeypatch):
+    """However few bytes customers have and however many tasks the session would take."""
+    monkeypatch.setattr(series_ops, "CUSTOMERS", 100)
+    one = [1.0, 2.0, 0.0, 4.0, 5.0, 6.0]
+    df = spark.createDataFrame([(k, g, one, one, one) for k in range(2000) for g in ("deposit", "withdraw")], "id long, grp string, val array<double>, vol array<double>, hi array<double>")
+    tasks = series_ops.features_wide(df).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 2000 and max(r["count"] for r in tasks) < 200
+    x = df.where("grp = 'deposit'").selectExpr("id", "struct(val, vol, hi) as deposit").coalesce(1)
+    assert series_ops.spread(x).rdd.getNumPartitions() in range(18, 23)  # keys are counted to 5 %
+    assert series_ops.spread(x.limit(0)).count() == 0
+
+
+def test_frames_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(series_ops, "CUSTOMERS", 5)
+    rows = features.Rows(panel.customers(spark, SF).persist(), panel.wide_columns())
+    tasks = rows.frame({}, [], False).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == rows.customers.count() and max(r["count"] for r in tasks) < 20
+
+
+def test_series_without_numbers_are_folded_without_a_column_for_them():
+    batch = pa.RecordBatch.from_pydict({"k0": [1, 1, 2, 2], "f0": [1.0, 2.0, 3.0, None]})
+    (out,) = series_ops._folded(1, 0, [(0, 0), (0, 1)], 2)(iter([batch]))
+    assert out.to_pydict() == {"k0": [1, 2], "v0": [1.0, 3.0], "v1": [2.0, None]}

@@ -78,7 +78,7 @@ def build_features(by_series: DataFrame, customers: DataFrame, wide: DataFrame,
 @dataclass
 class Rows:
     """Customers in one row each, with a struct of arrays for each group and what the blocks read, and the formulas of the wide
-    panel's columns over them. The frame is a projection of these rows: nothing is joined or shuffled for it."""
+    panel's columns over them. The frame is a projection of these rows: nothing is joined for it, and no feature is shuffled."""
 
     customers: DataFrame
     columns: dict[str, str]
@@ -88,7 +88,7 @@ class Rows:
 
     def frame(self, codes: dict[str, int], flags: list[str], own: bool) -> DataFrame:
         """``id``, with ``own`` the wide panel's columns under ``own|`` and their names, and all features before cleaning."""
-        x, kinds = domain.stage(self.customers), dict(self.wide().dtypes)
+        x, kinds = domain.stage(series.spread(self.customers)), dict(self.wide().dtypes)
         x = x.withColumns({f"__{k}": c for k, c in enumerate(_encoded(codes))})
         numbers = {c: f for name in domain.BLOCKS for c, f in domain.BLOCKS[name](SPARK).items()}
         numbers |= {c: f"__{k}" for k, c in enumerate(ENCODED)} | {f"{c}_is_zero": f"cast(coalesce({self.columns[c]}, 0D) = 0 as tinyint)" for c in flags}

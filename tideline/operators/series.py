@@ -7,6 +7,7 @@ put together again in the task that made them: no feature is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -19,6 +20,9 @@ from pyspark.sql.window import Window
 from tideline.functions.series import BLOCKS, LOG_BLOCK, SPARK
 from tideline.plans.schema import GROUPS, series_names
 
+#: Fixed value: about as many customers share a task that makes features. Who writes these holds a dictionary for each of
+#: hundreds of columns, which grows with the task's rows and isn't counted in the size of what waits to be written.
+CUSTOMERS = 10_000
 #: Array of each measure in the panel's series.
 ARRAYS = {"total_value": "val", "volume": "vol", "highest_amount": "hi"}
 
@@ -64,7 +68,14 @@ def log_names() -> dict[str, tuple[str, str, str]]:
 
 def features_wide(series: DataFrame) -> DataFrame:
     """One row a customer with all raw and log features of the 21 series; those of a group that it lacks are null."""
-    return features_of(by_id(series))
+    return features_of(by_id(spread(series)))
+
+
+def spread(rows: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` dealt by ``key`` over tasks of about ``CUSTOMERS`` keys each, however few bytes these have; small tables over
+    the cores. The keys are counted first, in a job that reads no other column."""
+    n = rows.agg(F.approx_count_distinct(key)).first()[0]
+    return rows.repartition(max(1, math.ceil(n / CUSTOMERS), min(n // 500, rows.sparkSession.sparkContext.defaultParallelism)), key)
 
 
 def by_id(series: DataFrame) -> DataFrame:
@@ -77,14 +88,15 @@ def features_of(rows: DataFrame, numbers: Mapping[str, str] | None = None, keep:
     a struct of arrays for each group; the first of ``keep`` is the key."""
     numbers = numbers or {}
     series = [(a, g) for g in GROUPS for a in ARRAYS.values()]
-    carried = f"array({', '.join(f'n{k}' for k in range(len(numbers)))})" if numbers else "cast(null as array<double>)"
-    unfolded = ", ".join(f"named_struct('d', {g}.{a}, 'l', if({g}.{a} is null, null, {SPARK.logged(f'{g}.{a}')}), 'n', {carried if k == 0 else 'cast(null as array<double>)'})" for k, (a, g) in enumerate(series))
+    # lists that are null in row after row cost Arrow's writer the square of a batch's rows: no numbers, no such column
+    carried = [f", 'n', array({', '.join(f'n{k}' for k in range(len(numbers)))})", *[", 'n', cast(null as array<double>)"] * (len(series) - 1)] if numbers else [""] * len(series)
+    unfolded = ", ".join(f"named_struct('d', {g}.{a}, 'l', if({g}.{a} is null, null, {SPARK.logged(f'{g}.{a}')}){n})" for (a, g), n in zip(series, carried, strict=True))
     kept = [f"k{k}" for k in range(len(keep))]
     # numbers are columns before they are an array: Spark then compiles them in parts
     x = rows.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)), *GROUPS, *(F.expr(f"cast({f} as double)").alias(f"n{k}") for k, f in enumerate(numbers.values())))
     x = x.selectExpr(*kept, f"inline(array({unfolded}))")
     made = {c: f(SPARK, "d") for b in BLOCKS.values() for c, f in b.items()} | {f"{c}_log": f(SPARK, "l") for c, f in LOG_BLOCK.items()}
-    x = x.selectExpr(*kept, "n", *(f"if(d is null, null, cast({f} as double)) as f{k}" for k, f in enumerate(made.values())))
+    x = x.selectExpr(*kept, *["n"] * bool(numbers), *(f"if(d is null, null, cast({f} as double)) as f{k}" for k, f in enumerate(made.values())))
     names = {n: of for n, of in raw_names().items() if of[2] != "recency_ratio_log"} | {n: (a, g, f"{c}_log") for n, (a, g, c) in log_names().items()}
     places, of = {c: k for k, c in enumerate(made)}, {s: k for k, s in enumerate(series)}
     found = [(places[c], of[a, g]) for a, g, c in names.values()]
@@ -109,10 +121,11 @@ def _folded(n_kept: int, n_numbers: int, found: list[tuple[int, int]], n: int):
             if columns[0].take(first) != columns[0].take(pa.array(np.arange(whole) * n + n - 1)):
                 raise ValueError("a customer's series aren't neighbours")
             out = [c.take(first) for c in columns[:n_kept]]
-            values = columns[n_kept].take(first).flatten()
-            out += [values.take(pa.array(np.arange(whole) * n_numbers + k)) for k in range(n_numbers)]
+            if n_numbers:
+                values = columns[n_kept].take(first).flatten()
+                out += [values.take(pa.array(np.arange(whole) * n_numbers + k)) for k in range(n_numbers)]
             at = [pa.array(np.arange(whole) * n + k) for k in range(n)]
-            out += [columns[n_kept + 1 + c].take(at[k]) for c, k in found]
+            out += [columns[n_kept + bool(n_numbers) + c].take(at[k]) for c, k in found]
             yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:n_kept], *(f"v{k}" for k in range(n_numbers + len(found)))])
         if left:
             raise ValueError("a customer's series aren't whole")
